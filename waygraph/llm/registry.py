@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waygraph.llm import exact_dedup, mixing, sharding, token_counts
+from waygraph.llm import exact_dedup, media_columns, mixing, packing, quality, sharding, token_counts, toxicity, warc_archive
 
 
 def queries():
@@ -10,7 +10,12 @@ def queries():
     return {
         "op1_token_counts": token_counts.query,
         "op2_sharding": sharding.query,
+        "op4_toxicity": toxicity.query,
+        "op5_media_columns": media_columns.query,
+        "op6_quality": quality.query,
+        "op7_warc_archive": warc_archive.query,
         "op8_mixing": mixing.query,
+        "op9_packing": packing.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 
