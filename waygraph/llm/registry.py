@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from waygraph.llm import exact_dedup, media_columns, mixing, packing, quality, sharding, token_counts, toxicity, warc_archive
+from waygraph.llm import exact_dedup, media_columns, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity, warc_archive
 
 
 def queries():
     """Query name -> function of (spark, sf_dir)."""
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_counts": token_counts.query,
         "op2_sharding": sharding.query,
+        "op3_near_dedup": near_dedup.query,
         "op4_toxicity": toxicity.query,
         "op5_media_columns": media_columns.query,
         "op6_quality": quality.query,
