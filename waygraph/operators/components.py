@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waygraph.plans.stages import materialise
 
 
-def _state(df: DataFrame) -> tuple:
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _marked(df: DataFrame) -> tuple[DataFrame, tuple]:
+    """Write a round's edges; their count and a sum of hashes are observed on the way."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", vertices: DataFrame | None = None, vertex: str = "id", max_rounds: int = 60) -> DataFrame:
@@ -26,8 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
     if vertices is not None:
         ids = ids.union(vertices.select(F.col(vertex).alias("id")).filter("id is not null"))
     ids = ids.distinct()
-    state = materialise(e.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    mark = _state(state)
+    state, mark = _marked(e.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if not mark[0]:
             break
@@ -36,8 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        state = materialise(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "cc")
-        now = _state(state)
+        state, now = _marked(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         if now == mark:
             break
         mark = now
