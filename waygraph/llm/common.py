@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +52,31 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+#: Bits of a membership filter.
+FILTER = 26
+
+
+def maybe_in(ids: DataFrame, column: str) -> Column:
+    """A predicate on ``column`` of another table: false only if the value is not in ``ids``.
+
+    A bitmap of 2^FILTER bits over hashes is sent to the tasks, whatever the size
+    of ``ids``; when it fills up more rows pass, and callers join exactly anyway.
+    """
+    cell = F.pmod(F.xxhash64(column), F.lit(1 << FILTER)) + 1
+    bits = np.zeros(1 << (FILTER - 3), np.uint8)
+    rows = ids.groupBy(F.bitmap_bucket_number(cell).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("m"))
+    for r in rows.toLocalIterator():
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(c: pd.Series) -> pd.Series:
+        c = c.to_numpy() - 1
+        return pd.Series((shared.value[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool))
+
+    return test(cell)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, rank: str = "rank") -> DataFrame:
     """Add ``rank``, gapless from 0 within ``keys``, without gathering a key in one task.
 
