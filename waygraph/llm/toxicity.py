@@ -20,7 +20,7 @@ from waygraph.plans.stages import table
 BITS = 18
 SIZES = (3, 4, 5)
 #: At most so many labelled rows are used to fit, those with the smallest hash of their id.
-SAMPLE = 8000
+SAMPLE = 3000
 
 
 def gram_ids(text: str, flags: np.ndarray) -> np.ndarray:
@@ -92,14 +92,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     rows = rows.groupBy("doc_id").agg(F.min(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def grams(texts: pd.Series) -> pd.Series:
         flags = np.zeros(1 << BITS, bool)
-        return pd.Series([gram_ids(t, flags) for t in texts])
+        return pd.Series([gram_ids(t, flags).tobytes() for t in texts])
 
     own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("doc_id"))
     got = own.select("id", "y", grams("text").alias("ids")).dropDuplicates(["id"]).toPandas().sort_values("id")
-    return fit([np.asarray(x, np.int32) for x in got["ids"]], got["y"].to_numpy())
+    return fit([np.frombuffer(bytes(x), np.int32) for x in got["ids"]], got["y"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
