@@ -51,7 +51,7 @@ class Model:
         return 1 / (1 + float(np.exp(-min(max(z, -50.0), 50.0))))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, decay: float = 1e-5, least: int = 3) -> Model:
+def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 8, rate: float = 0.5, decay: float = 1e-3, least: int = 3) -> Model:
     """Ratios from counts with one added, n-grams of fewer than ``least`` texts left out; then AdaGrad on logistic loss."""
     d = 1 << BITS
     p, q = np.ones(d), np.ones(d)
