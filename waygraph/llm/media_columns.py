@@ -3,10 +3,11 @@
 A text is padded to whole rows of 192 samples and stored as an 8-bit grey PNG
 image, which is lossless.  Tasks append images to tar shards in shared storage
 and return rows of (digest, shard, offset, length); the rows are the index.
-Images are made before the shuffle that brings equal digests together, so only
-compressed bytes move and each payload is stored once.  Metadata columns come
-from range reads of the 33 header bytes; payloads come from range reads of whole
-members.
+Each payload is stored once.  Digests alone are shuffled to find those that
+repeat; payloads whose digest does not repeat are written where they are read, and
+only the rest, as compressed images, go through a shuffle that keeps one of each.
+Metadata columns come from range reads of the 33 header bytes; payloads come from
+range reads of whole members.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_batches
+from waygraph.llm.common import bounded_batches, maybe_in
 from waygraph.plans.stages import materialise, shared_dir, table
 
 WIDTH = 192
@@ -175,19 +176,16 @@ def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[st
     rows = docs.select(*[F.col(c) for c in keep], n.cast("long").alias("n_bytes"), digest.alias("digest"))
 
     def images(batches):
-        seen: set[str] = set()
         for b in batches:
-            out = []
-            for d, t in zip(b["digest"], b["body"], strict=True):
-                if d not in seen:
-                    if len(seen) < 100_000:  # copies met again later are merged by the aggregation
-                        seen.add(d)
-                    out.append((d, to_png(pad(t.encode()))))
-            yield pd.DataFrame(out, columns=["digest", "media"])
-
-    media = docs.select(digest.alias("digest"), body.alias("body")).mapInPandas(images, "digest string, media binary")
-    media = media.groupBy("digest").agg(F.first("media").alias("media"))
-    return rows, materialise(with_header(store(media, folder)), "media-headers")
+            yield pd.DataFrame({"digest": b["digest"], "media": [to_png(pad(t.encode())) for t in b["body"]]})
+
+    repeated = materialise(docs.select(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
+    source = docs.select(digest.alias("digest"), body.alias("body"))
+    again = maybe_in(repeated, "digest")  # false only for digests that are there once
+    once = source.filter(~again).mapInPandas(images, "digest string, media binary")
+    copies = source.filter(again).mapInPandas(images, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
+    index = store(once, folder).unionByName(store(copies, folder))
+    return rows, materialise(with_header(index), "media-headers")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
