@@ -35,7 +35,7 @@ from waygraph.plans.stages import materialise, table
 CAPACITY = 4096
 GROUPS = 48
 #: Words whose ids a Python worker keeps, in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: The pre-tokens of the vocabulary file's own split pattern.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters that the normaliser leaves alone but for lower case, one to one.
@@ -67,8 +67,18 @@ class WordIds(dict):
             return b""
         if "<|" in word or not PLAIN.fullmatch(word):
             return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        if low != word:
+            return self[low]
+        if word.isalpha():
+            return self._merge([word])
+        if word[-1] in ".,;:!?|" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        return self._merge(PRETOKEN.findall(word))
+
+    def _merge(self, parts: list[str]) -> bytes:
         ids = []
-        for p in PRETOKEN.findall(word.lower()):
+        for p in parts:
             p = p if p.isascii() else "".join(map(self.chars.__getitem__, p.encode()))
             ids += [t.id for t in self.model.tokenize(p)]
         return np.array(ids, "<u4").tobytes()
