@@ -8,7 +8,9 @@ sequence length and not by the data; rows are then placed by rank arithmetic.
    which leaves a few sizes.
 2. Configurations of those sizes are built largest item first, completed by the
    subset of the other sizes that fills the sequence best, and used as often as
-   the counts allow.
+   the counts allow.  Several numbers of groups are tried; the gaps and the small
+   pieces of each plan follow from the histograms, and the plan with the fewest
+   sequences is taken.
 3. Actual pieces replace the rounded ones: the piece of rank r in the sorted order
    takes the slot of that rank.  True gaps are then summed per sequence.
 4. Small pieces go, longest first, into the smallest gap that holds them, as runs
@@ -33,7 +35,8 @@ from waygraph.llm.common import bounded_batches, ranked, vocabulary
 from waygraph.plans.stages import materialise, table
 
 CAPACITY = 4096
-GROUPS = 48
+#: Numbers of groups that are tried.
+GROUPS = (8, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192)
 #: Words whose ids a Python worker keeps, in each of two generations.
 CACHE_WORDS = 400_000
 #: The pre-tokens of the vocabulary file's own split pattern.
@@ -186,8 +189,38 @@ def large_plan(hist: dict[int, int], capacity: int, groups: int) -> tuple[np.nda
     return np.array(sorted(runs), np.int64), sequence
 
 
-def small_plan(hist: dict[int, int], gaps: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length -> (first ranks, first sequences) of runs; sequences count from 0 by ascending gap, new ones follow.
+def plan_gaps(hist: dict[int, int], runs: np.ndarray, capacity: int) -> dict[int, int]:
+    """Gap -> sequences when pieces of the true lengths take the slots of their ranks."""
+    if not len(runs):
+        return {}
+    lengths = np.array(sorted(hist, reverse=True), np.int64)
+    ends = np.cumsum([hist[int(x)] for x in lengths])
+    stop = np.append(runs[1:, 0], ends[-1])
+    slots: dict[int, list[int]] = {}
+    times: dict[int, int] = {}
+    for (first, sequence, _), end in zip(runs.tolist(), stop.tolist(), strict=True):
+        slots.setdefault(sequence, []).append(first)
+        times[sequence] = end - first
+    gaps: dict[int, int] = {}
+    for sequence, firsts in slots.items():
+        n = times[sequence]
+        cuts = np.unique(np.concatenate([[0, n], *[ends[np.searchsorted(ends, f, "right") : np.searchsorted(ends, f + n, "left")] - f for f in firsts]]))
+        held = sum(lengths[np.searchsorted(ends, f + cuts[:-1], "right")] for f in firsts)
+        for g, m in zip((capacity - held).tolist(), np.diff(cuts).tolist(), strict=True):
+            gaps[g] = gaps.get(g, 0) + m
+    return gaps
+
+
+def best_plan(hist: dict[int, int], capacity: int, groups: tuple[int, ...]) -> np.ndarray:
+    """The large plan whose sequences, after small pieces have filled its gaps, are fewest."""
+    limit = capacity // 8
+    large, small = ({k: v for k, v in hist.items() if (k > limit) == side} for side in (True, False))
+    plans = [large_plan(large, capacity, n)[0] for n in groups]
+    return min(plans, key=lambda runs: small_plan(small, plan_gaps(large, runs, capacity), capacity)[1])
+
+
+def small_plan(hist: dict[int, int], gaps: dict[int, int], capacity: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
+    """Length -> (first ranks, first sequences) of runs, and all sequences; those count from 0 by ascending gap, new ones follow.
 
     Best fit, longest first: a run of pieces of one length meets a run of
     sequences with one gap.
@@ -226,10 +259,10 @@ def small_plan(hist: dict[int, int], gaps: dict[int, int], capacity: int) -> dic
                 bisect.insort(wide, g - w)
             classes[g - w].append((first, m))
         out[w] = (np.array(firsts, np.int64), np.array(seqs, np.int64))
-    return out
+    return out, at
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, length: str = "length", identity: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, length: str = "length", identity: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """All columns of ``pieces`` with ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
 
     Lengths are from 1 to ``capacity``; null or other lengths raise an error.
@@ -245,7 +278,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, leng
         raise ValueError(f"lengths must be from 1 to {capacity}")
     limit = capacity // 8
     large_hist = {k: v for k, v in hist.items() if k > limit}
-    runs, _ = large_plan(large_hist, capacity, groups)
+    runs = best_plan(hist, capacity, groups)
     before = np.zeros(capacity + 2, np.int64)
     for x in range(capacity - 1, limit - 1, -1):
         before[x] = before[x + 1] + large_hist.get(x + 1, 0)
@@ -267,7 +300,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, leng
         at += gaps[g]
     first = F.element_at(F.array(*[F.lit(int(x)) for x in starts]), F.col("_gap") + 1)
     bins = bins.select("_bin", (first + F.col("_r")).alias("sequence_id"))
-    plan = small_plan({k: v for k, v in hist.items() if k <= limit}, gaps, capacity)
+    plan, _ = small_plan({k: v for k, v in hist.items() if k <= limit}, gaps, capacity)
 
     @F.pandas_udf("long")
     def place_small(n: pd.Series, rank: pd.Series) -> pd.Series:
