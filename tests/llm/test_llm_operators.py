@@ -151,9 +151,9 @@ def brute_classes(docs, similar=0.8):
     return {i: top(first[t]) for i, t in rows}
 
 
-@pytest.mark.parametrize("small", [32, 1])
+@pytest.mark.parametrize("small", [32, 6])
 def test_near_duplicates(spark, odd, none, small):
-    """Classes equal those of comparing all pairs, with direct and with prefix-filtered large buckets."""
+    """Classes equal those of comparing all pairs, with direct comparison and with further hashes for large buckets."""
     base = [f"w{i}" for i in range(60)]
     made = [(100 + k, " ".join(base[: 60 - k] + [f"z{k}_{j}" for j in range(k)])) for k in range(0, 30)]
     made += [(200 + k, " ".join(f"u{k}_{j}" for j in range(40))) for k in range(20)]
