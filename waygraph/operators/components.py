@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from waygraph.plans.stages import materialise
 
 
-def _marked(df: DataFrame) -> tuple[DataFrame, tuple]:
-    """Write a round's edges; their count and a sum of hashes are observed on the way."""
+#: Edges that one task writes in a round.
+TASK_EDGES = 200_000
+
+
+def _marked(df: DataFrame, edges: int | None = None) -> tuple[DataFrame, tuple]:
+    """Write a round's edges, at most about ``edges`` of them; their count and a sum of hashes are observed on the way."""
+    if edges is not None:
+        df = df.coalesce(max(1, -(-2 * edges // TASK_EDGES)))
     seen = Observation()
     out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
     return out, (seen.get["n"], seen.get["h"])
@@ -37,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        state, now = _marked(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        state, now = _marked(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), mark[0])
         if now == mark:
             break
         mark = now
