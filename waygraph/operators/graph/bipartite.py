@@ -11,7 +11,7 @@ from waygraph.plans.stages import materialise
 
 
 def two_coloring(edges: DataFrame) -> DataFrame:
-    """``id, color`` of any graph, by components of the graph of (node, parity); an error if an odd cycle exists."""
+    """``id, color`` of any graph, by components of the graph of (node, parity); the least node of a part has colour 0; an error if an odd cycle exists."""
     key = F.lit(2)
     a, b = F.col("src") * key, F.col("dst") * key
     doubled = edges.select(a.alias("x"), (b + 1).alias("y")).union(edges.select((a + 1).alias("x"), b.alias("y")))
@@ -20,7 +20,7 @@ def two_coloring(edges: DataFrame) -> DataFrame:
     p = v.groupBy("id").agg(F.max(F.when(F.col("side") == 0, F.col("component"))).alias("c0"), F.max(F.when(F.col("side") == 1, F.col("component"))).alias("c1"))
     if p.filter("c0 = c1").limit(1).count():
         raise ValueError("the graph is not bipartite")
-    return p.select("id", F.when(F.col("c0") < F.col("c1"), 1).otherwise(0).alias("color"))
+    return p.select("id", F.when(F.col("c0") < F.col("c1"), 0).otherwise(1).alias("color"))
 
 
 def is_bipartite(edges: DataFrame) -> bool:

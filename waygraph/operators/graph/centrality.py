@@ -11,11 +11,12 @@ from waygraph.operators.indicators import brandes, distance_sums, edge_brandes
 from waygraph.plans.kernels import relax, search, symmetric
 from waygraph.plans.stages import materialise
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
 
 
 def _n():
-    return F.count(F.lit(1)).over(_ALL)
+    return F.count(F.lit(1)).over(_all())
 
 
 def degree_centrality(edges: DataFrame, end: str = "both") -> DataFrame:
@@ -136,7 +137,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: floa
     def share(t, name):
         if t is None:
             return F.lit(1.0) / _n()
-        return F.coalesce(F.col(name), F.lit(0.0)) / F.sum(F.coalesce(F.col(name), F.lit(0.0))).over(_ALL)
+        return F.coalesce(F.col(name), F.lit(0.0)) / F.sum(F.coalesce(F.col(name), F.lit(0.0))).over(_all())
 
     v = ids
     for t, name in ((personalization, "p"), (dangling, "q")):
@@ -168,11 +169,11 @@ def hits(edges: DataFrame, rounds: int = 100, tol: float = 1e-8) -> DataFrame:
     def step(h):
         b = e.join(authority(h).withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("s"))
         y = ids.join(b, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("x"))
-        return y.select("id", (F.col("x") / F.max("x").over(_ALL)).alias("x"))
+        return y.select("id", (F.col("x") / F.max("x").over(_all())).alias("x"))
 
     h = _iterate(ids.withColumn("x", F.lit(1.0) / _n()), step, 1, tol, rounds, "hits")
     a = authority(h).withColumnRenamed("x", "a")
-    return h.join(a, "id").select("id", (F.col("x") / F.sum("x").over(_ALL)).alias("hub"), (F.col("a") / F.sum("a").over(_ALL)).alias("authority"))
+    return h.join(a, "id").select("id", (F.col("x") / F.sum("x").over(_all())).alias("hub"), (F.col("a") / F.sum("a").over(_all())).alias("authority"))
 
 
 def reaching(edges: DataFrame) -> DataFrame:

@@ -19,19 +19,30 @@ def _xy(v):
     return 100 * (v % 30) + (v * 37) % 11, 100 * F.floor(v / 30) + (v * 53) % 13
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fid, name, geom``: a street lattice, one segment per customer and kind of order."""
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v, w``: lattice vertices that a street joins."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("v"), (F.col("o_orderkey") % 8).alias("dir")).distinct()
     d = F.col("dir")
     w = F.col("v") + F.when(d < 3, 1).when(d < 6, 30).when(d == 6, 31).otherwise(29)
     e = orders.filter((d < 6) | (F.col("v") % 4 == 0)).select("v", w.alias("w"))
     top = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("top"))
     e = e.crossJoin(top).filter((F.col("w") <= F.col("top")) & (F.abs(F.col("w") % 30 - F.col("v") % 30) <= 1)).select("v", "w").distinct()
+    return e
+
+
+def _line() -> F.Column:
+    """The street between two lattice vertices, with a bend."""
     (x1, y1), (x2, y2) = _xy(F.col("v")), _xy(F.col("w"))
     mid = G.point((x1 + x2) / 2 + (F.col("v") * 7 + F.col("w") * 3) % 5, (y1 + y2) / 2)
+    return F.array(G.point(x1, y1), mid, G.point(x2, y2))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fid, name, geom``: a street lattice, one segment per customer and kind of order."""
+    e = _pairs(spark, sf_dir)
     step, row, col = F.col("w") - F.col("v"), F.floor(F.col("v") / 30), F.col("v") % 30
     name = F.when(step == 1, F.concat(F.lit("E"), row)).when(step == 30, F.concat(F.lit("N"), col)).when(step == 31, F.concat(F.lit("D"), row - col)).otherwise(F.concat(F.lit("A"), row + col))
-    return e.select((F.col("v") * 100 + step).cast("long").alias("fid"), name.alias("name"), F.array(G.point(x1, y1), mid, G.point(x2, y2)).alias("geom"))
+    return e.select((F.col("v") * 100 + step).cast("long").alias("fid"), name.alias("name"), _line().alias("geom"))
 
 
 #: The same segments for DuckDB: fid, v, w, name, coordinates, length.
@@ -70,5 +81,5 @@ def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def street_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice as ``src, dst, w``: vertices and integer metres."""
-    s = segments(spark, sf_dir)
-    return s.select(lattice_key(G.start_point("geom")).alias("src"), lattice_key(G.end_point("geom")).alias("dst"), G.length("geom").cast("int").alias("w"))
+    e = _pairs(spark, sf_dir)
+    return e.select(F.col("v").alias("src"), F.col("w").alias("dst"), G.length(_line()).cast("int").alias("w"))
