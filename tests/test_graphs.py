@@ -72,6 +72,15 @@ def test_search_strategies_agree(spark, seed):
         assert sorted(map(tuple, search(g, broadcast=True).collect())) == sorted(map(tuple, search(g, broadcast=False).collect()))
 
 
+def test_relaxations_agree(spark):
+    from waygraph.plans.kernels import relax
+
+    e = random_graph(25, 60, 5)
+    w = spark.createDataFrame([(a, b, float((a * 7 + b * 3) % 5 + 1)) for a, b in e], "src long, dst long, w double")
+    g = symmetric(w, "src", "dst", "w")
+    assert sorted(map(str, relax(g, spark.range(25)).collect())) == sorted(map(str, relax(g, spark.range(25), broadcast=False).collect()))
+
+
 def test_components_and_cores(spark):
     edges = random_graph(60, 50, 3)
     up = list(range(60))

@@ -161,7 +161,7 @@ simple("bfs_tree", None, lambda s, d: T.bfs_tree(street(s, d), 0))
 simple("weighted_distances", None, lambda s, d: T.weighted_distances(X.street_graph(s, d), s.range(1)).select("node", "dist"))
 simple("eccentricity", None, lambda s, d: T.eccentricity(T.largest_component(street(s, d))))
 simple("strong_components", EV + " SELECT src AS id, (SELECT min(src) FROM ev) AS component FROM ev GROUP BY src", lambda s, d: T.strong_components(X.event_transitions(s, d).select("src", "dst")))
-simple("topological_levels", None, lambda s, d: T.topological_levels(street(s, d)))
+simple("topological_levels", "SELECT DISTINCT o_custkey AS id, 0 AS level FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_suppkey + 10000000, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey + 20000000, 2 FROM lineitem", lambda s, d: T.topological_levels(X.customer_suppliers(s, d).unionByName(X.supplier_parts(s, d).select((F.col("src") + 10_000_000).alias("src"), (F.col("dst") + 20_000_000).alias("dst")))))
 simple("spanning_forest", None, lambda s, d: T.spanning_forest(X.street_graph(s, d)))
 simple("maximal_matching", None, lambda s, d: T.maximal_matching(street(s, d)))
 simple("independent_set", None, lambda s, d: T.independent_set(street(s, d)))

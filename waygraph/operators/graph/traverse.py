@@ -151,13 +151,19 @@ def paths(distances: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     back = materialise(distances.select("root", F.col("node").alias("at"), "pred"), "preds")
     want = distances.select("root", "node") if targets is None else targets.join(distances.select("root", "node"), ["root", "node"], "left_semi")
     live, done = want.select("root", "node", F.col("node").alias("at"), F.array("node").alias("path")), None
+    turn = 0
     while True:
-        live = materialise(live.join(back, ["root", "at"]), "paths")
+        turn += 1
+        live = live.join(back, ["root", "at"])
+        if turn % 4 == 0:  # four steps back in one job
+            live = materialise(live, "paths")
         own = live.filter("pred is null").select("root", "node", "path")
         done = own if done is None else done.unionByName(own)
         live = live.filter("pred is not null").select("root", "node", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
-        if not live.limit(1).count():
-            return done
+        if turn % 4 == 0:
+            done = materialise(done, "paths-done")
+            if not live.limit(1).count():
+                return done
 
 
 def all_shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:

@@ -8,6 +8,7 @@ is joined with the edges, level by level, each level written to shared storage.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -146,13 +147,67 @@ def per_source(edges: DataFrame, sources: DataFrame, schema: str, function: Call
     return sources.select(F.col("id").cast("long").alias("id")).repartition(n, "id").mapInPandas(run, schema)
 
 
-def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max_rounds: int = 10_000) -> DataFrame:
+def _settle(starts, nbr, weight, root, cutoff):
+    """(distances, predecessors) from one root over non-negative weights; of equal sums the least predecessor settled before."""
+    dist, pred, done = {root: 0.0}, {root: -1}, set()
+    heap = [(0.0, root)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        for k in range(starts[u], starts[u + 1]):
+            v, nd = int(nbr[k]), d + float(weight[k])
+            if v in done or (cutoff is not None and nd > cutoff):
+                continue
+            old = dist.get(v)
+            if old is None or nd < old:
+                dist[v], pred[v] = nd, u
+                heapq.heappush(heap, (nd, v))
+            elif nd == old and u < pred[v]:
+                pred[v] = u
+    return dist, pred
+
+
+def _relax_broadcast(steps: DataFrame, sources: DataFrame, cutoff: float | None) -> DataFrame:
+    """relax() with the weighted adjacency sent to every task and the sources dealt over tasks."""
+    spark = steps.sparkSession
+    e = steps.toPandas()
+    ids = np.unique(np.concatenate([e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64)]))
+    s, d = np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy())
+    order = np.argsort(s, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(ids)))]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((ids, starts, d[order], e["w"].to_numpy(np.float64)[order]))
+
+    def run(batches):
+        ids, starts, nbr, w = shared.value
+        for b in batches:
+            for r in b["id"]:
+                i = int(np.searchsorted(ids, r))
+                if i == len(ids) or ids[i] != r:
+                    yield pd.DataFrame({"root": [r], "node": [r], "dist": [0.0], "pred": pd.array([None], "Int64")})
+                    continue
+                dist, pred = _settle(starts, nbr, w, i, cutoff)
+                at = np.fromiter(dist, np.int64, len(dist))
+                p = np.fromiter((pred[k] for k in dist), np.int64, len(dist))
+                yield pd.DataFrame({"root": r, "node": ids[at], "dist": list(dist.values()), "pred": pd.array(ids[np.maximum(p, 0)], "Int64").copy()}).assign(pred=lambda x: x["pred"].mask(p < 0))
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sources.select(F.col("id").cast("long").alias("id")).distinct().repartition(n, "id").mapInPandas(run, "root long, node long, dist double, pred long")
+
+
+def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max_rounds: int = 10_000, broadcast: bool | None = None) -> DataFrame:
     """``root, node, dist, pred``: least sums of ``w`` along directed ``src, dst, w``; of equal sums the smallest predecessor.
 
-    Rounds join only rows that improved in the round before.  Negative weights
-    are allowed; a negative cycle raises an error after as many rounds as nodes.
+    Up to BROADCAST_EDGES edges (counted first) without negative weights, the
+    adjacency is broadcast and every source is settled in a task.  Otherwise rounds
+    join only rows that improved in the round before; negative weights are allowed
+    then, and a negative cycle raises an error after as many rounds as nodes.
     """
-    steps = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "relax-edges")
+    steps = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")), "relax-edges")
+    facts = steps.agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("low")).first()
+    if broadcast is not False and facts["n"] <= BROADCAST_EDGES and (facts["low"] or 0.0) >= 0:
+        return _relax_broadcast(steps, sources, cutoff)
     nodes = steps.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
     best = materialise(sources.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct(), "relax")
     front = best
