@@ -167,6 +167,14 @@ def test_near_duplicates(spark, odd, none, small):
         assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_pairs_within_large_buckets(spark):
+    """Pairs of similarity 0.802 in buckets of hundreds of texts that are 0.78 alike: each pair is a class."""
+    base = " ".join(f"w{i}" for i in range(267))
+    made = [(2 * k + j, " ".join([base, *(f"p{k}_{i}" for i in range(4)), *(f"q{k}_{j}_{i}" for i in range(33))])) for k in range(100) for j in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), rare=1.0).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i in range(200)}
+
+
 def test_weighted_sampling_estimates_similarity():
     g = np.random.default_rng(1)
     h = np.sort(g.integers(0, 1 << 63, 400, dtype=np.uint64))

@@ -18,9 +18,11 @@ family of edited copies is the original.  Then, only in buckets that still hold
 several classes, members of different classes are compared: directly if the
 bucket is small; in a large one with the most central member outside the first
 one's class, and directly within the small buckets of ``DEEP`` further hashes, each
-of ``DEPTH`` of the samples.  So the work grows with the members.  A pair of
-similarity 0.8 whose common buckets are all large meets in a further hash with
-probability 0.97, one of 0.85 with 0.999.
+of ``DEPTH`` of the samples.  These only join classes early.  What is then left, the
+members of large buckets that still hold several classes, is compared across
+classes by an exact prefix filter: two sets of similarity t share an element
+within the first 1 - t of their weight, in any fixed order, and at the first one
+the weight left to the lighter rest is at least t / (1 + t) of both weights.
 """
 
 from __future__ import annotations
@@ -47,8 +49,10 @@ DEEP, DEPTH = 48, 12
 AGREE = 36
 #: Bits of an entry's number in the table of random draws.
 DRAWS = 20
-#: Shingles proposed in one counting pass.
-PROPOSED = 500_000
+#: Shingles proposed in one counting pass, and entries of the order of the prefix filter.
+PROPOSED, ORDERED = 500_000, 1_000_000
+#: Rows of one prefix shingle that meet in a task.
+HOT = 1000
 
 _U = np.uint64
 _POW = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, _U))
@@ -327,6 +331,59 @@ def _large_pairs(members: DataFrame, sketches: DataFrame, small: int) -> DataFra
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _prefix_pairs(members: DataFrame, nodes: DataFrame, idf, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of ``members`` (node, component) of different components that may be similar: an exact prefix filter.
+
+    Any fixed order of shingles is exact.  Shingles that batches met more than
+    once come last, by how often; they are at most ORDERED, the most frequent.
+    """
+    own = materialise(_texts_of(members.select("node").distinct(), nodes).join(members, "node").select("node", "component", "body"), "prefix-texts", "zstd")
+
+    def repeated(batches):
+        for b in batches:
+            u, c = np.unique(np.concatenate([shingle_sets(block, words)[0] for block in _blocks(b["body"].tolist())] or [np.empty(0, _U)]), return_counts=True)
+            yield pd.DataFrame({"h": u[c > 1].view(np.int64), "n": c[c > 1]})
+
+    often = own.select("body").mapInPandas(repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDERED).toPandas().sort_values("h")
+    ranks = nodes.sparkSession.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def prefix(batches):
+        known, n = ranks.value
+        for b in batches:
+            parts = []
+            for node, comp, t in zip(b["node"], b["component"], b["body"], strict=True):
+                h, c, _ = shingle_sets([t], words)
+                w, s = idf.value.weights(h, c), h.view(np.int64)
+                seen = np.zeros(len(s), np.int64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hit = known[i] == s
+                    seen[hit] = n[i[hit]]
+                order = np.lexsort((s, seen))
+                before = np.cumsum(w[order]) - w[order]
+                first = before <= (1 - similar) * w.sum() + 1e-9
+                parts.append(pd.DataFrame({"node": node, "component": comp, "h": s[order][first], "left": w.sum() - before[first], "whole": w.sum()}))
+            if parts:
+                yield pd.concat(parts)
+
+    p = materialise(own.mapInPandas(prefix, "node long, component long, h long, left double, whole double"), "prefixes")
+    several = p.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    p = materialise(p.join(several.select("h", F.ceil(F.col("n") / HOT).alias("parts")), "h"), "prefixes")
+    # rows of a hot shingle are dealt over its parts on one side and copied to each on the other
+    x = p.select("h", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("left").alias("la"), F.col("whole").alias("wa"))
+    y = p.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("left").alias("lb"), F.col("whole").alias("wb"))
+    bound = F.least("la", "lb") >= (F.col("wa") + F.col("wb")) * (similar / (1 + similar)) - 1e-9
+    return x.join(y, ["h", "part"]).filter(F.expr("a < b and ca <> cb") & bound).select("a", "b").distinct()
+
+
+def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members with their ``component``, of the buckets that still hold several classes."""
+    m = members.join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    m = materialise(m, "bucket-classes")
+    several = m.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
+    return materialise(m.join(several, ["band", "key"]), "open-buckets")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS, rare: float = RARE, small: int = SMALL) -> DataFrame:
     """Return ``doc_id, class_id, class_size, kept``, one row per row of ``docs``.
 
@@ -357,18 +414,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialise(_verified(_agree(stars, sketches), nodes, idf, similar, words), "links")
     classes = materialise(connected_components(links, "a", "b"), "classes")
 
-    # buckets that still hold several classes
-    m = members.join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    m = materialise(m, "bucket-classes")
-    open_ = m.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    m = materialise(m.join(open_, ["band", "key"]), "open-buckets")
+    m = _open(members, classes)
     pairs = _across(m.filter(F.col("n") <= small), ["band", "key"])
     many = m.filter(F.col("n") > small)
-    if many.limit(1).count():
+    large = bool(many.limit(1).count())
+    if large:
         pairs = pairs.unionByName(_large_pairs(many, sketches, small))
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _agree(pairs.distinct().join(done, ["a", "b"], "left_anti"), sketches)
+    rest = materialise(_agree(pairs.distinct().join(done, ["a", "b"], "left_anti"), sketches), "rest")
     links = materialise(links.union(_verified(rest, nodes, idf, similar, words)), "links")
+    if large:
+        many = _open(many.drop("component"), materialise(connected_components(links, "a", "b"), "classes"))
+        if many.limit(1).count():
+            pairs = _prefix_pairs(many.select("node", "component").distinct(), nodes, idf, similar, words)
+            pairs = _agree(pairs.join(done.union(rest).distinct(), ["a", "b"], "left_anti"), sketches)
+            links = materialise(links.union(_verified(pairs, nodes, idf, similar, words)), "links")
     classes = connected_components(links, "a", "b").withColumnRenamed("id", "node")
 
     named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
