@@ -165,7 +165,7 @@ simple("topological_levels", "SELECT DISTINCT o_custkey AS id, 0 AS level FROM o
 simple("spanning_forest", None, lambda s, d: T.spanning_forest(X.street_graph(s, d)))
 simple("maximal_matching", None, lambda s, d: T.maximal_matching(street(s, d)))
 simple("independent_set", None, lambda s, d: T.independent_set(street(s, d)))
-simple("bridges", None, lambda s, d: T.bridges(two(s, d)[0].filter("dst = src + 1 or dst = src + 30")))
+simple("bridges", None, lambda s, d: T.bridges(street(s, d)))
 simple("local_bridges", seg("SELECT src, dst FROM st e WHERE NOT EXISTS (SELECT 1 FROM sy a JOIN sy b ON a.dst = b.dst WHERE a.src = e.src AND b.src = e.dst)", ST), lambda s, d: T.local_bridges(street(s, d)))
 simple("greedy_color", None, lambda s, d: T.greedy_color(street(s, d)))
 simple("is_graphical", seg("SELECT true AS graphical, true AS multigraphical, true AS pseudographical", ST), lambda s, d: T.is_graphical(V.degrees(street(s, d))))
