@@ -28,3 +28,12 @@ def test_bridges_of_the_street_graph(spark, sf):
 
     want = {(a, b) for a in near for b in near[a] if a < b and (near[a].count(b) == 1) and not reached(a, b)}
     assert {(r.src, r.dst) for r in Q["bridges"](spark, sf).collect()} == want
+
+
+def test_labels_are_settled(spark, sf):
+    near = street(spark, sf)
+    label = {r.id: r.label for r in Q["label_propagation"](spark, sf).collect()}
+    assert label.keys() == near.keys()
+    for u, vs in near.items():
+        own = [label[v] for v in vs]
+        assert own.count(label[u]) == max(own.count(x) for x in own)

@@ -151,7 +151,7 @@ simple("average_degree_connectivity", seg("SELECT a.k AS degree, round(avg(b.k),
 simple("triangles_as_cliques", seg("SELECT a || ',' || b || ',' || c AS members FROM tr", TR), lambda s, d: K.k_cliques(street(s, d), 3).select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members")))
 simple("cliques_per_node", None, lambda s, d: K.cliques_of_nodes(K.maximal_cliques(street(s, d))))
 simple("k_clique_communities", None, lambda s, d: K.k_clique_communities(street(s, d), 3))
-simple("label_propagation", None, lambda s, d: K.asyn_label_propagation(street(s, d), rounds=6))
+simple("label_propagation", None, lambda s, d: K.asyn_label_propagation(street(s, d)))
 
 GB = STATE + ", gs AS (SELECT src, dst FROM ga UNION ALL SELECT dst, src FROM ga), cc(id, c) AS (SELECT DISTINCT src, src FROM gs UNION SELECT dst, c FROM cc JOIN gs ON src = id WHERE c < dst)"
 simple("connected_components", _recursive(seg("SELECT id, min(c) AS component FROM (SELECT id, c FROM cc UNION ALL SELECT src, src FROM gs) GROUP BY id", STATE + """,

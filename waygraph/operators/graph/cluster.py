@@ -157,22 +157,26 @@ def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return lab.select("id", "label")
 
 
-def asyn_label_propagation(edges: DataFrame, rounds: int = 20, weight: str | None = None) -> DataFrame:
-    """``id, label``: synchronous rounds with seeded hash ties; each round half of the nodes, drawn by hash, may move."""
+def asyn_label_propagation(edges: DataFrame, rounds: int = 1000, weight: str | None = None) -> DataFrame:
+    """``id, label``: in each round half of the nodes, drawn by hash, take the commonest neighbour label, their own among ties, else one drawn by hash.
+
+    Ends when no node's label is beaten; an error if it never is.
+    """
     s = materialise(symmetric(edges, "src", "dst", *([weight] if weight else [])), "links")
     w = F.col(weight) if weight else F.lit(1)
     lab = materialise(nodes(edges).withColumn("label", F.col("id")), "labels")
     for r in range(rounds):
         counts = s.join(lab.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum(w).alias("n"))
-        best = counts.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", F.xxhash64(F.lit(r), "label"), "label")).alias("b"))
+        counts = counts.join(lab.select(F.col("id").alias("src"), F.col("label").alias("own")), "src")
+        best = counts.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", F.col("label") == F.col("own"), F.xxhash64(F.lit(r), "label"), "label")).alias("b"))
         turn = F.xxhash64(F.lit(r), "id") % 2 == 0
-        nxt = lab.join(best, "id", "left").select("id", F.when(turn, F.coalesce("b.label", "label")).otherwise(F.col("label")).alias("new"), "label")
+        new = F.coalesce("b.label", "label")
+        nxt = lab.join(best, "id", "left").select("id", F.when(turn, new).otherwise(F.col("label")).alias("label"), (new != F.col("label")).alias("beaten"))
         nxt = materialise(nxt, "labels")
-        still = r > 2 and not nxt.filter("new <> label").limit(1).count()
-        lab = nxt.select("id", F.col("new").alias("label"))
-        if still:
-            break
-    return lab
+        lab = nxt.select("id", "label")
+        if not nxt.filter("beaten").limit(1).count():
+            return lab
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, weight: str | None = None) -> DataFrame:
