@@ -1,7 +1,10 @@
 """Registered queries do the whole job: results on sf0.001 against plain Python."""
 
+import numpy as np
+
 from waygraph import graph_queries as G
 from waygraph.queries import Q
+from waygraph.sources import fixtures as X
 
 
 def street(spark, sf):
@@ -37,3 +40,20 @@ def test_labels_are_settled(spark, sf):
     for u, vs in near.items():
         own = [label[v] for v in vs]
         assert own.count(label[u]) == max(own.count(x) for x in own)
+
+
+def test_hits_have_converged(spark, sf):
+    e = [(r.src, r.dst) for r in X.customer_suppliers(spark, sf).select("src", "dst").collect()]
+    ids = {x: i for i, x in enumerate(sorted({x for p in e for x in p}))}
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in e:
+        a[ids[x], ids[y]] += 1
+
+    def first(m):
+        v = np.abs(np.linalg.eigh(m)[1][:, -1])
+        return v / v.sum()
+
+    h = {r.id: r for r in Q["hits"](spark, sf).collect()}
+    for name, want in (("hub", first(a @ a.T)), ("authority", first(a.T @ a))):
+        got = np.array([h[x][name] for x in ids])
+        assert np.abs(got - want).max() < 1e-8

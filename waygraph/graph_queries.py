@@ -109,7 +109,7 @@ simple("load_centrality", None, lambda s, d: r9(C.load_centrality(street(s, d)),
 simple("eigenvector_centrality", None, lambda s, d: C.eigenvector_centrality(V.canonical(X.customer_suppliers(s, d)), tol=1e-4).withColumn("value", F.round("value", 6)))
 simple("katz_centrality", None, lambda s, d: C.katz_centrality(street(s, d)).withColumn("value", F.round("value", 6)))
 simple("pagerank", None, lambda s, d: C.pagerank(X.customer_suppliers(s, d)).withColumn("value", F.round("value", 8)))
-simple("hits", None, lambda s, d: C.hits(X.customer_suppliers(s, d), tol=1e-6).select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority")))
+simple("hits", None, lambda s, d: C.hits(X.customer_suppliers(s, d)).select("id", "hub", "authority"))
 simple("global_efficiency", None, lambda s, d: C.global_efficiency(street(s, d)).withColumn("value", F.round("value", 9)))
 simple("wiener_index", None, lambda s, d: C.wiener_index(street(s, d)))
 
