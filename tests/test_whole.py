@@ -57,3 +57,12 @@ def test_hits_have_converged(spark, sf):
     for name, want in (("hub", first(a @ a.T)), ("authority", first(a.T @ a))):
         got = np.array([h[x][name] for x in ids])
         assert np.abs(got - want).max() < 1e-8
+
+
+def test_bench_gives_no_total_of_a_part():
+    import bench
+
+    whole = bench.line(dict.fromkeys(bench.QUERIES, 1.0), "x/sf0.1/")
+    assert whole["value"] == len(bench.QUERIES) and whole["not_run"] == []
+    part = bench.line({"vertices": 1.0}, "sf0.1")
+    assert part["value"] is None and part["not_run"] == bench.QUERIES[1:]
