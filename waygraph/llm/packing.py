@@ -6,9 +6,12 @@ sequence length and not by the data; rows are then placed by rank arithmetic.
 1. Pieces longer than an eighth of a sequence are sorted by length and cut into
    groups of equal cardinality; each is rounded up to its group's largest length,
    which leaves a few sizes.
-2. Configurations of those sizes are built largest item first, completed by the
-   subset of the other sizes that fills the sequence best, and used as often as
-   the counts allow.  Several numbers of groups are tried; the gaps and the small
+2. How often each configuration of those sizes is used is a linear programme: the
+   fewest sequences that cover all counts.  It is solved by column generation: a
+   knapsack over the current prices finds the configuration that improves most,
+   until none does.  Its solution is rounded down, and what is left is packed
+   largest item first, completed by the subset of the other sizes that fills the
+   sequence best.  Several numbers of groups are tried; the gaps and the small
    pieces of each plan follow from the histograms, and the plan with the fewest
    sequences is taken.
 3. Actual pieces replace the rounded ones: the piece of rank r in the sorted order
@@ -21,6 +24,7 @@ sequence length and not by the data; rows are then placed by rank arithmetic.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 
@@ -31,19 +35,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waygraph.llm.common import bounded_batches, ranked, vocabulary
+from waygraph.llm.common import bounded_batches, parts_for, ranked, vocabulary
 from waygraph.plans.stages import materialise, table
 
 CAPACITY = 4096
-#: Numbers of groups that are tried.
+#: Numbers of groups that are tried; up to OPTIMISED of them also with optimised configurations.
 GROUPS = (8, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192)
+OPTIMISED = 48
 #: Words whose ids a Python worker keeps, in each of two generations.
 CACHE_WORDS = 400_000
-#: The pre-tokens of the vocabulary file's own split pattern.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters that the normaliser leaves alone but for lower case, one to one.
+#: What a vocabulary file must say of itself for words to be encoded apart; the split pattern is read from the file.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+#: Characters that this normaliser leaves alone but for lower case, one to one.
 PLAIN = re.compile("[!-~¡-¬®-įı-ſ]+")
-_ENCODERS: dict[str, "WordIds"] = {}
+_ENCODERS: dict[str, object] = {}
+
+
+def word_pattern(path: str) -> str | None:
+    """The split pattern of a vocabulary whose words can be encoded apart: lower case, white space
+    dropped by the pattern, bytes mapped one to one, no post-processing; None for any other file."""
+    if not path.endswith(".json"):
+        return None
+    with open(path) as f:
+        d = json.load(f)
+    n, p = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+    steps = p.get("pretokenizers") or [{}, {}]
+    known = (
+        [x["type"] for x in n.get("normalizers", [])] == NORMALISER
+        and n["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+        and n["normalizers"][1].get("content") == " "
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("behavior") == "Removed"
+        and steps[0].get("invert") is True
+        and not steps[1].get("add_prefix_space")
+        and not steps[1].get("use_regex")
+        and d.get("post_processor") is None
+        and d.get("model", {}).get("type") == "BPE"
+        and all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in d.get("added_tokens", []))
+    )
+    pattern = steps[0].get("pattern", {}).get("Regex") if known else None
+    return pattern if pattern and not regex.search(pattern, " \n\t") else None
+
+
+class WholeIds:
+    """Ids of whole texts by the library, for any vocabulary file."""
+
+    def __init__(self, name: str):
+        path = vocabulary(name)
+        if path.endswith(".model"):
+            import sentencepiece
+
+            self.encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
+        else:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            whole.no_truncation()
+            whole.no_padding()
+            self.encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+
+    def text(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u4").tobytes()
 
 
 class WordIds(dict):
@@ -54,11 +106,14 @@ class WordIds(dict):
     merged by the library's model; all others go through the library whole.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, pattern: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.words = regex.compile(pattern)
         self.whole = Tokenizer.from_file(vocabulary(name))
+        self.whole.no_truncation()
+        self.whole.no_padding()
         self.model = self.whole.model
         self.old: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,7 +132,7 @@ class WordIds(dict):
             return self._merge([word])
         if word[-1] in ".,;:!?|" and word[:-1].isalpha():
             return self[word[:-1]] + self[word[-1]]
-        return self._merge(PRETOKEN.findall(word))
+        return self._merge(self.words.findall(word))
 
     def _merge(self, parts: list[str]) -> bytes:
         ids = []
@@ -102,10 +157,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def encoder(name: str) -> WordIds:
-    """One encoder for each vocabulary and Python worker."""
+def encoder(name: str) -> WordIds | WholeIds:
+    """One encoder for each vocabulary and Python worker; words apart only where the file allows it."""
     if name not in _ENCODERS:
-        _ENCODERS[name] = WordIds(name)
+        pattern = word_pattern(vocabulary(name))
+        _ENCODERS[name] = WordIds(name, pattern) if pattern else WholeIds(name)
     return _ENCODERS[name]
 
 
@@ -114,7 +170,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int
 
     A document is the ids of its whole text (null: empty) and then ``end``; only
     longer ones are cut, into pieces of ``capacity`` ids.  Rows that repeat give
-    repeated pieces.  Other columns are not read.
+    repeated pieces; ids may be null; an empty table gives none.  Other columns are
+    not read.
     """
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -157,7 +214,48 @@ def _completion(room: int, sizes: list[int], counts: list[int]) -> list[int]:
     return used
 
 
-def large_plan(hist: dict[int, int], capacity: int, groups: int) -> tuple[np.ndarray, int]:
+def _dearest(sizes: list[int], prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration (uses of each size) of the highest price that fits, by a knapsack over sums."""
+    value = np.zeros(capacity + 1)
+    last = np.full(capacity + 1, -1)
+    for i, (w, y) in enumerate(zip(sizes, prices.tolist(), strict=True)):
+        if y <= 0:
+            continue
+        for _ in range(capacity // w):  # one more use of this size each time
+            better = value[:-w] + y > value[w:] + 1e-12
+            if not better.any():
+                break
+            at = np.flatnonzero(better) + w
+            value[at] = value[at - w] + y
+            last[at] = i
+    use, s = np.zeros(len(sizes)), int(value.argmax())
+    while s > 0 and last[s] >= 0:
+        use[last[s]] += 1
+        s -= sizes[last[s]]
+    return use
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used in the fewest (fractional) sequences that hold ``counts`` of ``sizes``.
+
+    Column generation on the cutting-stock programme, by the revised simplex method
+    from configurations of one size each.
+    """
+    basis = np.diag([float(capacity // w) for w in sizes])
+    need = np.array(counts, float)
+    for _ in range(rounds):
+        inverse = np.linalg.inv(basis)
+        use, prices = inverse @ need, inverse.sum(axis=0)
+        new = _dearest(sizes, prices, capacity)
+        if prices @ new <= 1 + 1e-7:
+            break
+        step = inverse @ new
+        ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(ratio.argmin())] = new
+    return [(basis[:, j], float(x)) for j, x in enumerate(np.linalg.inv(basis) @ need)]
+
+
+def large_plan(hist: dict[int, int], capacity: int, groups: int, optimised: bool = False) -> tuple[np.ndarray, int]:
     """Runs over the ranks of the large pieces, longest first: (first rank, first sequence, slot); and the sequences used."""
     total = sum(hist.values())
     if not total:
@@ -170,6 +268,24 @@ def large_plan(hist: dict[int, int], capacity: int, groups: int) -> tuple[np.nda
     left = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
     taken = list(cuts[:-1])
     runs, sequence = [], 0
+
+    def place(use, times):
+        nonlocal sequence
+        slot = 0
+        for i, n in enumerate(use):
+            for _ in range(n):
+                runs.append((taken[i], sequence, slot))
+                taken[i] += times
+                left[i] -= times
+                slot += 1
+        sequence += times
+
+    if optimised:
+        for use, often in configurations(sizes, left, capacity):
+            use = [int(round(x)) for x in use]
+            times = min([int(often + 1e-6), *(left[i] // n for i, n in enumerate(use) if n)])
+            if times > 0 and any(use):
+                place(use, times)
     for j in range(groups):
         while left[j]:
             others = [0] * (j + 1) + left[j + 1 :]
@@ -177,15 +293,7 @@ def large_plan(hist: dict[int, int], capacity: int, groups: int) -> tuple[np.nda
             use = _completion(capacity - sizes[j], sizes[j:], others[j:])
             use[0] += 1
             use = [0] * j + use
-            times = min(left[i] // n for i, n in enumerate(use) if n)
-            slot = 0
-            for i, n in enumerate(use):
-                for _ in range(n):
-                    runs.append((taken[i], sequence, slot))
-                    taken[i] += times
-                    left[i] -= times
-                    slot += 1
-            sequence += times
+            place(use, min(left[i] // n for i, n in enumerate(use) if n))
     return np.array(sorted(runs), np.int64), sequence
 
 
@@ -216,6 +324,7 @@ def best_plan(hist: dict[int, int], capacity: int, groups: tuple[int, ...]) -> n
     limit = capacity // 8
     large, small = ({k: v for k, v in hist.items() if (k > limit) == side} for side in (True, False))
     plans = [large_plan(large, capacity, n)[0] for n in groups]
+    plans += [large_plan(large, capacity, n, True)[0] for n in groups if n <= OPTIMISED]
     return min(plans, key=lambda runs: small_plan(small, plan_gaps(large, runs, capacity), capacity)[1])
 
 
@@ -267,12 +376,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] =
 
     Lengths are from 1 to ``capacity``; null or other lengths raise an error.
     ``identity`` spreads the rows of a frequent length over tasks and orders
-    them; rows that repeat are packed as often as they occur.
+    them; rows that repeat are packed as often as they occur.  An empty table gives
+    an empty result; columns that this adds are replaced if they are there already.
     """
     own = pieces.columns
+    parts = parts_for(pieces.count())
     rows = pieces.select(F.struct(*own).alias("row"), F.col(length).cast("int").alias("_len"), *[F.col(c).alias(f"_i{n}") for n, c in enumerate(identity)])
     ids = [F.col(f"_i{n}") for n in range(len(identity))]
-    rows = materialise(ranked(rows, ["_len"], ids, F.xxhash64(*ids), 128, "_rank"), "pack-ranks")
+    rows = materialise(ranked(rows, ["_len"], ids, F.xxhash64(*ids), parts, "_rank"), "pack-ranks")
     hist = {r["_len"]: r["count"] for r in rows.groupBy("_len").count().collect()}  # at most ``capacity`` lengths
     if any(x is None or not 1 <= x <= capacity for x in hist):
         raise ValueError(f"lengths must be from 1 to {capacity}")
@@ -292,14 +403,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] =
     large = rows.filter(F.col("_len") > limit).withColumn("_p", place_large("_len", "_rank")).select("row", "_len", "_rank", F.col("_p.seq").alias("_bin"), F.col("_p.slot").alias("_slot"))
     large = materialise(large, "pack-large")
     bins = large.groupBy("_bin").agg((F.lit(capacity) - F.sum("_len")).cast("int").alias("_gap"))
-    bins = materialise(ranked(bins, ["_gap"], [F.col("_bin")], F.xxhash64("_bin"), 128, "_r"), "pack-gaps")
+    bins = materialise(ranked(bins, ["_gap"], [F.col("_bin")], F.xxhash64("_bin"), parts, "_r"), "pack-gaps")
     gaps = {r["_gap"]: r["count"] for r in bins.groupBy("_gap").count().collect()}  # at most ``capacity`` gaps
-    starts, at = np.zeros(capacity + 1, np.int64), 0
+    starts, at = [(-1, 0)], 0
     for g in sorted(gaps):
-        starts[g] = at
+        starts.append((g, at))
         at += gaps[g]
-    first = F.element_at(F.array(*[F.lit(int(x)) for x in starts]), F.col("_gap") + 1)
-    bins = bins.select("_bin", (first + F.col("_r")).alias("sequence_id"))
+    first = bins.sparkSession.createDataFrame(starts, "_gap int, _first long")
+    bins = bins.join(F.broadcast(first), "_gap").select("_bin", (F.col("_first") + F.col("_r")).alias("sequence_id"))
     plan, _ = small_plan({k: v for k, v in hist.items() if k <= limit}, gaps, capacity)
 
     @F.pandas_udf("long")
@@ -321,7 +432,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] =
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents and their places."""
+    """Pieces of all documents and their places, as ``token_pieces`` and ``pack`` define them for odd rows."""
     return pack(materialise(token_pieces(docs), "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
