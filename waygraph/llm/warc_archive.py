@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.plans.stages import shared_dir, table
+from waygraph.plans.stages import materialise, shared_dir, table
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -31,23 +31,24 @@ def sha1_base32(data: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), char), "")
 
 
-def _record_id(page: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page|"), F.coalesce(page.cast("string"), F.lit("null"))))
+def _record_id(page: Column, digest: Column) -> Column:
+    """Named by page and payload, so pages that share an id with other payloads differ."""
+    h = F.md5(F.concat(F.lit("page|"), F.coalesce(page.cast("string"), F.lit("null")), F.lit("|"), digest))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def _header(page: Column, url: Column, size: Column, sha1: Column, first: Column, date: str) -> Column:
+def _header(page: Column, url: Column, size: Column, digest: Column, sha1: Column, first: Column, date: str) -> Column:
     revisit = ~page.eqNullSafe(first)
     clean = F.regexp_replace(F.coalesce(url, F.lit("urn:unknown")), r"[\r\n]", "%0A")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(page)),
+        F.concat(F.lit("WARC-Record-ID: "), _record_id(page, digest)),
         F.concat(F.lit("WARC-Target-URI: "), clean),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(first))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(first, digest))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: text/html"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(size).cast("string")),
@@ -62,7 +63,8 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     equal payloads of at least ``least`` bytes the one with the largest id is the
     response (ids that are null rank lowest) and others revisit it; smaller
     payloads are all responses.  Rows that repeat an id and a payload are archived
-    as they come.  Other columns are not read.
+    as they come; an id that repeats with other payloads gives records of their own.
+    An empty table gives an empty archive.  Other columns are not read.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
@@ -72,7 +74,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     first = thin.groupBy("digest").agg(F.max("page_id").alias("top"))
     rows = thin.join(first, "digest")
     target = F.when(F.col("size") >= least, F.col("top")).otherwise(F.col("page_id"))
-    header = _header(F.col("page_id"), F.col("url"), F.col("size"), F.col("sha1"), target, date)
+    header = _header(F.col("page_id"), F.col("url"), F.col("size"), F.col("digest"), F.col("sha1"), target, date)
     rows.select("page_id", "digest", header.alias("header")).write.parquet(f"{folder}/records")
 
 
@@ -105,8 +107,14 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     facts = _payloads(spark, folder).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
     fields = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers": "WARC-Refers-To", "target_uri": "WARC-Target-URI"}
     rows = spark.read.parquet(f"{folder}/records").select("page_id", "digest", *[_field(v).alias(k) for k, v in fields.items()])
-    responses = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers"])
-    return rows.join(facts, "digest").join(responses, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    rows = materialise(rows.join(facts, "digest").drop("digest"), "warc-read")
+    own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    plain = rows.filter("record_type = 'response'")
+    # revisits alone look for their response: a written table, so that many of one response can be split
+    responses = materialise(plain.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).distinct(), "warc-responses")
+    revisits = rows.filter("record_type = 'revisit'").join(responses, "refers", "left")
+    plain = plain.withColumn("refers_to", F.lit(None).cast(responses.schema["refers_to"].dataType))
+    return plain.select(*own, "refers_to", "target_uri").unionByName(revisits.select(*own, "refers_to", "target_uri"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
