@@ -169,7 +169,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, features`` of every text; null is empty."""
+    """``doc_id, features``, one row per row of ``docs``; null text is empty, texts are read whole, an empty table gives none."""
 
     @F.pandas_udf("array<double>")
     def described(texts: pd.Series) -> pd.Series:
@@ -178,14 +178,19 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", described(F.coalesce("text", F.lit(""))).alias("features"))
 
 
-def train(rows: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, remainder: int = 1, sample: int = SAMPLE) -> Additive:
-    """Fit on at most ``sample`` labelled rows of ``doc_id, features`` that are not held out.
+def labelled(labels: DataFrame, label: str = "quality", modulus: int = 3, remainder: int = 1, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, y`` of at most ``sample`` labelled rows that are not held out.
 
     Null labels are skipped; of repeated label rows the smallest label counts.
     """
     y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    y = y.groupBy("doc_id").agg(F.min(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(y), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # at most ``sample`` rows
+    return y.groupBy("doc_id").agg(F.min(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def train(rows: DataFrame, y: DataFrame) -> Additive:
+    """Fit on rows of ``doc_id, features`` that ``y`` labels; of rows that repeat an id the least features count."""
+    own = rows.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("features").alias("features"))
+    got = own.toPandas().sort_values("doc_id")  # at most as many rows as the sample of labels
     x = np.array([list(v) for v in got["features"]], np.float64).reshape(len(got), len(FEATURES))
     return fit(x, got["y"].to_numpy(np.float64))
 
@@ -206,15 +211,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: quality of all documents."""
     bounded_batches(spark)
     rows = materialise(features(table(spark, sf_dir, "documents")), "quality-features")
-    model = train(rows, table(spark, sf_dir, "labels"))
+    model = train(rows, labelled(table(spark, sf_dir, "labels")))
     out = rows.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score_features(model)("features").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with all their columns."""
+    """The rows of ``docs`` that the model accepts, with all their columns.
+
+    Null text counts as empty; rows that repeat get the same score and stay or go
+    together; texts are read whole.  Without labels of both kinds the score is the
+    smoothed share of good labels.  An empty table gives an empty result.  Only
+    texts that the sample of labels names are described before the fit.
+    """
     bounded_batches(docs.sparkSession)
-    model = train(features(docs), labels)
+    y = labelled(labels)
+    own = docs.select("doc_id", "text").join(F.broadcast(y.select("doc_id")), "doc_id")  # at most SAMPLE ids
+    model = train(features(own), y)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -87,7 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     Only ids of the sample are broadcast and only n-gram ids of its texts reach
     the driver; both are bounded by ``sample``.  Null labels are skipped and
-    of repeated label rows the smallest label counts.
+    of repeated label rows the smallest label counts.  Of rows that repeat an id
+    the least n-gram ids count.  Without labels of both kinds, or without rows, the
+    score is the smoothed share of toxic labels.
     """
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     rows = rows.groupBy("doc_id").agg(F.min(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -98,12 +100,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         return pd.Series([gram_ids(t, flags).tobytes() for t in texts])
 
     own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("doc_id"))
-    got = own.select("id", "y", grams("text").alias("ids")).dropDuplicates(["id"]).toPandas().sort_values("id")
+    own = own.select("id", "y", grams("text").alias("ids")).groupBy("id").agg(F.min("y").alias("y"), F.min("ids").alias("ids"))
+    got = own.toPandas().sort_values("id")
     return fit([np.frombuffer(bytes(x), np.int32) for x in got["ids"]], got["y"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score`` of the whole text; null is empty; a column of that name is replaced."""
+    """All columns of ``docs`` with ``score`` of the whole text, one row per row; a column of that name is replaced.
+
+    Null is empty; equal texts have equal scores; texts of any length are read
+    whole; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^BITS floats
 
     @F.pandas_udf("double")
