@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waygraph.llm.common import parts_for, ranked
 from waygraph.plans.stages import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words in a block.
 BLOCK = 32
-#: Parts of a source whose rows are summed apart.
+#: Least parts of a source whose rows are summed apart.
 SALTS = 256
 SEED = "mix-1"
 
@@ -86,12 +87,19 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
     Null text has size 0; null is a source of its own, last in order.  Rows that
     repeat are documents of their own, next to each other in the seeded order.
-    Other columns are not read.  An empty table gives an empty result; if all
-    sizes are 0 all targets are 0.
+    An empty table gives an empty result; if all sizes are 0 all targets are 0.
+    Very long texts are only counted.  Other columns are not read.
     """
+    return _taken(docs, share, most, weights, block, shards, doc_id, source, text).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = 8, doc_id: str = "doc_id", source: str = "source", text: str = "text", more: tuple = ()) -> DataFrame:
+    """The rows of ``mix`` with further columns of ``docs`` carried along."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), size.alias("size"), _seeded(F.col(doc_id).cast("string")).alias("draw"))
-    d = materialise(d.withColumn("part", (F.col("draw") % SALTS).cast("int")), "mix-sizes")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), size.alias("size"), _seeded(F.col(doc_id).cast("string")).alias("draw"), *more)
+    d = materialise(d, "mix-sizes")
+    d = d.withColumn("part", (F.col("draw") % parts_for(d.count(), SALTS)).cast("int"))
+    more = tuple(d.columns[4:-1])
     parts = materialise(d.groupBy("src", "part").agg(F.sum("size").alias("words")), "mix-parts")
     targets = materialise(source_targets(parts.groupBy("src").agg(F.sum("words").alias("source_size")), share, most, weights), "mix-targets")
     seats = quotas(targets, most, block, shards).groupBy("n").agg(F.sum("seats").alias("seats"))
@@ -115,14 +123,54 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
     end = F.col("start") + F.col("extra")
     extra = inside(F.col("start"), F.least(end, F.col("blocks"))) + F.when(end > F.col("blocks"), inside(F.lit(0), end - F.col("blocks"))).otherwise(F.lit(0))
-    return d.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", (F.col("turns") * F.col("size") + extra).cast("long").alias("taken"))
+    return d.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", (F.col("turns") * F.col("size") + extra).cast("long").alias("taken"), *more)
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes the document, rounded to whole documents."""
-    taken = mix(docs).filter("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).filter("_times > 0").dropDuplicates(["_id"])
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, in whole documents.
+
+    A document that the mix takes in part, at most two of a source's run, is taken
+    whole or not: of the choices for a source the one whose words come nearest to
+    its target counts.  Texts without words are not taken.  Rows that share
+    doc_id, source and text differ in nothing that the mix sees: what it takes of
+    them in all is dealt over them evenly.  Null text is empty, null a source of
+    its own, an empty table gives an empty result; columns named like the mix's
+    own stay as they are.
+    """
+    keys = ["_id", "_src", "_sha"]
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    t = materialise(_taken(docs, more=(sha.alias("_sha"),)).filter("size > 0"), "mix-taken")
+    # rows alike become one, with their number, before anything is decided
+    t = t.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_sha").agg(F.count(F.lit(1)).alias("_n"), F.first("size").alias("size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    t = materialise(t.withColumn("whole", F.expr("taken div size")).withColumn("part", F.expr("taken % size")), "mix-taken")
+    cut = F.collect_list(F.when(F.col("part") > 0, F.struct("size", "_id", "_sha")))  # the two ends of the run
+    ends = t.groupBy("_src").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), F.first("target").alias("target"), F.array_sort(cut).alias("ends"))
+    choices = F.transform(F.sequence(F.lit(0), F.pow(2, F.size("ends")).cast("int") - 1), lambda c: F.struct(F.abs(F.col("sure") + F.aggregate(F.transform("ends", lambda e, i: e["size"] * (F.floor(c / F.pow(2, i)).cast("long") % 2)), F.lit(0).cast("long"), lambda x, y: x + y) - F.col("target")).alias("off"), c.alias("c")))
+    ends = ends.withColumn("c", F.array_min(choices)["c"])
+    more = ends.select("_src", F.posexplode("ends").alias("i", "e"), "c").filter(F.floor(F.col("c") / F.pow(2, F.col("i"))).cast("long") % 2 == 1)
+    more = more.select(*[F.col(x).alias(f"m{y}") for x, y in (("e._id", "_id"), ("_src", "_src"), ("e._sha", "_sha"))])
+    more = more.withColumn("up", F.lit(1))
+    t = t.join(more, [t[k].eqNullSafe(more[f"m{k}"]) for k in keys], "left")
+    t = materialise(t.select(*keys, "_n", (F.col("whole") + F.coalesce("up", F.lit(0))).alias("_all")).filter("_all > 0"), "mix-times")
+
+    own = docs.columns
+    rows = docs.withColumn("_sha", sha)
+
+    def met(these: DataFrame) -> DataFrame:
+        names = these.select(*[F.col(k).alias(f"t{k}") for k in keys], "_n", "_all")
+        return rows.join(names, rows["doc_id"].eqNullSafe(names["t_id"]) & rows["source"].eqNullSafe(names["t_src"]) & (rows["_sha"] == names["t_sha"]))
+
+    def copies(df: DataFrame) -> DataFrame:
+        return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*own)
+
+    out = copies(met(t.filter("_n = 1")).withColumn("_times", F.col("_all")))
+    several = t.filter("_n > 1")
+    if several.limit(1).count():
+        many = met(several).withColumn("_place", F.monotonically_increasing_id())
+        many = ranked(many, ["t_id", "t_src", "t_sha"], [F.col("_place")], F.xxhash64("_place"), parts_for(docs.count()))
+        many = many.withColumn("_times", F.expr("_all div _n") + (F.col("rank") < F.expr("_all % _n")).cast("long")).filter("_times > 0")
+        out = out.unionByName(copies(many))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
