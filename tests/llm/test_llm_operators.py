@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -87,6 +89,33 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed_rows(odd).columns == odd.columns
 
 
+def test_mixed_rows(spark, odd):
+    """Whole documents, the two cut ones settled for the nearest sum; rows alike share what is taken of them."""
+    rows = [(k, "en", f"s{k % 3}", " ".join(["w"] * (5 + 7 * k % 60)), k) for k in range(60)] + [(100, "en", "s0", "r " * 40, k) for k in range(5)] + [(101, "en", "s0", "r " * 40, 7), (101, "en", "s1", "t " * 9, 8), (None, None, None, "x y z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, extra int")
+    got = mixing.mixed_rows(docs).collect()
+    taken, targets, full = {}, {}, Counter()
+    for r in mixing.mix(docs).collect():
+        k = (r.doc_id, r.source, r["size"])
+        taken[k] = taken.get(k, 0) + r.taken
+        targets[r.source] = r.target
+    times = Counter((r.doc_id, r.source, len(r.text.split())) for r in got)
+    for src in targets:
+        sure, cut = 0, []
+        for (i, s, n), w in taken.items():
+            if s == src:
+                sure += w // n * n
+                cut += [n] * (w % n > 0)
+                assert times[i, s, n] in (w // n, w // n + (w % n > 0))
+        assert len(cut) <= 2
+        best = min(abs(sure + sum(x for b, x in enumerate(cut) if c >> b & 1) - targets[src]) for c in range(2 ** len(cut)))
+        assert abs(sum(n * m for (i, s, n), m in times.items() if s == src) - targets[src]) == pytest.approx(best)
+    for r in docs.filter("doc_id = 100").collect():
+        full[r.extra] = sum(x.extra == r.extra for x in got if x.doc_id == 100)
+    assert max(full.values()) - min(full.values()) <= 1
+    assert mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
 def test_quotas_are_highest_quotients(spark):
     """Seats equal a plain highest-quotient award, for every house on the way."""
     t = [("a", 0, 1000, 700.0), ("b", 1, 300, 260.0), ("c", 2, 90, 31.0), ("d", 3, 10, 9.0)]
@@ -114,7 +143,10 @@ def test_exact_groups(spark, odd, none):
             want.append((i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()))
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert exact_dedup.exact_groups(none).count() == 0
-    assert exact_dedup.drop_exact(odd.filter("doc_id <> 8")).count() == 6
+    stay = exact_dedup.drop_exact(odd)
+    assert stay.columns == odd.columns and sorted(t or "" for _, t in texts(stay)) == sorted({t for _, t in texts(odd)})
+    rows = spark.createDataFrame([(5, "A", 1), (9, "A", 2), (5, "B", 3), (8, " ", 5), (8, " ", 4)], "doc_id long, text string, extra int")
+    assert sorted(map(tuple, exact_dedup.drop_exact(rows).collect())) == [(5, "B", 3), (8, " ", 4), (9, "A", 2)]
 
 
 def test_fingerprints_compose():
@@ -125,30 +157,46 @@ def test_fingerprints_compose():
         assert xy == sum((c + 1) * pow(base, i, prime) for i, c in enumerate(a + b)) % prime
 
 
-def brute_classes(docs, similar=0.8):
+def plain_weights(texts, rare=near_dedup.RARE):
+    """tf-idf of five-word shingles by plain Python, from the docstring alone."""
+    sets = []
+    for t in texts:
+        words = [w for w in re.split("[\x00- ]+", t) if w]
+        sets.append(Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))))
+    df = Counter(g for s in sets for g in s)
+
+    def idf(g):
+        return (1 - math.log(max(df[g] / len(sets), rare))) / (1 - math.log(rare))
+
+    return [{g: n * idf(g) for g, n in s.items()} for s in sets]
+
+
+def plain_jaccard(x, y):
+    low = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+    return low / (sum(x.values()) + sum(y.values()) - low)
+
+
+def brute_classes(docs, similar=0.8, rare=near_dedup.RARE):
+    """doc_id -> smallest id of its class, from all pairs."""
     rows = [(i, t or "") for i, t in docs if i is not None]
-    first = {}
-    for i, t in sorted(rows):
-        first.setdefault(t, i)
-    keys = list(first)
-    sets = [near_dedup.shingle_sets([t])[:2] for t in keys]
-    df = Counter(h for s, _ in sets for h in s.tolist())
-    often = [(h, n) for h, n in df.items() if n >= near_dedup.RARE * len(keys)]
-    idf = near_dedup.Idf(np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often]), len(keys))
-    w = [(h, idf.weights(h, c)) for h, c in sets]
-    up = {i: i for i in first.values()}
+    keys = sorted({t for _, t in rows})
+    w = plain_weights(keys, rare)
+    up = list(range(len(keys)))
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
+    total = [sum(x.values()) for x in w]
     for p in range(len(keys)):
         for q in range(p):
-            if near_dedup.weighted_jaccard(w[p], w[q]) >= similar:
-                x, y = top(first[keys[p]]), top(first[keys[q]])
-                up[max(x, y)] = min(x, y)
-    return {i: top(first[t]) for i, t in rows}
+            if min(total[p], total[q]) >= similar * max(total[p], total[q]) - 1e-9 and plain_jaccard(w[p], w[q]) >= similar:
+                up[top(p)] = top(q)
+    at, least = {t: k for k, t in enumerate(keys)}, {}
+    for i, t in rows:
+        least[top(at[t])] = min(i, least.get(top(at[t]), i))
+    return {i: least[top(at[t])] for i, t in rows}
 
 
 @pytest.mark.parametrize("small", [32, 6])
@@ -175,6 +223,30 @@ def test_near_pairs_within_large_buckets(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i in range(200)}
 
 
+def test_near_family_of_hundreds(spark):
+    """Edited copies of one text, 240 of them, among texts that share only a passage with them: every link of brute force is kept."""
+    g = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    made = []
+    for k in range(240):
+        t = list(base)
+        for at in g.choice(150, int(g.integers(1, 4)), replace=False):
+            t[at] = f"e{k}_{at}"
+        made.append((k, " ".join(t)))
+    made += [(1000 + k, " ".join([*base[:60], *(f"o{k}_{i}" for i in range(90))])) for k in range(80)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == brute_classes(made)
+
+
+def test_near_rows_that_repeat_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, 1), (5, b, 2), (7, a + " x", 3), (5, a, 0), (None, a, 9), (None, None, 8), (3, b, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or -1, r.class_id or -1, r.class_size, r.kept) for r in got) == [(-1, -1, 1, True), (-1, -1, 1, True), (3, 3, 2, True), (5, 3, 2, False), (5, 5, 3, True), (5, 5, 3, True), (7, 5, 3, False)]
+    assert sorted(r.extra for r in near_dedup.drop_near(docs).collect()) == [0, 4, 8, 9]
+
+
 def test_weighted_sampling_estimates_similarity():
     g = np.random.default_rng(1)
     h = np.sort(g.integers(0, 1 << 63, 400, dtype=np.uint64))
@@ -193,7 +265,35 @@ def test_packing(spark, odd, none):
         own = sorted((r for r in out if r.doc_id == i), key=lambda r: r.piece)
         assert [(r.piece, r.start, r.length, r.ids_crc32) for r in own] == [(k, k * 4096, len(ids[k * 4096 : (k + 1) * 4096]), zlib.crc32(ids[k * 4096 : (k + 1) * 4096].tobytes())) for k in range(-(-len(ids) // 4096))]
     assert packing.packed_documents(none).count() == 0
-    assert packing.packed_documents(odd).count() > 12  # null ids and repeats are packed too
+    every = packing.packed_documents(odd).collect()  # null ids and repeats are packed too
+    assert Counter((r.doc_id, r.piece) for r in every)[8, 0] == 2 and sum(r.piece == 0 for r in every) == 12 and sum(r.doc_id is None for r in every) == 1
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_packing_ids_equal_the_library(name):
+    """Words apart or whole texts, as the vocabulary file allows; all texts of a small table and some odd ones."""
+    import pyarrow.parquet as pq
+
+    own = packing.encoder(name)
+    whole = packing.WholeIds(name)
+    odd = ["", " ", "Hello World, it's 12:30", "a\nb", "tab\there\r\n", "<|endoftext|> x<|startoftext|>", "I\u0307stanbul \u00b5 \u017f \u2028 \u200b", "\u1e9e\u00df \ufb01 e\u0301", "\U0001f600 \U0001f468\u200d\U0001f469", "x" * 5000, "don't DON'T 'S"]
+    for t in odd + [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]:
+        assert own.text(t) == whole.text(t)
+
+
+def test_configurations_are_optimal():
+    """The linear programme's value equals that of all maximal configurations, by brute force on the dual: no configuration is dearer than 1."""
+    from itertools import product
+
+    for sizes, counts, capacity in (([51, 34, 26, 17], [90, 70, 40, 33], 100), ([60, 45, 35, 30, 20, 12], [11, 52, 31, 80, 7, 19], 100)):
+        found = packing.configurations(sizes, counts, capacity)
+        held = sum(np.array(use) * x for use, x in found)
+        assert np.allclose(held, counts) and all(x > -1e-9 for _, x in found)
+        prices = np.linalg.inv(np.stack([use for use, _ in found], axis=1)).sum(axis=0)
+        assert sum(x for _, x in found) == pytest.approx(float(prices @ np.array(counts)))
+        for use in product(*[range(capacity // w + 1) for w in sizes]):
+            if np.dot(use, sizes) <= capacity:
+                assert np.dot(prices, use) <= 1 + 1e-6
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -232,6 +332,9 @@ def test_media_columns(spark, odd, none, tmp_path):
 
     names = [m.name for shard in {f.shard for f in facts.values()} for m in tarfile.open(shard)]
     assert sorted(names) == sorted(f"{d}.png" for d in facts)
+    assert {r.digest: r.length for r in media_columns.dealt_by_bytes(index.select("digest", "shard", "offset", "length")).collect()} == {d: f.length for d, f in facts.items()}
+    small = media_columns.store(spark.range(9).selectExpr("cast(id as string) as digest", "encode(repeat('m', 700), 'UTF-8') as media").coalesce(1), str(tmp_path / "s"), shard_bytes=2000).collect()
+    assert len({r.shard for r in small}) >= 5 and sum(len(tarfile.open(p).getmembers()) for p in {r.shard for r in small}) == 9
     rows, index = media_columns.store_texts(none, str(tmp_path / "n"))
     assert rows.count() == 0 and index.count() == 0
 
@@ -246,6 +349,9 @@ def test_warc_round_trip(spark, tmp_path):
         assert (x.payload_bytes, x.payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
     assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {"1": ("revisit", 2), "2": ("response", None), "3": ("revisit", 4), "4": ("response", None), "5": ("response", None), "None": ("revisit", 2)}
     assert spark.read.parquet(f"{folder}/payloads").count() == 3
+    twice, more = str(tmp_path / "t"), spark.createDataFrame([(1, "u", "x", 3, 4), (1, "u", "y", 3, 4), (0, "u", "x", 3, 4)], "page_id long, url string, html string, payload int, size int")
+    warc_archive.write_archive(more, twice)  # one id with two payloads, and clashing names
+    assert sorted((r.page_id, r.payload_digest[:2], r.record_type, r.refers_to) for r in warc_archive.read_archive(spark, twice).collect()) == sorted((i, base64.b32encode(hashlib.sha1(t).digest()).decode()[:2], k, to) for i, t, k, to in ((1, b"x", "response", None), (1, b"y", "response", None), (0, b"x", "revisit", 1)))
     records = {r.page_id: bytes(r.record) for r in warc_archive.reconstruct(spark, folder).collect()}
     head, _, rest = records[2].partition(b"\r\n\r\n")
     assert rest == b"<p>x</p>\r\n\r\n" and b"\r\nX: y" not in head and b"Content-Length: 8" in head
@@ -291,7 +397,7 @@ def test_classifiers_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (5, 0, 1), (None, 1, 1), (5, 0, 1), (7, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
     for rows in (odd, none):
         t = toxicity.scored(rows, toxicity.train(rows, labels))
-        q = quality.features(rows).select("doc_id", quality.score_features(quality.train(quality.features(rows), labels))("features").alias("score"))
+        q = quality.features(rows).select("doc_id", quality.score_features(quality.train(quality.features(rows), quality.labelled(labels)))("features").alias("score"))
         for df in (t, q):
             assert df.count() == rows.count() and df.filter("score is null or score < 0 or score > 1").count() == 0
     assert quality.keep_good(odd, labels).columns == odd.columns
@@ -324,10 +430,54 @@ def test_pipeline_stages(spark, sf):
     near = cp.materialise(cp.dedup_near(spark, exact, sf), "t3")
     assert near.columns == columns and {i for i, _ in texts(near)} == set(brute_classes(texts(exact)).values())
     mixed = cp.materialise(cp.mix_sources(spark, near, sf), "t4")
-    times = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.mix(near).collect() if r["size"]}
-    assert mixed.columns == columns and Counter(i for i, _ in texts(mixed)) == Counter({i: n for i, n in times.items() if n})
+    took = {r.doc_id: (r.taken // r["size"], -(-r.taken // r["size"])) for r in mixing.mix(near).collect() if r["size"]}
+    times = Counter(i for i, _ in texts(mixed))
+    assert mixed.columns == columns and all(lo <= times[i] <= hi for i, (lo, hi) in took.items()) and times.keys() <= took.keys()
+    assert sum(lo != hi for lo, hi in took.values()) <= 2 * near.select("source").distinct().count()
     packed = cp.pack_sequences(spark, mixed, sf).collect()
     whole = Counter()
     for r in packed:
         whole[r.doc_id] += r.piece == 0
     assert whole == Counter(i for i, _ in texts(mixed))
+
+
+@pytest.fixture(scope="module")
+def folders(spark, odd, none, tmp_path_factory):
+    """Tables of odd rows and empty tables, as the queries read them."""
+    out = []
+    for name, docs in (("odd", odd), ("none", none)):
+        d = str(tmp_path_factory.mktemp(name))
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels = [(1, 1, 0), (2, None, None), (5, 0, 1), (None, 1, 1), (5, 0, 1), (7, 1, 0), (9, 0, 1)]
+        spark.createDataFrame(labels if name == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        out.append((d, docs))
+    return out
+
+
+def test_queries_on_odd_and_empty_tables(spark, folders):
+    """The thin queries: all rows, sizes and check sums of every text, scores in range, equal texts alike."""
+    for d, docs in folders:
+        rows = sorted((i if i is not None else -1, t) for i, t in texts(docs))
+        got = sharding.query(spark, d).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got) == sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for i, t in rows)
+        assert all(0 <= r.shard < 8 for r in got)
+        for module, modulus, remainder in ((toxicity, 5, 0), (quality, 3, 1)):
+            got = module.query(spark, d).collect()
+            assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [i for i, _ in rows]
+            assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % modulus == remainder) for r in got)
+            of = dict(rows)
+            same = {}
+            for r in got:
+                same.setdefault(of[-1 if r.doc_id is None else r.doc_id], set()).add(r.score)
+            assert all(len(s) == 1 for s in same.values())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, folders):
+    """Every stage keeps the columns and gives rows of its input only; the whole ends in pieces."""
+    import corpus_pipeline as cp
+
+    for d, docs in folders:
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, d)
+            assert out.columns == docs.columns and {t for _, t in texts(out)} <= {t for _, t in texts(docs)}
+        assert cp.run(spark, d).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

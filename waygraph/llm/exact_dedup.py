@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_batches, slices
+from waygraph.llm.common import bounded_batches, join_groups, maybe_in, one_of_each, slices
 from waygraph.plans.stages import materialise, table
 
 PRIMES = (2147483647, 2147483629)
@@ -87,54 +87,73 @@ def _segment_udf(primes, size):
     return fingerprint
 
 
-def fingerprinted(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, primes=PRIMES, huge: int = HUGE) -> DataFrame:
-    """``keep`` columns with ``n_bytes, f1, f2, sha``, and ``body`` if asked for."""
+def fingerprinted(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), primes=PRIMES, huge: int = HUGE) -> DataFrame:
+    """``keep`` columns with ``n_bytes, f1, f2, sha``, one row per row of ``docs``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], body.alias("body")).withColumn("n_bytes", F.octet_length("body").cast("long"))
+    base = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], body.cast("binary").alias("body")).withColumn("n_bytes", F.octet_length("body").cast("long"))
     shown = [f"k_{c}" for c in keep] + ["n_bytes"]
-    tail = ["body"] if with_text else []
     sha = F.sha2(F.col("body"), 256)
-    small = base.filter(F.col("n_bytes") <= huge).withColumn("f", _hash_udf(primes)(F.encode("body", "UTF-8")))
-    small = small.select(*shown, "f.f1", "f.f2", sha.alias("sha"), *tail)
+    small = base.filter(F.col("n_bytes") <= huge).withColumn("f", _hash_udf(primes)("body"))
+    small = small.select(*shown, "f.f1", "f.f2", sha.alias("sha"))
     # huge texts: segments go to any task; sums of shifted hashes combine map-side
     large = base.filter(F.col("n_bytes") > huge).withColumn("sha", sha)
-    pieces = F.transform(F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / huge).cast("int")), lambda i: F.struct(i.alias("k"), F.substring(F.encode("body", "UTF-8"), i * huge + 1, F.lit(huge)).alias("d")))
-    cut = large.select("sha", "n_bytes", F.explode(pieces).alias("s")).select("sha", "n_bytes", "s.k", "s.d").repartition("sha", "k")
+    cut = large.select("sha", "n_bytes", F.posexplode(_pieces("body", "n_bytes", huge)).alias("k", "d")).repartition("sha", "k")
     h = cut.withColumn("f", _segment_udf(primes, huge)("d", "k")).select("sha", "n_bytes", "k", "f.f1", "f.f2").dropDuplicates(["sha", "n_bytes", "k"])
     h = h.groupBy("sha", "n_bytes").agg((F.sum("f1") % primes[0]).alias("f1"), (F.sum("f2") % primes[1]).alias("f2"))
-    large = large.join(h, ["sha", "n_bytes"]).select(*shown, "f1", "f2", "sha", *tail)
+    large = large.select(*shown, "sha").join(h, ["sha", "n_bytes"]).select(*shown, "f1", "f2", "sha")
     out = small.unionByName(large)
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *KEY, "sha", *tail)
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *KEY, "sha")
+
+
+def _pieces(body: str, n_bytes: str, size: int) -> F.Column:
+    """Consecutive parts of ``size`` bytes; ``body`` is a binary column, so no part encodes the whole again."""
+    last = F.greatest(F.lit(0), ((F.col(n_bytes) - 1) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(body), i * size + 1, F.lit(size)))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", primes=PRIMES, huge: int = HUGE, compare: int = COMPARE) -> DataFrame:
     """Return ``doc_id, keep_id, group_size, kept, text_sha256``, one row per row of ``docs``.
 
-    Null text counts as empty.  Of equal texts the row with the largest id stays
-    (null ids rank lowest; a group of null ids keeps null).  Rows that repeat an
-    id with the same text are one document: they count in ``group_size`` and are
-    flagged alike.  Columns other than the two named are not read.
+    Null text counts as empty; an empty table gives an empty result.  Of equal
+    texts the row with the largest id stays (null ids rank lowest; a group of
+    null ids keeps null).  Rows that repeat an id with the same text count in
+    ``group_size`` and are flagged alike; an id that repeats with other texts is a
+    row of each text's group.  Very long texts are hashed and compared in pieces.
+    Columns other than the two named are not read.
+
+    SHA-256 only names rows: it brings the fingerprint of a text, made once, to
+    the comparison, and separates texts that a fingerprint wrongly joins.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keys = materialise(fingerprinted(docs, primes=primes, huge=huge), "fingerprints")
-    repeated = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    body = F.encode("body", "UTF-8")
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.col("n_bytes") - 1) / compare).cast("int"))), lambda i: F.substring(body, i * compare + 1, F.lit(compare)))
-    suspects = fingerprinted(docs, with_text=True, primes=primes, huge=huge).join(repeated, KEY, "left_semi").select(*KEY, F.posexplode(chunks).alias("chunk", "bytes"))
-    compared = suspects.groupBy(*KEY, "chunk").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
+    total = keys.count()
+    named = materialise(keys.groupBy(*KEY, "sha").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), "named-texts")
+    shared = named.groupBy(*KEY).agg(F.sum("n").alias("n")).filter("n > 1").select(*KEY)
+    suspects = materialise(named.join(shared, KEY, "left_semi").select("sha", *KEY), "suspects")
+    bodies = maybe_in(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("body")).withColumn("sha", F.sha2("body", 256)), suspects.select("sha"), "sha")
+    chunks = bodies.filter("_maybe").withColumn("n_bytes", F.octet_length("body")).select("sha", F.posexplode(_pieces("body", "n_bytes", compare)).alias("chunk", "bytes"))
+    # copies collapse before they move; then texts of one fingerprint meet
+    own = chunks.groupBy("sha", "chunk").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
+    compared = own.join(suspects, "sha").groupBy(*KEY, "chunk").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     unlike = compared.filter("lo <> hi").select(*KEY).distinct().withColumn("unlike", F.lit(True))
-    classed = materialise(keys.join(unlike, KEY, "left").withColumn("tie", F.when(F.col("unlike"), F.col("sha")).otherwise(F.lit(""))).drop("unlike"), "classes")
+    tied = named.join(unlike, KEY, "left").withColumn("tie", F.when(F.col("unlike"), F.col("sha")).otherwise(F.lit(""))).drop("unlike")
     group = [*KEY, "tie"]
-    of = classed.groupBy(*group).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = classed.join(of, group)
+    sizes = tied.groupBy(*group).agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    of = materialise(tied.join(sizes, group).select("sha", "keep_id", "group_size"), "groups")
+    out = join_groups(keys.select("doc_id", "sha"), of, "sha", "group_size", total)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, exactly one of each text, with all their columns.
+
+    Of rows that repeat both the id that stays and the text, the one whose other
+    columns come first as JSON stays.
+    """
+    kept = exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("_text_sha"))
+    rows = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return one_of_each(rows, kept, ["doc_id", "_text_sha"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

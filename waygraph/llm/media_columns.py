@@ -31,6 +31,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, and the IHDR chunk with its length, type and check sum.
 HEADER = 33
 INDEX = "digest string, shard string, offset long, length long"
+#: A shard is closed once it is this large, and its task opens another.
+SHARD_BYTES = 1 << 30
+#: Payload bytes that a reading task is to get, at most about and at least.
+READ_BYTES, READ_LEAST = 128 << 20, 2 << 20
 
 
 def pad(text: bytes, width: int = WIDTH) -> bytes:
@@ -87,20 +91,25 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def store(media: DataFrame, folder: str) -> DataFrame:
+def store(media: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``(digest, media)`` into tar shards below ``folder``; the index rows.
 
-    Each task writes one shard under a name of its own; a task that is run again
-    writes another, and only the index says which shards hold.  Digests must be
-    distinct.
+    Each task writes shards of about ``shard_bytes`` at most under names of their
+    own; a task that is run again writes others, and only the index says which
+    shards hold.  Digests must be distinct.
     """
 
     def write(batches):
-        shard, out, at = f"{folder}/{uuid.uuid4().hex}.tar", None, 0
+        shard, out, at = "", None, 0
         for b in batches:
             rows = []
             for digest, data in zip(b["digest"], b["media"], strict=True):
+                if out is not None and at + len(data) > shard_bytes:
+                    out.write(b"\0" * 1024)
+                    out.close()
+                    out = None
                 if out is None:
+                    shard, at = f"{folder}/{uuid.uuid4().hex}.tar", 0
                     system, path = _open(shard)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path)
@@ -133,6 +142,17 @@ def ranges(rows: pd.DataFrame, most: int | None = None):
             f.close()
 
 
+def dealt_by_bytes(index: DataFrame) -> DataFrame:
+    """The index dealt over tasks that follow the bytes of the members, not of the index.
+
+    Members that lie in one stretch of a shard stay together, in order.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // READ_BYTES), min(4 * index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_LEAST)), 1)
+    stretch = max(1, total // (4 * tasks))
+    return index.repartition(tasks, "shard", F.floor(F.col("offset") / stretch)).sortWithinPartitions("shard", "offset")
+
+
 def with_header(index: DataFrame) -> DataFrame:
     """The index with ``width, height, bit_depth``, from header-only range reads."""
 
@@ -141,7 +161,7 @@ def with_header(index: DataFrame) -> DataFrame:
             found = [png_header(x) for x in ranges(b, HEADER)]
             yield b.assign(width=[x[0] for x in found], height=[x[1] for x in found], bit_depth=[x[2] for x in found])
 
-    return index.mapInPandas(read, INDEX + ", width int, height int, bit_depth int")
+    return dealt_by_bytes(index).mapInPandas(read, INDEX + ", width int, height int, bit_depth int")
 
 
 def with_payload_facts(index: DataFrame) -> DataFrame:
@@ -157,7 +177,7 @@ def with_payload_facts(index: DataFrame) -> DataFrame:
             facts = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"])
             yield pd.concat([b.reset_index(drop=True), facts], axis=1)
 
-    return index.mapInPandas(read, index._jdf.schema().toDDL() + more)
+    return dealt_by_bytes(index).mapInPandas(read, index._jdf.schema().toDDL() + more)
 
 
 def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +185,9 @@ def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[st
 
     The digest is SHA-256 of the padded payload, so texts that differ only in
     spaces at the end may share a payload; ``n_bytes`` stays with the row.  Null
-    is empty.  Other columns are not read.
+    is empty.  Rows that repeat keep a row each and share a payload; an empty table
+    gives two empty results.  A long text is one member, whatever its length.
+    Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -181,9 +203,9 @@ def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[st
 
     repeated = materialise(docs.select(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
     source = docs.select(digest.alias("digest"), body.alias("body"))
-    again = maybe_in(repeated, "digest")  # false only for digests that are there once
-    once = source.filter(~again).mapInPandas(images, "digest string, media binary")
-    copies = source.filter(again).mapInPandas(images, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
+    source = maybe_in(source, repeated, "digest", "again")  # false only for digests that are there once
+    once = source.filter("not again").select("digest", "body").mapInPandas(images, "digest string, media binary")
+    copies = source.filter("again").select("digest", "body").mapInPandas(images, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
     index = store(once, folder).unionByName(store(copies, folder))
     return rows, materialise(with_header(index), "media-headers")
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_batches, maybe_in
+from waygraph.llm.common import bounded_batches, join_groups, maybe_in, one_of_each
 from waygraph.operators.components import connected_components
 from waygraph.plans.stages import materialise, table
 
@@ -264,7 +264,7 @@ def _agree(pairs: DataFrame, sketches: DataFrame, agree: int = AGREE) -> DataFra
 
 def _texts_of(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of ``nodes`` whose node is in ``ids``; a bitmap of fixed size keeps most others out of the shuffle."""
-    return nodes.filter(maybe_in(ids, "node")).join(ids, "node", "left_semi")
+    return maybe_in(nodes, ids, "node").filter("_maybe").drop("_maybe").join(ids, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, idf, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
@@ -387,18 +387,28 @@ def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, words: int = WORDS, rare: float = RARE, small: int = SMALL) -> DataFrame:
     """Return ``doc_id, class_id, class_size, kept``, one row per row of ``docs``.
 
-    The class id is the smallest doc_id of the class and that document is kept.
-    Null text counts as empty; texts without words are alike.  Rows with a null
-    id are classes of their own with a null class id, size 1, and are kept.  Rows
-    that repeat an id are one document and flagged alike.  Columns other than the
-    two named are not read.
+    Rows are classed by their texts.  The class id is the smallest doc_id of the
+    class, and the row of that id stays; if several texts of the class have it,
+    the one of the smallest SHA-256.  Null text counts as empty; texts without
+    words are alike.  Rows with a null id are classes of their own with a null
+    class id, size 1, and are kept.  Rows that repeat an id with the same text are
+    flagged alike; an id that repeats with other texts is a row of each text's
+    class.  Texts are read whole, of whatever length; an empty table gives an
+    empty result.  Columns other than the two named are not read.
     """
+    out = _classed(docs, doc_id, text, similar, words, rare, small)
+    return out.select("doc_id", "class_id", "class_size", "kept")
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str, similar: float, words: int, rare: float, small: int) -> DataFrame:
+    """``doc_id, digest, class_id, class_size, kept`` of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    nodes = base.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("body").alias("body"))
-    nodes = materialise(nodes, "distinct-texts", "zstd")
+    texts = base.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("body").alias("body"))
+    # node numbers are unique once written, whatever ids repeat
+    nodes = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts", "zstd")
     idf = spark.sparkContext.broadcast(frequent_shingles(nodes, nodes.count(), rare, words))
     signed = materialise(signatures(nodes, idf, words), "signatures")
     sketches = signed.select("node", "sketch")
@@ -431,20 +441,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             links = materialise(links.union(_verified(pairs, nodes, idf, similar, words)), "links")
     classes = connected_components(links, "a", "b").withColumnRenamed("id", "node")
 
-    named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
+    named = materialise(nodes.select("digest", "node", "least", "copies").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-nodes")
+    per = named.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
     thin = base.select("doc_id", "digest")
-    out = thin.filter("doc_id is not null").join(named, "digest")
-    out = materialise(out.select("doc_id", "class_id"), "near-members")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = out.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = thin.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    known = join_groups(named.select("digest", "copies", "component"), materialise(per, "near-classes"), "component", "texts", named.count())
+    known = materialise(known.select("digest", "copies", "first", "class_size"), "near-digests")
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    out = join_groups(thin.filter("doc_id is not null"), known, "digest", "copies", total)
+    kept = (F.col("doc_id") == F.col("first.least")) & (F.col("digest") == F.col("first.digest"))
+    out = out.select("doc_id", "digest", F.col("first.least").alias("class_id"), "class_size", kept.alias("kept"))
+    alone = thin.filter("doc_id is null").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each class, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, exactly one of each class, with all their columns.
+
+    Of rows that repeat both the id and the text that stay, the one whose other
+    columns come first as JSON stays.  Rows with null ids all stay.
+    """
+    kept = _classed(docs, "doc_id", "text", SIMILAR, WORDS, RARE, SMALL).filter("kept and doc_id is not null").select("doc_id", F.col("digest").alias("_text_sha"))
+    rows = docs.withColumn("_text_sha", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    return one_of_each(rows, kept, ["doc_id", "_text_sha"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, group: str = "text", row: s
     Shards get near equal sums of ``size`` (default: UTF-8 bytes of the group
     text plus 1, null text 0 plus 1) and rows with equal ``group`` share a shard;
     a group larger than a fair share fills its shard alone.  Null is a group of
-    its own.  Rows that repeat are placed side by side.  Columns of ``docs`` named
+    its own.  Rows that repeat are placed side by side; long texts are only measured
+    and moved; an empty table gives an empty result.  Columns of ``docs`` named
     ``shard`` or ``slot`` are replaced.  Work: one pass for keys, thin counting
     rounds, one exchange of the rows.
     """

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_batches, vocabulary
-from waygraph.plans.stages import path_exists, shared_dir, table
+from waygraph.llm.common import bounded_batches, join_groups, vocabulary
+from waygraph.plans.stages import materialise, path_exists, shared_dir, table
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -51,8 +51,9 @@ def _normalised(text: str) -> F.Column:
 def token_counts(docs: DataFrame, cache: str, tokenizer: str = "piece_bpe_32k.model", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Return ``keep`` columns with ``n_bytes, digest, n_tokens``, one row per row of ``docs``.
 
-    ``cache`` is the folder of the cache table; it is created when absent and
-    appended to.  Null and empty texts have the count of the empty text.  Other
+    ``cache`` is the folder of the cache table, partitioned by version; it is
+    created when absent and appended to.  Rows that repeat have a row each and share
+    one cache entry; texts are encoded whole, of whatever length.  Null and empty texts have the count of the empty text.  Other
     columns of ``docs`` are not read, whatever their names.  An empty table
     gives an empty result.
     """
@@ -72,11 +73,13 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "piece_bpe_32k.mo
         for b in batches:
             yield pd.DataFrame({"digest": b["digest"], "version": version, "n_tokens": count(b["body"].tolist())})
 
-    misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses.select("digest", "body").mapInPandas(encode, CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
     # two jobs may have appended the same digest; one row of each is enough
     known = known.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    return thin.join(known, "digest", "left").select(*keep, "n_bytes", "digest", "n_tokens")
+    wanted = materialise(thin.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows")).join(known, "digest"), "token-counts")
+    total = wanted.agg(F.sum("_rows")).first()[0] or 0
+    return join_groups(thin, wanted, "digest", "_rows", total).select(*keep, "n_bytes", "digest", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
