@@ -241,17 +241,14 @@ def cliques_of_nodes(cliques: DataFrame) -> DataFrame:
 
 
 def k_clique_communities(edges: DataFrame, k: int) -> DataFrame:
-    """``community, id``: k-cliques linked when they share k - 1 nodes; community is the smallest clique number."""
-    c = k_cliques(edges, k).withColumn("c", F.xxhash64("members"))
+    """``community, id``: k-cliques linked when they share k - 1 nodes; a community is named by its least clique, as text."""
+    c = k_cliques(edges, k).withColumn("c", F.concat_ws(",", "members"))
     c = materialise(c, "cliques")
     parts = c.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(F.slice("members", F.lit(1), i - 1), F.slice("members", i + 1, F.lit(k))))).alias("s"))
     hub = parts.groupBy("s").agg(F.min("c").alias("hub"))
     links = parts.join(hub, "s").filter("c <> hub")
     cc = connected_components(links, "c", "hub", c, "c")
-    names = c.select(F.col("c").alias("id2"), "members").join(cc.withColumnRenamed("id", "id2"), "id2")
-    rows = names.select("component", F.explode("members").alias("id")).distinct()
-    first = rows.groupBy("component").agg(F.min("id").alias("low"))
-    return rows.join(first, "component").select(F.concat_ws(":", "low", "component").alias("community"), "id")
+    return c.join(cc.select(F.col("id").alias("c"), "component"), "c").select(F.col("component").alias("community"), F.explode("members").alias("id")).distinct()
 
 
 def cut_measures(edges: DataFrame, inside: DataFrame, weight: str | None = None, vertices: DataFrame | None = None) -> DataFrame:

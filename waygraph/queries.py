@@ -117,11 +117,26 @@ def ways_(spark, sf_dir):
     return w.select("way_id", F.round("length", 6).alias("length"), "degree", "conn", F.round("spacing", 6).alias("spacing"))
 
 
-@register("ways_by_angle")
+#: Ways by angle in SQL: departures of a place pair up in order, one pair a step, if both are free and they deviate by less than 60 degrees.
+BY_ANGLE = """dep AS (SELECT fid, v AS place, 0 AS side, atan2(mx - x1, my - y1) AS az FROM seg UNION ALL SELECT fid, w, 1, atan2(mx - x2, my - y2) FROM seg),
+dn AS (SELECT place, count(*) AS n FROM dep GROUP BY place),
+pp AS (SELECT a.place, row_number() OVER (PARTITION BY a.place ORDER BY a.fid, a.side, b.fid, b.side) AS r, a.fid * 2 + a.side AS a, b.fid * 2 + b.side AS b, a.fid AS fa, b.fid AS fb, n,
+  abs(CASE WHEN abs(a.az - b.az) > pi() THEN 2*pi() - abs(a.az - b.az) ELSE abs(a.az - b.az) END - pi()) AS turn FROM dep a JOIN dep b USING (place) JOIN dn USING (place) WHERE (a.fid, a.side) < (b.fid, b.side)),
+gr(place, r, gone, kept) AS (SELECT place, 0::BIGINT, []::BIGINT[], false FROM dn UNION ALL
+  SELECT place, r, CASE WHEN f THEN list_append(list_append(gone, a), b) ELSE gone END, f FROM (SELECT p.place, p.r, g.gone, p.a, p.b, p.n = 2 OR (p.turn < pi() / 3 AND NOT list_contains(g.gone, p.a) AND NOT list_contains(g.gone, p.b)) AS f FROM gr g JOIN pp p ON p.place = g.place AND p.r = g.r + 1)),
+ap AS (SELECT fa, fb FROM gr JOIN pp USING (place, r) WHERE kept), ab AS (SELECT fa AS src, fb AS dst FROM ap UNION ALL SELECT fb, fa FROM ap),
+wc(fid, way) USING KEY (fid) AS (SELECT fid, fid FROM seg UNION SELECT e.dst, min(p.way) FROM wc p JOIN ab e ON e.src = p.fid LEFT JOIN recurring.wc AS q ON q.fid = e.dst WHERE p.way < q.way GROUP BY e.dst),
+wy AS MATERIALIZED (SELECT seg.*, way FROM seg JOIN wc USING (fid)),"""
+ANGLE_WAYS = BY_ANGLE + WAYS[WAYS.index("wp AS ("):] + """,
+wo AS (SELECT way, place, count(*) AS n FROM (SELECT way, v AS place FROM wy UNION ALL SELECT way, w FROM wy) GROUP BY way, place),
+we AS (SELECT way, coalesce(min(place) FILTER (n % 2 = 1), min(place)) AS start_pl, coalesce(max(place) FILTER (n % 2 = 1), min(place)) AS end_pl FROM wo GROUP BY way)"""
+
+
+@register("ways_by_angle", _recursive(seg("SELECT wlen.way AS way_id, start_pl, end_pl, round(length, 6) AS length, coalesce(degree, 0) AS degree, coalesce(conn, 0) AS conn, round(CASE WHEN conn > 0 THEN length / conn END, 6) AS spacing FROM wlen JOIN we USING (way) LEFT JOIN wdeg USING (way) LEFT JOIN wconn USING (way)", ANGLE_WAYS)))
 def ways_by_angle(spark, sf_dir):
     _, e = network(spark, sf_dir)
     w, _ = ways.build_ways(places.one_place_per_vertex(e), threshold=60.0)
-    return w.select("way_id", "start_pl", "end_pl", F.round("length", 6).alias("length"), "degree", "conn", F.round("spacing", 6).alias("spacing"), F.size("geom").alias("parts"))
+    return w.select("way_id", "start_pl", "end_pl", F.round("length", 6).alias("length"), "degree", "conn", F.round("spacing", 6).alias("spacing"))
 
 
 @register("way_partition", seg("SELECT fid, way, 0.0::DOUBLE AS dist FROM wy", WAYS))
@@ -196,32 +211,45 @@ def edge_line_graph(spark, sf_dir):
     return indicators.edge_line_graph(places.one_place_per_vertex(e))
 
 
-BFS = LINES + """,
-adj AS (SELECT src, dst FROM lg UNION ALL SELECT dst, src FROM lg),
-bfs(root, node, dist) AS (SELECT DISTINCT src, src, 0 FROM adj UNION SELECT root, adj.dst, dist + 1 FROM bfs JOIN adj ON adj.src = node WHERE dist < 40),
-far AS (SELECT root, node, min(dist) AS dist FROM bfs GROUP BY ALL)"""
+def searched(links: str = "adj", ids: str = "wi", name: str = "bf") -> str:
+    """SQL of a search from every node: ``name(root, node, dist, sigma)``, one level a step, with counts of shortest paths."""
+    return f"""{name}0(root, node, dist, sigma) USING KEY (root, node) AS (SELECT id, id, 0, 1.0::DOUBLE FROM {ids}
+UNION SELECT p.root, e.dst, any_value(p.dist) + 1, sum(p.sigma) FROM {name}0 p JOIN {links} e ON e.src = p.node LEFT JOIN recurring.{name}0 AS seen ON seen.root = p.root AND seen.node = e.dst WHERE seen.dist IS NULL GROUP BY p.root, e.dst),
+{name} AS MATERIALIZED (SELECT * FROM {name}0)"""
 
 
-@register("way_radius")
+def gathered(kind: str, links: str = "adj", name: str = "bf") -> str:
+    """SQL of the way back: ``dl(root, node, lvl, sigma, delta)`` from the last level to the first, without the roots."""
+    start, part = {"betweenness": ("0.0::DOUBLE", "x.sigma / y.sigma * (1 + y.delta)"), "stress": ("0.0::DOUBLE", "1 + y.delta"), "load": ("1.0::DOUBLE", "y.delta / y.preds")}[kind]
+    return f"""pr AS MATERIALIZED (SELECT b.root, b.node, any_value(b.dist) AS dist, any_value(b.sigma) AS sigma, count(u.node) AS preds FROM {name} b JOIN {links} e ON e.dst = b.node LEFT JOIN {name} u ON u.root = b.root AND u.node = e.src AND u.dist = b.dist - 1 GROUP BY b.root, b.node),
+dl(root, node, lvl, sigma, delta, preds) AS (SELECT root, node, dist, sigma, {start}, preds FROM pr WHERE dist = (SELECT max(dist) FROM pr)
+UNION ALL SELECT x.root, x.node, any_value(x.dist), any_value(x.sigma), {start} + coalesce(sum({part}), 0), any_value(x.preds) FROM pr x LEFT JOIN {links} e ON e.src = x.node LEFT JOIN dl y ON y.root = x.root AND y.node = e.dst WHERE x.dist = (SELECT max(lvl) - 1 FROM dl) AND x.dist >= 1 GROUP BY x.root, x.node)"""
+
+
+#: The line graph of ways in both directions.
+BOTH = LINES + ", adj AS (SELECT src, dst FROM lg UNION ALL SELECT dst, src FROM lg), wi AS (SELECT DISTINCT src AS id FROM adj),"
+
+
+@register("way_radius", _recursive(seg("SELECT root AS way, sum(dist)::BIGINT AS rtopo, round(sum(dist * length), 3) AS acces FROM bf JOIN wlen ON wlen.way = node GROUP BY root", BOTH + searched())))
 def way_radius(spark, sf_dir):
     w, e = named_ways(spark, sf_dir)
     g = materialise(ways.line_graph(ways.way_places(e)), "lg")
     return indicators.topological_radius(g, w.select(F.col("way_id").alias("id"), "length")).select(F.col("id").alias("way"), "rtopo", F.round("acces", 3).alias("acces"))
 
 
-@register("way_closeness")
+@register("way_closeness", _recursive(seg("SELECT root AS way, round(CASE WHEN sum(dist) > 0 THEN (count(*) - 1) / sum(dist) * (count(*) - 1) / ((SELECT count(*) FROM wi) - 1) ELSE 0 END, 9) AS closen FROM bf GROUP BY root", BOTH + searched())))
 def way_closeness(spark, sf_dir):
     _, e = named_ways(spark, sf_dir)
     return indicators.closeness(materialise(ways.line_graph(ways.way_places(e)), "lg")).select(F.col("id").alias("way"), F.round("closen", 9).alias("closen"))
 
 
-@register("way_betweenness")
+@register("way_betweenness", _recursive(seg("SELECT id AS way, round(coalesce(v, 0.0) / 2, 6) AS betwee FROM wi LEFT JOIN (SELECT node AS id, sum(delta) AS v FROM dl GROUP BY node) USING (id)", BOTH + searched() + "," + gathered("betweenness"))))
 def way_betweenness(spark, sf_dir):
     _, e = named_ways(spark, sf_dir)
     return indicators.betweenness(materialise(ways.line_graph(ways.way_places(e)), "lg")).select(F.col("id").alias("way"), F.round("betwee", 6).alias("betwee"))
 
 
-@register("way_stress")
+@register("way_stress", _recursive(seg("SELECT id AS way, round(coalesce(v, 0.0) / 2, 3) AS use FROM wi LEFT JOIN (SELECT node AS id, sum(sigma * delta) AS v FROM dl GROUP BY node) USING (id)", BOTH + searched() + "," + gathered("stress"))))
 def way_stress(spark, sf_dir):
     _, e = named_ways(spark, sf_dir)
     return indicators.stress(materialise(ways.line_graph(ways.way_places(e)), "lg")).select(F.col("id").alias("way"), F.round("use", 3).alias("use"))
