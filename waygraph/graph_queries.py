@@ -188,9 +188,7 @@ simple("hop_distances", _recursive(seg("SELECT root, node, dist FROM bf", ST + "
 simple("bfs_tree", _recursive(seg("SELECT min(e.src) AS pred, b.node, any_value(b.dist) AS dist FROM bf b JOIN sy e ON e.dst = b.node JOIN bf a ON a.node = e.src AND a.dist = b.dist - 1 GROUP BY b.node", ST + ", z AS (SELECT 0::BIGINT AS id)," + searched("sy", "z"))), lambda s, d: T.bfs_tree(street(s, d), 0))
 simple("weighted_distances", _recursive(seg("SELECT node, dist::DOUBLE AS dist FROM wd", ST + ", wd(node, dist) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, min(p.dist + e.w) FROM wd p JOIN sy e ON e.src = p.node LEFT JOIN recurring.wd AS r ON r.node = e.dst WHERE r.dist IS NULL OR p.dist + e.w < r.dist GROUP BY e.dst)")), lambda s, d: T.weighted_distances(X.street_graph(s, d), s.range(1)).select("node", "dist"))
 simple("eccentricity", _recursive(seg("SELECT root AS id, max(dist) AS value FROM bf WHERE root IN (SELECT node FROM bf WHERE root = (SELECT root FROM bf GROUP BY root ORDER BY count(*) DESC, root LIMIT 1)) GROUP BY root", ST + "," + searched("sy", "dg"))), lambda s, d: T.eccentricity(T.largest_component(street(s, d))))
-simple("strong_components", EV + " SELECT src AS id, (SELECT min(src) FROM ev) AS component FROM ev GROUP BY src", lambda s, d: T.strong_components(X.event_transitions(s, d).select("src", "dst")))
 simple("topological_levels", "SELECT DISTINCT o_custkey AS id, 0 AS level FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_suppkey + 10000000, 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey + 20000000, 2 FROM lineitem", lambda s, d: T.topological_levels(X.customer_suppliers(s, d).unionByName(X.supplier_parts(s, d).select((F.col("src") + 10_000_000).alias("src"), (F.col("dst") + 20_000_000).alias("dst")))))
-simple("spanning_forest", None, lambda s, d: T.spanning_forest(X.street_graph(s, d)))
 simple("maximal_matching", _recursive(seg("SELECT e.src, e.dst FROM mm JOIN es e USING (i) WHERE took", ST + """, es AS (SELECT row_number() OVER (ORDER BY src, dst) AS i, src, dst FROM st),
 mm(i, used, took) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT e.i, CASE WHEN f THEN list_append(list_append(used, e.src), e.dst) ELSE used END, f FROM (SELECT e.*, m.used, NOT list_contains(m.used, e.src) AND NOT list_contains(m.used, e.dst) AS f FROM mm m JOIN es e ON e.i = m.i + 1) e)""")), lambda s, d: T.maximal_matching(street(s, d)))
 simple("independent_set", None, lambda s, d: T.independent_set(street(s, d)))

@@ -133,8 +133,11 @@ def k_core(edges: DataFrame, k: int | None = None, kind: str = "core") -> DataFr
     return subgraph(_simple(edges), own.select("id"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``id, label``: colour classes take turns; each node takes the commonest neighbour label, its own among ties, else the largest."""
+def label_propagation(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """``id, label``: colour classes take turns; each node takes the commonest neighbour label, its own among ties, else the largest.
+
+    Ends when no label moves; an error if labels still move after ``rounds``.
+    """
     from waygraph.operators.graph.traverse import greedy_color
 
     s = materialise(symmetric(_simple(edges)), "links")
@@ -153,8 +156,8 @@ def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
             moved += nxt.filter("m").limit(1).count()
             lab = nxt.drop("m")
         if not moved:
-            break
-    return lab.select("id", "label")
+            return lab.select("id", "label")
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
 def asyn_label_propagation(edges: DataFrame, rounds: int = 1000, weight: str | None = None) -> DataFrame:
@@ -416,11 +419,34 @@ def average_neighbour_degree(edges: DataFrame, weight: str | None = None) -> Dat
     return s.join(d.select(F.col("id").alias("dst"), "degree"), "dst").groupBy(F.col("src").alias("id")).agg((F.sum(F.col("w") * F.col("degree")) / F.sum("w")).alias("value"))
 
 
-def average_degree_connectivity(edges: DataFrame) -> DataFrame:
-    """``degree, value``: mean neighbour degree of nodes of each degree."""
+def directed_neighbour_degree(edges: DataFrame, source: str = "out", target: str = "out", weight: str | None = None) -> DataFrame:
+    """``id, value`` of a digraph: (weighted) mean ``target`` degree of the nodes that a node's ``source`` edges lead to."""
+    e = edges.select("src", "dst", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
+    e = e if source == "out" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    k = edges.groupBy(F.col("src" if target == "out" else "dst").alias("dst")).agg(F.count(F.lit(1)).alias("k"))
+    s = e.join(k, "dst", "left").na.fill(0, ["k"])
+    return s.groupBy(F.col("src").alias("id")).agg((F.sum(F.col("w") * F.col("k")) / F.sum("w")).alias("value"))
+
+
+def average_degree_connectivity(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """``degree, value``: (weighted) mean neighbour degree of nodes of each degree."""
     d = degrees(edges)
-    s = symmetric(edges).join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dn")), "dst").join(d.select(F.col("id").alias("src"), "degree"), "src")
-    return s.groupBy("degree").agg(F.avg("dn").alias("value"))
+    s = symmetric(edges.select("src", "dst", (F.col(weight) if weight else F.lit(1.0)).alias("w")), "src", "dst", "w").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dn")), "dst").join(d.select(F.col("id").alias("src"), "degree"), "src")
+    return s.groupBy("degree").agg((F.sum(F.col("w") * F.col("dn")) / F.sum("w")).alias("value"))
+
+
+def degree_mixing(edges: DataFrame, normalized: bool = False) -> DataFrame:
+    """``x, y, n``: joint counts, or shares, of the degrees of both ends."""
+    return mixing(edges, degrees(edges), "degree", normalized)
+
+
+def directed_degree_mixing(edges: DataFrame, x: str = "out", y: str = "in") -> DataFrame:
+    """``x, y, n`` of a digraph: joint counts of x-degrees of sources and y-degrees of targets."""
+    def side(k, end):
+        return edges.groupBy(F.col("src" if k == "out" else "dst").alias(end)).agg(F.count(F.lit(1)).alias(f"k_{end}"))
+
+    e = edges.select("src", "dst").join(side(x, "src"), "src", "left").join(side(y, "dst"), "dst", "left").na.fill(0)
+    return e.groupBy(F.col("k_src").alias("x"), F.col("k_dst").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def girvan_newman(edges: DataFrame, levels: int = 1) -> DataFrame:

@@ -120,16 +120,20 @@ def hop_distances(edges: DataFrame, sources: DataFrame | None = None, cutoff: in
     return search(edges if directed else symmetric(edges), sources, cutoff)
 
 
-def weighted_distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, directed: bool = False) -> DataFrame:
-    """``root, node, dist, pred`` by weights ``w``; negative weights are allowed on digraphs, negative cycles raise an error."""
+def weighted_distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, directed: bool = False, weight=None) -> DataFrame:
+    """``root, node, dist, pred`` by weights ``w``; negative weights are allowed on digraphs, negative cycles raise an error.
+
+    ``weight`` may be a column expression, or a function from the edges to one, in place of ``w``; edges of null weight are hidden.
+    """
+    if weight is not None:
+        edges = edges.select("src", "dst", (weight(edges) if callable(weight) else weight).alias("w")).filter("w is not null")
     return relax(edges if directed else symmetric(edges, "src", "dst", "w"), sources, cutoff)
 
 
 def has_negative_cycle(edges: DataFrame) -> bool:
     """Whether a digraph has a cycle of negative weight: every node is a start at 0 and n rounds still improve."""
-    hub = nodes(edges).select(F.lit(-(1 << 60)).alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
     try:
-        relax(edges.select("src", "dst", F.col("w").cast("double").alias("w")).unionByName(hub), edges.sparkSession.range(1).select(F.lit(-(1 << 60)).alias("id")))
+        _from_hub(edges)
     except ValueError:
         return True
     return False
@@ -248,12 +252,69 @@ def is_dag(edges: DataFrame) -> bool:
     return True
 
 
+#: A node that no graph has, for searches from many nodes at once.
+HUB = -(1 << 60)
+
+
+def _from_hub(edges: DataFrame) -> DataFrame:
+    """Relax from one extra node that reaches every node at 0, so that rows are one per node."""
+    hub = nodes(edges).select(F.lit(HUB).alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
+    return relax(edges.select("src", "dst", F.col("w").cast("double").alias("w")).unionByName(hub), edges.sparkSession.range(1).select(F.lit(HUB).alias("id")))
+
+
+def _longest(edges: DataFrame, weight: str | None) -> DataFrame:
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    topological_levels(edges)  # an error if there is a cycle
+    return materialise(_from_hub(edges.select("src", "dst", (-w).alias("w"))).filter(F.col("node") != HUB), "longest")
+
+
 def dag_longest_path_length(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """``value``: the largest sum of weights along a path of a DAG, at least 0."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    topological_levels(edges)
-    d = relax(edges.select("src", "dst", (-w).alias("w")), nodes(edges))
-    return d.agg(F.greatest(F.lit(0.0), -F.min("dist")).alias("value"))
+    return _longest(edges, weight).agg(F.greatest(F.lit(0.0), -F.min("dist")).alias("value"))
+
+
+def dag_longest_path(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """``path``: one longest path of a DAG; of several ends the least, of equal predecessors the least."""
+    d = _longest(edges, weight)
+    end = d.orderBy("dist", "node").limit(1).select("root", "node")
+    return paths(d.withColumn("pred", F.when(F.col("pred") != HUB, F.col("pred"))), end).select("path")
+
+
+def astar_path_length(edges: DataFrame, source: int, target: int, heuristic: DataFrame, directed: bool = False) -> DataFrame:
+    """``value``: least sum of ``w`` between two nodes, null if there is none; rows that cannot better the best so far go.
+
+    ``heuristic`` (id, h) bounds the rest of the way to the target from below; a node
+    without a row counts 0.  Each round joins the rows that improved, and keeps
+    only those whose sum and bound are below the target's sum so far.
+    """
+    e = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    e = e if directed else symmetric(e, "src", "dst", "w")
+    e = e.groupBy("src", "dst").agg(F.min("w").alias("w")).join(heuristic.select(F.col("id").alias("dst"), "h"), "dst", "left").na.fill(0.0, ["h"])
+    e = materialise(e, "astar-edges")
+    best = front = materialise(edges.sparkSession.range(source, source + 1).select(F.col("id").alias("node"), F.lit(0.0).alias("dist")), "astar")
+    while True:
+        goal = best.filter(F.col("node") == target).first()
+        step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("d"), "h")
+        if goal is not None:
+            step = step.filter(F.col("d") + F.col("h") < goal["dist"])
+        step = step.groupBy("node").agg(F.min("d").alias("d"))
+        nxt = best.join(step, "node", "full").select("node", F.least("dist", "d").alias("dist"), F.coalesce(F.col("d") < F.col("dist"), F.col("dist").isNull()).alias("moved"))
+        nxt = materialise(nxt, "astar")
+        best, front = nxt.select("node", "dist"), nxt.filter("moved").select("node", "dist")
+        if not front.limit(1).count():
+            return best.filter(F.col("node") == target).agg(F.min("dist").alias("value"))
+
+
+def has_path(edges: DataFrame, source: int, target: int, directed: bool = False) -> DataFrame:
+    """``value``: whether a path leads from one node to another."""
+    found = search(edges if directed else symmetric(edges), edges.sparkSession.range(source, source + 1))
+    return found.agg(F.coalesce(F.bool_or(F.col("node") == target), F.lit(False)).alias("value"))
+
+
+def floyd_warshall(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """``src, dst, dist`` of all pairs by weights, negative ones allowed on digraphs: every node relaxes as a source."""
+    e = edges if directed else symmetric(edges, "src", "dst", "w")
+    return relax(e, nodes(edges)).select(F.col("root").alias("src"), F.col("node").alias("dst"), "dist")
 
 
 def transitive_reduction(edges: DataFrame) -> DataFrame:
@@ -431,13 +492,35 @@ def bridges(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def local_bridges(edges: DataFrame) -> DataFrame:
-    """``src, dst`` of edges whose ends have no common neighbour."""
+    """``src, dst`` of edges whose ends have no common neighbour; ``bridge_spans`` has the length of the way round."""
     from waygraph.operators.graph.cluster import triangle_rows
 
     t = triangle_rows(edges).select(F.explode(F.array(*[F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")) for x, y in (("a", "b"), ("b", "c"), ("a", "c"))])).alias("e")).select("e.*")
     return canonical(edges).filter("src <> dst").distinct().join(t, ["src", "dst"], "left_anti")
 
 
+def bridge_spans(edges: DataFrame) -> DataFrame:
+    """``src, dst, span`` of local bridges: hops between the ends without the edge, null for bridges.
+
+    All are searched at once: a frontier of (edge, node) rows that leaves out its own edge, until its far end is met.
+    """
+    e = materialise(local_bridges(edges), "local-bridges")
+    steps = materialise(symmetric(canonical(edges).filter("src <> dst").distinct()).withColumnRenamed("src", "at"), "steps")
+    key = ["src", "dst"]
+    seen = front = materialise(e.select(*key, F.col("src").alias("node"), F.lit(0).alias("span")), "span")
+    out, n = None, 0
+    while front.limit(1).count():
+        n += 1
+        step = front.join(steps.withColumnRenamed("dst", "to"), F.col("node") == F.col("at")).filter(~((F.col("node") == F.col("src")) & (F.col("to") == F.col("dst"))))
+        step = step.select(*key, F.col("to").alias("node")).distinct().join(seen.select(*key, "node"), [*key, "node"], "left_anti")
+        step = materialise(step.withColumn("span", F.lit(n)), "span")
+        hit = step.filter("node = dst").select(*key, "span")
+        out = hit if out is None else out.unionByName(hit)
+        front = materialise(step.join(hit.select(*key), key, "left_anti"), "span-front")
+        seen = materialise(seen.unionByName(front), "span-seen")
+    return e.join(out, key, "left") if out is not None else e.withColumn("span", F.lit(None).cast("int"))
+
+
 def bridge_components(edges: DataFrame) -> DataFrame:
     """``id, component`` after all bridges are removed."""
     rest = canonical(edges).join(bridges(edges), ["src", "dst"], "left_anti")

@@ -12,13 +12,16 @@ from waygraph.operators.ways import departures, lengths_by_class
 from waygraph.plans.kernels import _neighbours, levels_from, per_source, search, symmetric
 
 
-def way_angles(edges: DataFrame) -> DataFrame:
-    """``place, edge_a, way_a, edge_b, way_b, sin``: sine of the deviation of edge pairs on different ways."""
+def way_angles(edges: DataFrame, function=F.sin, name: str = "sin") -> DataFrame:
+    """``place, edge_a, way_a, edge_b, way_b, sin``: a function, by default the sine, of the deviation of edge pairs on different ways.
+
+    These rows are the upper half of every place's matrix over its departures.
+    """
     d = departures(edges).join(edges.select(F.col("fid").alias("edge"), "way"), "edge")
     x = d.select("place", *[F.col(c).alias(f"{c}_a") for c in ("edge", "side", "way", "az")])
     y = d.select("place", *[F.col(c).alias(f"{c}_b") for c in ("edge", "side", "way", "az")])
     p = x.join(y, "place").filter((F.struct("edge_a", "side_a") < F.struct("edge_b", "side_b")) & (F.col("way_a") != F.col("way_b")))
-    return p.select("place", "edge_a", "way_a", "edge_b", "way_b", F.sin(G.deviation(F.col("az_a"), F.col("az_b"))).alias("sin"))
+    return p.select("place", "edge_a", "way_a", "edge_b", "way_b", function(G.deviation(F.col("az_a"), F.col("az_b"))).alias(name))
 
 
 def _both(angles: DataFrame) -> DataFrame:

@@ -49,12 +49,13 @@ def simplest_path(graph: DataFrame, requests: DataFrame) -> DataFrame:
     return with_edges(_routes(symmetric(w, "src", "dst", "w"), requests), graph)
 
 
-def azimuth_path(edges: DataFrame, places: DataFrame, requests: DataFrame, naive: bool = False, rounds: int = 500) -> DataFrame:
+def azimuth_path(edges: DataFrame, places: DataFrame, requests: DataFrame, naive: bool = False) -> DataFrame:
     """``req, seq, fid, at``: walkers that take the departure closest to the azimuth of their target.
 
     Naive walkers may not turn back on the edge just used and stop on a repeated
     edge.  Others jump to an adjacent target, avoid dead ends, places already seen
     and, after the first step, measure angles across the plane they came from.
+    No walker uses an edge twice, so all end without a limit on steps.
     ``places``: ``place, pt, degree``.
     """
     dep = departures(edges).join(edges.select(F.col("fid").alias("edge"), "start_pl", "end_pl"), "edge")
@@ -63,8 +64,9 @@ def azimuth_path(edges: DataFrame, places: DataFrame, requests: DataFrame, naive
     pts = places.select("place", "pt")
     w = requests.join(pts.select(F.col("place").alias("source"), F.col("pt").alias("p0")), "source").join(pts.select(F.col("place").alias("target"), F.col("pt").alias("goal")), "target")
     w = w.select("req", F.col("source").alias("at"), "target", "goal", F.col("p0").alias("p"), F.array().cast("array<long>").alias("used"), F.array("source").alias("seen"), F.lit(None).cast("double").alias("came"))
-    out = None
-    for seq in range(1, rounds + 1):
+    out, seq = None, 0
+    while True:
+        seq += 1
         w = materialise(w, "walkers")
         if not w.limit(1).count():
             break

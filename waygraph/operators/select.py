@@ -100,3 +100,8 @@ def horizon(graph: DataFrame, sources: DataFrame, cutoff: int | None = None) ->
     root = hub.select(F.col("src").alias("id")).distinct()
     found = search(symmetric(graph).unionByName(hub), root, None if cutoff is None else cutoff + 1)
     return found.filter("node <> -1").select(F.col("node").alias("id"), (F.col("dist") - 1).alias("horizon"))
+
+
+def horizon_features(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """The rows that a horizon (``id, horizon``) reached, geometry and all, with their ``horizon``."""
+    return rows.join(found.select(F.col("id").alias(key), "horizon"), key)
