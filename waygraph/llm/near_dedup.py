@@ -127,7 +127,9 @@ class Sampler:
 
     For weight w:  t = floor(ln w / r + beta),  ln a = ln c - r (t - beta) - r;  the
     element of the smallest a and its t are the sample.  r and c are Gamma(2, 1),
-    beta is uniform.
+    beta is uniform.  The table has 2^DRAWS entries, so shingles of a text of about
+    a million words share draws; equal values of a go to the smallest hash, alike
+    in every text.  This shifts estimates a little, and texts are verified anyway.
     """
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 7):
@@ -380,7 +382,7 @@ def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members with their ``component``, of the buckets that still hold several classes."""
     m = members.join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     m = materialise(m, "bucket-classes")
-    several = m.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
+    several = materialise(m.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "several-classes")
     return materialise(m.join(several, ["band", "key"]), "open-buckets")
 
 
@@ -414,11 +416,13 @@ def _classed(docs: DataFrame, doc_id: str, text: str, similar: float, words: int
     sketches = signed.select("node", "sketch")
 
     posted = signed.select("node", F.posexplode("keys").alias("band", "key"))
-    full = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # counts and hubs of buckets are written before they meet the members, so that a large bucket's join can be split
+    full = materialise(posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket-sizes")
     members = materialise(posted.join(full, ["band", "key"]), "buckets")
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     members = members.join(central, "node")
     hub = members.groupBy("band", "key").agg(F.max(F.struct("central", "node")).alias("s")).select("band", "key", F.col("s.node").alias("hub"))
+    hub = materialise(hub, "bucket-hubs")
     members = materialise(members.join(hub, ["band", "key"]), "buckets")
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(_verified(_agree(stars, sketches), nodes, idf, similar, words), "links")
