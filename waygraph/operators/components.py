@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from waygraph.plans.stages import materialise
+from waygraph.plans.stages import materialise, release
 
 
 #: Edges that one task writes in a round.
@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
+        old = state
         state, now = _marked(small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), mark[0])
+        release(old)
         if now == mark:
             break
         mark = now

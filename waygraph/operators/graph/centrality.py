@@ -9,26 +9,24 @@ from pyspark.sql.window import Window
 from waygraph.operators.graph.structure import canonical, degrees, nodes
 from waygraph.operators.indicators import brandes, distance_sums, edge_brandes
 from waygraph.plans.kernels import relax, search, symmetric
-from waygraph.plans.stages import materialise
+from waygraph.plans.stages import materialise, release
 
-def _all():
-    return Window.partitionBy()
 
-
-def _n():
-    return F.count(F.lit(1)).over(_all())
+def with_total(df: DataFrame, name: str = "_n", total=None) -> DataFrame:
+    """``df`` with a column of the number of its rows, or another total, from a one-row aggregate rather than a window over all rows."""
+    return df.crossJoin(F.broadcast(df.agg((F.count(F.lit(1)) if total is None else total).alias(name))))  # one row
 
 
 def degree_centrality(edges: DataFrame, end: str = "both") -> DataFrame:
     """``id, value``: degree (``both``), in- (``dst``) or out-degree (``src``) over n - 1."""
     d = degrees(edges) if end == "both" else edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    return nodes(edges).join(d, "id", "left").select("id", (F.coalesce("degree", F.lit(0)) / (_n() - 1)).alias("value"))
+    return with_total(nodes(edges).join(d, "id", "left")).select("id", (F.coalesce("degree", F.lit(0)) / (F.col("_n") - 1)).alias("value"))
 
 
 def betweenness_centrality(edges: DataFrame, k: int | None = None, normalized: bool = True, directed: bool = False, endpoints: bool = False) -> DataFrame:
     """``id, value``; with ``k`` sampled sources the sums are rescaled by n / k."""
-    raw = brandes(edges, "betweenness", k, directed, endpoints)
-    n = _n()
+    raw = with_total(materialise(brandes(edges, "betweenness", k, directed, endpoints), "betweenness"))
+    n = F.col("_n")
     if normalized:
         pairs = n * (n - 1) if endpoints else (n - 1) * (n - 2)
         scale = F.when(pairs > 0, 1.0 / pairs).otherwise(F.lit(1.0))
@@ -47,8 +45,8 @@ def edge_betweenness_centrality(edges: DataFrame, k: int | None = None, normaliz
 
 def betweenness_subset(edges: DataFrame, sources: DataFrame, targets: list[int], directed: bool = False, normalized: bool = False) -> DataFrame:
     """Betweenness over paths from ``sources`` (id) to ``targets`` only; the target list is an argument, hence small."""
-    raw = brandes(edges, "betweenness", None, directed, sources=sources, targets=set(targets))
-    n = _n()
+    raw = with_total(materialise(brandes(edges, "betweenness", None, directed, sources=sources, targets=set(targets)), "betweenness"))
+    n = F.col("_n")
     scale = 1.0 / ((n - 1) * (n - 2)) if normalized else F.lit(1.0 if directed else 0.5)
     return raw.select("id", (F.col("value") * scale).alias("value"))
 
@@ -62,35 +60,41 @@ def edge_betweenness_subset(edges: DataFrame, sources: DataFrame, targets: list[
 def closeness_centrality(edges: DataFrame, wf_improved: bool = True) -> DataFrame:
     """``id, value``: (r-1)/sum of hops, times (r-1)/(n-1) if improved."""
     c = F.when(F.col("total") > 0, (F.col("reach") - 1) / F.col("total")).otherwise(F.lit(0.0))
-    return distance_sums(edges).select("id", (c * (F.col("reach") - 1) / (_n() - 1) if wf_improved else c).alias("value"))
+    return with_total(materialise(distance_sums(edges), "sums")).select("id", (c * (F.col("reach") - 1) / (F.col("_n") - 1) if wf_improved else c).alias("value"))
 
 
 def weighted_closeness(edges: DataFrame, directed: bool = False) -> DataFrame:
     """Closeness by weights ``w``; of a digraph over inward distances."""
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w") if directed else symmetric(edges, "src", "dst", "w")
     d = relax(e, nodes(edges)).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("dist").alias("t"))
-    return d.select("id", F.when(F.col("t") > 0, (F.col("r") - 1) / F.col("t") * (F.col("r") - 1) / (_n() - 1)).otherwise(F.lit(0.0)).alias("value"))
+    return with_total(materialise(d, "sums")).select("id", F.when(F.col("t") > 0, (F.col("r") - 1) / F.col("t") * (F.col("r") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias("value"))
 
 
-def harmonic_centrality(edges: DataFrame, directed: bool = False) -> DataFrame:
-    """``id, value``: sum of 1 / distance (inward on digraphs)."""
-    d = search(edges if directed else symmetric(edges))
-    return d.groupBy(F.col("node").alias("id")).agg(F.coalesce(F.sum(F.when(F.col("dist") > 0, 1.0 / F.col("dist"))), F.lit(0.0)).alias("value"))
+def harmonic_centrality(edges: DataFrame, directed: bool = False, weight: str | None = None) -> DataFrame:
+    """``id, value``: sum of 1 / distance (inward on digraphs), in hops or by a weight."""
+    back = edges.withColumnsRenamed({"src": "dst", "dst": "src"}) if directed else edges
+    if weight is None:
+        return distance_sums(back, directed=directed).select("id", F.col("inverse").alias("value"))
+    e = back.select("src", "dst", F.col(weight).alias("w"))
+    d = relax(e if directed else symmetric(e, "src", "dst", "w"), nodes(edges))
+    return d.groupBy(F.col("root").alias("id")).agg(F.coalesce(F.sum(F.when(F.col("dist") > 0, 1.0 / F.col("dist"))), F.lit(0.0)).alias("value"))
 
 
 def load_centrality(edges: DataFrame, normalized: bool = True) -> DataFrame:
     """``id, value``: unit loads split evenly among predecessors; normalised by (n-1)(n-2)."""
-    n = _n()
-    return brandes(edges, "load").select("id", (F.col("value") / ((n - 1) * (n - 2)) if normalized else F.col("value")).alias("value"))
+    n = F.col("_n")
+    return with_total(materialise(brandes(edges, "load"), "load")).select("id", (F.col("value") / ((n - 1) * (n - 2)) if normalized else F.col("value")).alias("value"))
 
 
 def _iterate(start: DataFrame, step, tol_scale, tol: float, rounds: int, name: str) -> DataFrame:
     """Repeat ``step`` on (id, x) until the summed change is below tol * tol_scale; an error if it never is."""
-    x = materialise(start, name)
+    x = old = materialise(start, name)
     for _ in range(rounds):
         seen = Observation()
         nxt = step(x).withColumnRenamed("x", "y").join(x, "id").select("id", F.col("y").alias("x"), F.abs(F.col("y") - F.col("x")).alias("d"))
-        x = materialise(nxt.observe(seen, F.sum("d").alias("err")), name).select("id", "x")
+        new = materialise(nxt.observe(seen, F.sum("d").alias("err")), name)
+        release(old)
+        old, x = new, new.select("id", "x")
         if (seen.get["err"] or 0.0) < tol * tol_scale:
             return x
     raise RuntimeError(f"{name}: no convergence in {rounds} rounds")
@@ -136,14 +140,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: floa
 
     def share(t, name):
         if t is None:
-            return F.lit(1.0) / _n()
-        return F.coalesce(F.col(name), F.lit(0.0)) / F.sum(F.coalesce(F.col(name), F.lit(0.0))).over(_all())
+            return F.lit(1.0) / F.col("_n")
+        return F.coalesce(F.col(name), F.lit(0.0)) / F.col(f"_{name}")
 
     v = ids
     for t, name in ((personalization, "p"), (dangling, "q")):
         if t is not None:
             v = v.join(t.select("id", F.col("p").alias(name)), "id", "left")
-    v = v.join(e.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left")
+    v = materialise(v.join(e.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left"), "nodes")
+    v = v.crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(f"_{c}") for c in ("p", "q") if c in v.columns])))  # one row
     p = share(personalization, "p")
     v = materialise(v.select("id", p.alias("p"), (share(dangling, "q") if dangling is not None else p).alias("q"), F.col("out").isNull().alias("sink")), "nodes")
     n = v.count()
@@ -169,17 +174,18 @@ def hits(edges: DataFrame, rounds: int = 100, tol: float = 1e-8) -> DataFrame:
     def step(h):
         b = e.join(authority(h).withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("s"))
         y = ids.join(b, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("x"))
-        return y.select("id", (F.col("x") / F.max("x").over(_all())).alias("x"))
+        return with_total(y, "_top", F.max("x")).select("id", (F.col("x") / F.col("_top")).alias("x"))
 
-    h = _iterate(ids.withColumn("x", F.lit(1.0) / _n()), step, 1, tol, rounds, "hits")
-    a = authority(h).withColumnRenamed("x", "a")
-    return h.join(a, "id").select("id", (F.col("x") / F.sum("x").over(_all())).alias("hub"), (F.col("a") / F.sum("a").over(_all())).alias("authority"))
+    h = _iterate(ids.withColumn("x", F.lit(1.0 / max(1, ids.count()))), step, 1, tol, rounds, "hits")
+    both = materialise(h.join(authority(h).withColumnRenamed("x", "a"), "id"), "hits")
+    both = both.crossJoin(F.broadcast(both.agg(F.sum("x").alias("_x"), F.sum("a").alias("_a"))))  # one row
+    return both.select("id", (F.col("x") / F.col("_x")).alias("hub"), (F.col("a") / F.col("_a")).alias("authority"))
 
 
 def reaching(edges: DataFrame) -> DataFrame:
     """``id, value``: share of the other nodes reachable in a digraph."""
-    d = search(edges).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("r"))
-    return d.select("id", ((F.col("r") - 1) / (_n() - 1)).alias("value"))
+    d = distance_sums(edges, directed=True)
+    return with_total(materialise(d, "reach")).select("id", ((F.col("reach") - 1) / (F.col("_n") - 1)).alias("value"))
 
 
 def global_reaching(edges: DataFrame) -> DataFrame:
@@ -234,9 +240,13 @@ def local_efficiency(edges: DataFrame) -> DataFrame:
     return k.join(e, "c", "left").agg(F.avg(F.when(F.col("k") > 1, F.coalesce("e", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1))).otherwise(F.lit(0.0))).alias("value"))
 
 
-def wiener_index(edges: DataFrame) -> DataFrame:
-    """``value``: sum of all pair distances, infinite if the graph is disconnected."""
-    d = distance_sums(edges)
+def wiener_index(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """``value``: sum of all pair distances, in hops or by a weight; infinite if the graph is disconnected."""
+    if weight is None:
+        d = distance_sums(edges)
+    else:
+        e = symmetric(edges.select("src", "dst", F.col(weight).alias("w")), "src", "dst", "w")
+        d = relax(e, nodes(edges)).groupBy("root").agg(F.count(F.lit(1)).alias("reach"), F.sum("dist").alias("total"))
     return d.agg(F.when(F.min("reach") == F.count(F.lit(1)), F.sum("total") / 2).otherwise(F.lit(float("inf"))).alias("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waygraph.plans.kernels import relax, search, symmetric
+from waygraph.plans.stages import materialise
 
 
 def canonical(edges: DataFrame, *more: str) -> DataFrame:
@@ -139,15 +140,23 @@ def non_edges(edges: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def chain(rows: DataFrame, kind: str = "path") -> DataFrame:
-    """Edges along ordered rows (``seq, id``): a path, a cycle, or a star around the first."""
-    w = Window.orderBy("seq")
+    """Edges along ordered rows (``seq, id``): a path, a cycle, or a star around the first.
+
+    Rows are range-partitioned; each takes the next in its partition, and a
+    partition's last row the first of the next partition that has any.
+    """
+    hub = rows.agg(F.min_by("id", "seq").alias("first"), F.min("seq").alias("s0"))
     if kind == "star":
-        hub = rows.agg(F.min_by("id", "seq").alias("src"), F.min("seq").alias("s0"))
-        return rows.join(F.broadcast(hub), F.col("seq") > F.col("s0")).select("src", F.col("id").alias("dst"))
-    out = rows.select(F.col("id").alias("src"), F.lead("id").over(w).alias("dst"), F.first("id").over(w).alias("first"))
+        return rows.join(F.broadcast(hub), F.col("seq") > F.col("s0")).select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = materialise(rows.select("seq", "id").repartitionByRange(n, "seq").withColumn("p", F.spark_partition_id()), "chain")
+    after = d.groupBy("p").agg(F.min_by("id", "seq").alias("head"))
+    after = after.select("p", F.lead("head").over(Window.orderBy("p")).alias("after"))  # one row per partition
+    out = d.withColumn("dst", F.lead("id").over(Window.partitionBy("p").orderBy("seq"))).join(F.broadcast(after), "p")
+    out = out.select(F.col("id").alias("src"), F.coalesce("dst", "after").alias("dst"))
     if kind == "cycle":
-        return out.select("src", F.coalesce("dst", "first").alias("dst"))
-    return out.filter("dst is not null").select("src", "dst")
+        return out.crossJoin(F.broadcast(hub)).select("src", F.coalesce("dst", "first").alias("dst"))
+    return out.filter("dst is not null")
 
 
 def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -187,8 +187,9 @@ def all_shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:
 
 def eccentricity(edges: DataFrame) -> DataFrame:
     """``id, value``: largest hop distance; an error if the graph is disconnected."""
-    d = search(symmetric(edges)).groupBy(F.col("root").alias("id")).agg(F.max("dist").alias("value"), F.count(F.lit(1)).alias("r"))
-    d = materialise(d, "ecc")
+    from waygraph.operators.indicators import distance_sums
+
+    d = materialise(distance_sums(edges).select("id", F.col("far").alias("value"), F.col("reach").alias("r")), "ecc")
     if d.agg(F.min("r") < F.count(F.lit(1))).first()[0]:
         raise ValueError("the graph is disconnected")
     return d.select("id", "value")
@@ -197,8 +198,8 @@ def eccentricity(edges: DataFrame) -> DataFrame:
 def distance_extremes(edges: DataFrame) -> DataFrame:
     """``id, value, center, periphery`` with the ``radius`` and ``diameter``."""
     e = eccentricity(edges)
-    w = Window.partitionBy()
-    return e.withColumn("radius", F.min("value").over(w)).withColumn("diameter", F.max("value").over(w)).withColumn("center", F.col("value") == F.col("radius")).withColumn("periphery", F.col("value") == F.col("diameter"))
+    ends = e.agg(F.min("value").alias("radius"), F.max("value").alias("diameter"))
+    return e.crossJoin(F.broadcast(ends)).withColumn("center", F.col("value") == F.col("radius")).withColumn("periphery", F.col("value") == F.col("diameter"))
 
 
 def average_path_length(edges: DataFrame) -> DataFrame:

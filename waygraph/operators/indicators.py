@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
 from waygraph.operators.ways import departures, lengths_by_class
-from waygraph.plans.kernels import _neighbours, levels_from, per_source, search, symmetric
+from waygraph.plans.kernels import BROADCAST_EDGES, _neighbours, level_sums, levels_from, per_source, search, symmetric
+from waygraph.plans.stages import materialise
 
 
 def way_angles(edges: DataFrame, function=F.sin, name: str = "sin") -> DataFrame:
@@ -98,7 +99,10 @@ def brandes(graph: DataFrame, kind: str = "betweenness", k: int | None = None, d
             total += value
         return pd.DataFrame({"id": ids, "value": total})
 
-    sums = per_source(e, chosen, "id long, value double", run).groupBy("id").agg(F.sum("value").alias("value"))
+    def beyond():
+        return level_sums(e, chosen, kind, endpoints, targets)
+
+    sums = per_source(e, chosen, "id long, value double", run, beyond).groupBy("id").agg(F.sum("value").alias("value"))
     return nodes.join(sums, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -123,7 +127,7 @@ def edge_brandes(graph: DataFrame, k: int | None = None, directed: bool = False,
                 np.add.at(delta, row[own], c)
         return pd.DataFrame({"src": ids[row], "dst": ids[nbr], "value": total})
 
-    out = per_source(e, chosen, "src long, dst long, value double", run)
+    out = per_source(e, chosen, "src long, dst long, value double", run, lambda: level_sums(e, chosen, targets=targets, per_edge=True))
     if not directed:
         out = out.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "value")
     return out.groupBy("src", "dst").agg(F.sum("value").alias("value"))
@@ -136,42 +140,67 @@ def betweenness(graph: DataFrame) -> DataFrame:
 
 def stress(graph: DataFrame, k: int | None = None, normalized: bool = False, endpoints: bool = False) -> DataFrame:
     """``id, use``: shortest paths through each node, each pair once; rescaled when ``k`` sources are drawn."""
-    out = brandes(graph, "stress", k, endpoints=endpoints)
-    n = F.count(F.lit(1)).over(_all())
+    out = _counted(brandes(graph, "stress", k, endpoints=endpoints))
+    n = F.col("_n")
     scale = F.lit(1.0) / ((n - 1) * (n - 2)) if normalized else F.lit(0.5)
     if k is not None:
         scale = scale * n / k
     return out.select("id", (F.col("value") * scale).alias("use"))
 
 
-def _all():
-    from pyspark.sql.window import Window
+def _counted(df: DataFrame) -> DataFrame:
+    """``df``, written once, with the number of its rows in ``_n``."""
+    df = materialise(df, "counted")
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))  # one row
+
 
-    return Window.partitionBy()
+def distance_sums(graph: DataFrame, lengths: DataFrame | None = None, directed: bool = False) -> DataFrame:
+    """``id, reach, total, far, inverse[, weighted]``: nodes reached, summed hops, largest hops, summed 1 / hops, and hops times length.
 
+    Tasks return one row per source; pairs are listed, and summed where they are
+    made, only where the lengths or the graph are too large to broadcast.
+    """
+    e = graph.select("src", "dst") if directed else symmetric(graph)
+    _, chosen = _sources(graph, None)
+
+    def listed():
+        pairs = search(e, chosen)
+        sums = [F.count(F.lit(1)).alias("reach"), F.sum("dist").alias("total"), F.max("dist").alias("far"), F.coalesce(F.sum(F.when(F.col("dist") > 0, 1.0 / F.col("dist"))), F.lit(0.0)).alias("inverse")]
+        if lengths is not None:
+            pairs = pairs.join(lengths.select(F.col("id").alias("node"), "length"), "node")
+            sums.append(F.sum(F.col("dist") * F.col("length")).alias("weighted"))
+        return pairs.groupBy(F.col("root").alias("id")).agg(*sums)
+
+    own = None
+    if lengths is not None:
+        few = lengths.select("id", "length").dropDuplicates(["id"])
+        if few.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
+            return listed()
+        table = few.toPandas().sort_values("id")  # at most BROADCAST_EDGES rows
+        own = graph.sparkSession.sparkContext.broadcast((table["id"].to_numpy(np.int64), table["length"].to_numpy(np.float64)))
 
-def distance_sums(graph: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """``id, reach, total[, weighted]`` over an undirected graph: nodes reached, summed hops, and hops times length."""
-    nodes, chosen = _sources(graph, None)
-    if lengths is None:
-        def run(ids, starts, nbr, at):
-            rows = []
-            for s in at:
-                dist, _ = levels_from(starts, nbr, s)
-                rows.append((ids[s], int((dist >= 0).sum()), int(dist[dist > 0].sum())))
-            return pd.DataFrame(rows, columns=["id", "reach", "total"])
+    def run(ids, starts, nbr, at):
+        rows, length = [], None
+        if own is not None:
+            known, values = own.value
+            i = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
+            there = known[i] == ids if len(known) else np.zeros(len(ids), bool)
+            length = np.where(there, values[i] if len(known) else 0.0, 0.0)
+        for s in at:
+            dist, _ = levels_from(starts, nbr, s)
+            d = dist[dist > 0]
+            rows.append((ids[s], len(d) + 1, int(d.sum()), int(d.max(initial=0)), float((1.0 / d).sum()), *([float((dist * length)[dist > 0].sum())] if length is not None else [])))
+        return pd.DataFrame(rows, columns=["id", "reach", "total", "far", "inverse", *(["weighted"] if length is not None else [])])
 
-        return per_source(symmetric(graph), chosen, "id long, reach long, total long", run)
-    pairs = search(symmetric(graph), chosen)
-    by = pairs.join(lengths.select(F.col("id").alias("node"), "length"), "node")
-    return by.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("reach"), F.sum("dist").alias("total"), F.sum(F.col("dist") * F.col("length")).alias("weighted"))
+    schema = "id long, reach long, total long, far int, inverse double" + (", weighted double" if lengths is not None else "")
+    return per_source(e, chosen, schema, run, listed)
 
 
 def closeness(graph: DataFrame) -> DataFrame:
     """``id, closen``: (r-1)/sum * (r-1)/(n-1), r the nodes reached including itself."""
-    n = F.count(F.lit(1)).over(_all())
+    n = F.col("_n")
     c = F.when(F.col("total") > 0, (F.col("reach") - 1) / F.col("total") * (F.col("reach") - 1) / (n - 1)).otherwise(F.lit(0.0))
-    return distance_sums(graph).select("id", c.alias("closen"))
+    return _counted(distance_sums(graph)).select("id", c.alias("closen"))
 
 
 def topological_radius(graph: DataFrame, lengths: DataFrame) -> DataFrame:

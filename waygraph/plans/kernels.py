@@ -4,6 +4,7 @@ Searches from many sources have two strategies with equal rows.  While the edges
 are at most ``BROADCAST_EDGES`` (counted first) the adjacency goes to every task as
 arrays and sources are dealt over tasks; beyond it a frontier of (root, node) rows
 is joined with the edges, level by level, each level written to shared storage.
+Sums along shortest paths go back over the same levels, for blocks of sources.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
-from waygraph.plans.stages import materialise
+from waygraph.plans.stages import materialise, release
 
 #: Edges up to which the adjacency is broadcast: two arrays of 8 bytes each.
 BROADCAST_EDGES = 5_000_000
@@ -122,18 +123,20 @@ def _search_on(steps: DataFrame, visited: DataFrame, level: DataFrame, cutoff: i
         level = materialise(reach.withColumn("dist", F.lit(n)), "search")
         if not level.limit(1).count():
             break
-        visited = materialise(visited.unionByName(level), "search")
+        old, visited = visited, materialise(visited.unionByName(level), "search")
+        release(old)
     return visited
 
 
-def per_source(edges: DataFrame, sources: DataFrame, schema: str, function: Callable) -> DataFrame:
+def per_source(edges: DataFrame, sources: DataFrame, schema: str, function: Callable, beyond: Callable | None = None) -> DataFrame:
     """Run ``function(ids, starts, nbr, positions)`` -> DataFrame on each batch of sources, with the adjacency broadcast.
 
-    Batches return partial sums, so only sums leave a task.  Raises above BROADCAST_EDGES.
+    Batches return partial sums, so only sums leave a task.  Above BROADCAST_EDGES
+    ``beyond()`` gives the rows instead.
     """
     adj = adjacency(edges)
     if adj is None:
-        raise ValueError(f"more than {BROADCAST_EDGES} edges: sample the sources and use search() or relax()")
+        return beyond()
     spark = edges.sparkSession
     shared = spark.sparkContext.broadcast(adj)
 
@@ -147,6 +150,66 @@ def per_source(edges: DataFrame, sources: DataFrame, schema: str, function: Call
     return sources.select(F.col("id").cast("long").alias("id")).repartition(n, "id").mapInPandas(run, schema)
 
 
+#: Rows of (source, node) that a block of sources may reach in level_sums.
+BLOCK_ROWS = 500_000_000
+
+
+def level_sums(edges: DataFrame, sources: DataFrame, kind: str = "betweenness", endpoints: bool = False, targets: set | None = None, per_edge: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, value`` (or ``src, dst, value``): the sums of ``brandes`` and ``edge_brandes`` by joins alone, for graphs of any size.
+
+    Numbers of shortest paths are summed level by level from the sources, then
+    dependencies level by level back to them.  Sources go in blocks, so that no more
+    than about ``block_rows`` rows of (source, node) are held at a time.
+    """
+    e = materialise(edges.select("src", "dst").filter("src <> dst").distinct(), "level-edges")
+    n = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
+    own = sources.select(F.col("id").cast("long").alias("id")).distinct()
+    blocks = max(1, -(-own.count() * n // block_rows))
+    own = materialise(own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))), "level-sources")
+    start = F.lit(1.0) if kind == "load" else F.lit(0.0)
+    one = F.lit(1.0) if targets is None else F.col("node").isin(sorted(targets)).cast("double")
+    key, out = (["src", "dst"] if per_edge else ["id"]), None
+    for b in range(blocks):
+        levels = [materialise(own.filter(F.col("b") == b).select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("sigma")), "level")]
+        seen = levels[0].select("root", "node")
+        while True:
+            step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma")).join(seen, ["root", "node"], "left_anti")
+            step = materialise(step, "level")
+            if not step.limit(1).count():
+                break
+            levels.append(step)
+            seen = seen.unionByName(step.select("root", "node"))
+        below = levels[-1].withColumn("delta", start)
+        for k in range(len(levels) - 1, 0, -1):
+            above = levels[k - 1].select("root", F.col("node").alias("src"), F.col("sigma").alias("up"))
+            links = below.join(e, F.col("node") == F.col("dst")).join(above, ["root", "src"])
+            if kind == "load":
+                preds = links.groupBy("root", "node").agg(F.count(F.lit(1)).alias("preds"))
+                part = F.col("delta") / F.col("preds")
+                links = links.join(preds, ["root", "node"])
+            else:
+                part = F.lit(1.0) + F.col("delta") if kind == "stress" else F.col("up") / F.col("sigma") * (one + F.col("delta"))
+            links = links.withColumn("part", part)
+            if per_edge:
+                links = materialise(links.select("root", "src", "dst", "part"), "level-links")
+                rows = links.groupBy("src", "dst").agg(F.sum("part").alias("value"))
+            else:
+                gain = F.col("sigma") * F.col("delta") if kind == "stress" else F.col("delta") - 1 if kind == "load" else F.col("delta")
+                rows = below.groupBy(F.col("node").alias("id")).agg(F.sum(gain + (1.0 if endpoints else 0.0)).alias("value"))
+                if endpoints:
+                    rows = rows.unionByName(below.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+            out = rows if out is None else out.unionByName(rows)
+            sums = links.groupBy("root", F.col("src").alias("node")).agg(F.sum("part").alias("got"))
+            below = levels[k - 1].join(sums, ["root", "node"], "left").select("root", "node", "sigma", (start + F.coalesce("got", F.lit(0.0))).alias("delta"))
+            below = materialise(below, "level-back")
+        if out is not None:
+            out = materialise(out.groupBy(*key).agg(F.sum("value").alias("value")), "level-sums")
+        release(*levels)
+    if out is None:
+        return e.select(*([F.col("src"), F.col("dst")] if per_edge else [F.col("src").alias("id")]), F.lit(0.0).alias("value")).limit(0)
+    return out
+
+
 def _settle(starts, nbr, weight, root, cutoff):
     """(distances, predecessors) from one root over non-negative weights; of equal sums the least predecessor settled before."""
     dist, pred, done = {root: 0.0}, {root: -1}, set()
@@ -210,7 +273,7 @@ def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max
         return _relax_broadcast(steps, sources, cutoff)
     nodes = steps.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
     best = materialise(sources.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct(), "relax")
-    front = best
+    front = old = best
     for k in range(max_rounds):
         if k > nodes:
             raise ValueError("negative cycle")
@@ -222,7 +285,8 @@ def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max
         better = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")) | ((F.col("nd") == F.col("dist")) & (F.col("np") < F.col("pred"))))
         nxt = joined.select("root", "node", F.when(better, F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("np")).otherwise(F.col("pred")).alias("pred"), F.coalesce(F.col("nd") < F.col("dist"), F.col("nd").isNotNull() & F.col("dist").isNull(), F.lit(False)).alias("moved"))
         nxt = materialise(nxt, "relax")
-        best, front = nxt.drop("moved"), nxt.filter("moved").drop("moved")
+        release(old)
+        old, best, front = nxt, nxt.drop("moved"), nxt.filter("moved").drop("moved")
         if not front.limit(1).count():
             return best
     raise RuntimeError("relaxation did not settle")
@@ -235,7 +299,8 @@ def peel(edges: DataFrame, keep: Column) -> DataFrame:
     while True:
         ok = symmetric(e).groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(keep).select(F.col("src").alias("id"))
         e2 = e.join(ok.withColumnRenamed("id", "src"), "src", "left_semi").join(ok.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        e = materialise(e2.select("src", "dst"), "peel")
+        old, e = e, materialise(e2.select("src", "dst"), "peel")
+        release(old)
         m = e.count()
         if m == n:
             return e
