@@ -6,6 +6,8 @@ clipping, merging and simplifying are Arrow-batched functions over single rows.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -389,3 +391,60 @@ def simplify(tolerance: float):
         return pd.Series([_points(reduce(_array(x))) for x in lines])
 
     return run
+
+
+def wkb_line():
+    """A function of LINE: little-endian well-known binary of a LineString."""
+
+    @F.pandas_udf("binary")
+    def write(lines: pd.Series) -> pd.Series:
+        def one(line):
+            a = _array(line)
+            return struct.pack("<BII", 1, 2, len(a)) + a.astype("<f8").tobytes()
+
+        return lines.map(one, na_action="ignore")
+
+    return write
+
+
+def parse_wkb_lines():
+    """A function of binary: array<LINE> of a LineString or MultiLineString in either byte order, with or without Z, M and SRID; null for other types."""
+
+    @F.pandas_udf(MLINE)
+    def read(data: pd.Series) -> pd.Series:
+        def geometry(b: bytes, at: int):
+            order = "<" if b[at] == 1 else ">"
+            (kind,) = struct.unpack_from(order + "I", b, at + 1)
+            at += 5 + (4 if kind & 0x20000000 else 0)
+            width = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
+            kind &= 0x0FFFFFFF
+            width = max(width, 2 + (kind // 1000 in (1, 3)) + (kind // 1000 in (2, 3)))
+            (n,) = struct.unpack_from(order + "I", b, at)
+            at += 4
+            if kind % 1000 == 2:
+                a = np.frombuffer(b, order + "f8", n * width, at).reshape(n, width)[:, :2]
+                return [_points(a)], at + 8 * n * width
+            if kind % 1000 != 5:
+                return None, at
+            out = []
+            for _ in range(n):
+                part, at = geometry(b, at)
+                out += part
+            return out, at
+
+        return data.map(lambda b: geometry(bytes(b), 0)[0], na_action="ignore")
+
+    return read
+
+
+def wkt_ring(ring) -> Column:
+    """POLYGON text of a closed ring."""
+    return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit("))"))
+
+
+def parse_wkt_ring(text) -> Column:
+    """The outer ring of a POLYGON text, null for other types; Z and M values are dropped."""
+    text = F.col(text) if isinstance(text, str) else text
+    outer = F.regexp_extract(text, r"(?i)^\s*(?:SRID=\d+;)?\s*POLYGON\s*(?:ZM|Z|M)?\s*\(\s*\(([^)]*)\)", 1)
+    pts = F.transform(F.split(outer, ","), lambda t: F.split(F.trim(t), r"\s+"))
+    return F.when(outer != "", F.transform(pts, lambda p: point(F.element_at(p, 1), F.element_at(p, 2))))

@@ -20,6 +20,9 @@ from waygraph.sources import io
 
 # Files
 
+#: Boxes around blocks of lattice columns, and the vertices in them.
+PL = "pl AS (SELECT DISTINCT id // 10 AS pid FROM dg), bx AS (SELECT pid, (pid % 3) * 1000 - 20 AS x0, (pid // 3) * 100 - 20 AS y0 FROM pl), px AS (SELECT id, 100*(id % 30) + (id*37) % 11 AS x, 100*(id // 30) + (id*53) % 13 AS y, k FROM dg), inb AS (SELECT id, pid FROM px JOIN bx ON pid IN (id // 10, id // 10 - 1, id // 10 + 1) AND x > x0 AND x < x0 + 350 AND y > y0 AND y < y0 + 40)"
+
 SEGS = "SELECT fid, name, v AS start_v, w AS end_v, 3 AS points, round(length, 6) AS length FROM seg"
 
 
@@ -90,11 +93,12 @@ def polygons(spark, sf_dir):
 simple("read_wkt", seg(SEGS), by_wkt)
 simple("read_geojson", seg(SEGS), by_geojson)
 simple("read_parquet_lines", seg(SEGS), by_parquet)
+simple("read_wkb", seg(SEGS), lambda s, d: shown(io.segments_from(X.segments(s, d).select("fid", "name", G.wkb_line()("geom").alias("b")), "b", "fid", "name", "wkb")))
+simple("polygon_text", seg("SELECT pid, 5 AS corners, 14000.0::DOUBLE AS area FROM bx", ST + "," + PL), lambda s, d: polygons(s, d).select("pid", G.parse_wkt_ring(G.wkt_ring("ring")).alias("r")).select("pid", F.size("r").alias("corners"), G.ring_area(F.col("r")).alias("area")))
 simple("read_multi_lines", seg("SELECT CASE WHEN n > 1 THEN k * 1000 + part ELSE k END AS fid, name, start_v, end_v, points, length FROM (SELECT name, v AS start_v, w AS end_v, 3 AS points, round(length, 6) AS length, min(fid) OVER (PARTITION BY name) AS k, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY fid) - 1 AS part FROM seg)"), multi_parts)
 simple("reopened_project", seg("SELECT * FROM (SELECT 'vertices_1' AS name, count(DISTINCT place) AS n FROM ends UNION ALL SELECT 'places_1', count(DISTINCT place) FROM ends UNION ALL SELECT 'place_edges_1', count(*) FROM wy UNION ALL SELECT 'ways_1', count(DISTINCT way) FROM wy)", WAYS), reopened)
 simple("imported_state", seg("SELECT fid, name, a.d + b.d - 2 AS degree, way, round(length, 6) AS length FROM wy JOIN deg a ON a.place = v JOIN deg b ON b.place = w", WAYS), imported)
 simple("manifest", "SELECT '4.0' AS buffer, '60.0' AS threshold FROM customer LIMIT 1", lambda s, d: s.read.json(project(s, d) + "/manifest"))
-PL = "pl AS (SELECT DISTINCT id // 10 AS pid FROM dg), bx AS (SELECT pid, (pid % 3) * 1000 - 20 AS x0, (pid // 3) * 100 - 20 AS y0 FROM pl), px AS (SELECT id, 100*(id % 30) + (id*37) % 11 AS x, 100*(id // 30) + (id*53) % 13 AS y, k FROM dg), inb AS (SELECT id, pid FROM px JOIN bx ON pid IN (id // 10, id // 10 - 1, id // 10 + 1) AND x > x0 AND x < x0 + 350 AND y > y0 AND y < y0 + 40)"
 simple("read_polygons", seg("SELECT pid, 5 AS corners, 2154 AS srid, 14000.0::DOUBLE AS area FROM bx", ST + "," + PL), lambda s, d: polygons(s, d).select("pid", F.size("ring").alias("corners"), "srid", G.ring_area(F.col("ring")).alias("area")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -220,22 +221,50 @@ def k_cliques(edges: DataFrame, k: int) -> DataFrame:
     return c if k > 1 else nodes(edges).select(F.array("id").alias("members"))
 
 
-def maximal_cliques(edges: DataFrame, largest: int = 12) -> DataFrame:
-    """``members`` of every maximal clique, up to ``largest`` nodes; an error if larger ones exist."""
-    e = symmetric(_simple(edges))
-    out, c, k = None, k_cliques(edges, 2), 2
-    while True:
-        grown = c.withColumn("old", F.explode("members")).join(e.select(F.col("src").alias("old"), F.col("dst").alias("new")), "old").groupBy("members", "new").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("members"))
-        grown = materialise(grown.select("members", "new"), "grown")
-        top = c.join(grown.select("members").distinct(), "members", "left_anti")
-        out = top if out is None else out.unionByName(top)
-        nxt = grown.select(F.sort_array(F.concat("members", F.array("new"))).alias("members")).distinct()
-        k += 1
-        c = materialise(nxt, "cliques")
-        if not c.limit(1).count():
-            return out
-        if k > largest:
-            raise ValueError(f"cliques of more than {largest} nodes")
+def _maximal_within(nbr: dict[int, set[int]]) -> list[list[int]]:
+    """Maximal cliques of a small graph, by pivoting."""
+    out, stack = [], [([], set(nbr), set())]
+    while stack:
+        chosen, may, done = stack.pop()
+        if not may:
+            if not done:
+                out.append(chosen)
+            continue
+        pivot = max(may | done, key=lambda u: len(may & nbr[u]))
+        for v in sorted(may - nbr[pivot]):
+            stack.append(([*chosen, v], may & nbr[v], done & nbr[v]))
+            may, done = may - {v}, done | {v}
+    return out
+
+
+def maximal_cliques(edges: DataFrame) -> DataFrame:
+    """``members`` of every maximal clique, ascending.
+
+    Nodes are ordered by (degree, id).  A clique is found at its first node, among
+    that node's later neighbours; of those a node has at most the square root of
+    twice the number of edges, however many neighbours there are in all.  Cliques
+    that an earlier node extends go, by a join.
+    """
+    e = materialise(_simple(edges), "links")
+    s = materialise(symmetric(e), "links")
+    k = s.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    a = e.join(k.select(F.col("id").alias("src"), F.struct("k", "id").alias("a")), "src").join(k.select(F.col("id").alias("dst"), F.struct("k", "id").alias("b")), "dst")
+    later = materialise(a.select(F.least("a", "b")["id"].alias("v"), F.greatest("a", "b")["id"].alias("u")), "later")
+    inner = later.join(later.withColumnRenamed("u", "w"), "v").filter("u < w").join(e.select(F.col("src").alias("u"), F.col("dst").alias("w")), ["u", "w"], "left_semi")
+    local = later.select("v", "u", F.lit(None).cast("long").alias("w")).unionByName(inner.select("v", "u", "w"))
+
+    def grow(g: pd.DataFrame) -> pd.DataFrame:
+        nbr: dict[int, set[int]] = {int(u): set() for u in g["u"]}
+        pairs = g[g["w"].notna()]
+        for u, w in zip(pairs["u"].astype("int64"), pairs["w"].astype("int64"), strict=True):
+            nbr[u].add(w)
+            nbr[w].add(u)
+        v = int(g["v"].iloc[0])
+        return pd.DataFrame({"members": [sorted([v, *c]) for c in _maximal_within(nbr)]})
+
+    c = materialise(local.groupBy("v").applyInPandas(grow, "members array<long>"), "cliques")
+    wider = c.withColumn("old", F.explode("members")).join(s.select(F.col("src").alias("old"), F.col("dst").alias("new")), "old").groupBy("members", "new").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("members"))
+    return c.join(wider.select("members").distinct(), "members", "left_anti")
 
 
 def cliques_of_nodes(cliques: DataFrame) -> DataFrame:

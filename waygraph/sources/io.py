@@ -12,12 +12,12 @@ from waygraph.plans.stages import path_exists
 def segments_from(df: DataFrame, geometry: str = "geom", key: str | None = None, name: str | None = None, format: str = "lines") -> DataFrame:
     """``fid, name, geom`` with one row per single line.
 
-    ``format``: ``lines`` (array of points), ``multi`` (array of lines), ``wkt`` or
+    ``format``: ``lines`` (array of points), ``multi`` (array of lines), ``wkt``, ``wkb`` or
     ``points`` (array of [x, y] arrays).  With a ``key`` parts of a row get
     key * 1000 + part when there are several; otherwise ids are hashes of the line.
     """
     g = F.col(geometry)
-    parts = {"lines": F.array(g), "multi": g, "wkt": G.parse_wkt_lines(g), "points": F.array(F.transform(g, lambda p: G.point(F.element_at(p, 1), F.element_at(p, 2))))}[format]
+    parts = {"lines": F.array(g), "multi": g, "wkt": G.parse_wkt_lines(g), "wkb": G.parse_wkb_lines()(g) if format == "wkb" else g, "points": F.array(F.transform(g, lambda p: G.point(F.element_at(p, 1), F.element_at(p, 2))))}[format]
     label = F.col(name).cast("string") if name else F.lit(None).cast("string")
     id_ = F.col(key).cast("long") if key else F.lit(None).cast("long")
     d = df.select(id_.alias("k"), label.alias("name"), F.size(parts).alias("n"), F.posexplode(parts).alias("part", "geom")).filter("geom is not null and size(geom) > 1")
