@@ -81,6 +81,14 @@ def test_relaxations_agree(spark):
     assert sorted(map(str, relax(g, spark.range(25)).collect())) == sorted(map(str, relax(g, spark.range(25), broadcast=False).collect()))
 
 
+@pytest.mark.parametrize("name", ["bigint", "string"])
+def test_components_alike_in_rounds_and_in_one_task(spark, name):
+    e = spark.createDataFrame([(a, b) for a, b in random_graph(80, 70, 4)] + [(5, 5), (None, 3), (900, None)], "src long, dst long").selectExpr(f"cast(src as {name}) src", f"cast(dst as {name}) dst")
+    v = spark.range(100).selectExpr(f"cast(id as {name}) id")
+    one, rounds = (sorted(map(tuple, connected_components(e, vertices=v, task_edges=n).collect())) for n in (200_000, 0))
+    assert one == rounds and len(one) == 100
+
+
 def test_components_and_cores(spark):
     edges = random_graph(60, 50, 3)
     up = list(range(60))

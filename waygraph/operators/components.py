@@ -1,14 +1,20 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by alternating large-star and small-star rounds.
+
+Up to TASK_EDGES distinct edges, counted first, are settled in one task, since rounds
+would each cost a job for a few megabytes; rows are equal either way.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waygraph.plans.stages import materialise, release
 
 
-#: Edges that one task writes in a round.
+#: Edges that one task writes in a round, or settles alone.
 TASK_EDGES = 200_000
 
 
@@ -21,7 +27,31 @@ def _marked(df: DataFrame, edges: int | None = None) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", vertices: DataFrame | None = None, vertex: str = "id", max_rounds: int = 60) -> DataFrame:
+def _settled(state: DataFrame) -> DataFrame:
+    """``id, root`` of a bounded table of edges ``u, v``, by hooking to smaller roots and halving paths."""
+
+    def settle(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        e = pd.concat(parts, ignore_index=True)
+        codes, names = pd.factorize(pd.concat([e["u"], e["v"]], ignore_index=True), sort=True)
+        a, b = codes[: len(e)], codes[len(e) :]
+        root = np.arange(len(names))
+        while True:
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        yield pd.DataFrame({"id": names, "root": names[root]})
+
+    kind = state.schema["u"].dataType.simpleString()
+    return state.select("u", "v").coalesce(1).mapInPandas(settle, f"id {kind}, root {kind}")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", vertices: DataFrame | None = None, vertex: str = "id", max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """Return ``(id, component)``; the component is the smallest id in it.
 
     Edges with a null end are ignored, loops only make their vertex known.
@@ -35,6 +65,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
         ids = ids.union(vertices.select(F.col(vertex).alias("id")).filter("id is not null"))
     ids = ids.distinct()
     state, mark = _marked(e.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if 0 < mark[0] <= task_edges and state.schema["u"].dataType.typeName() in ("long", "integer", "string"):
+        return ids.join(_settled(state), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
     for _ in range(max_rounds):
         if not mark[0]:
             break

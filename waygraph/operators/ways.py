@@ -115,6 +115,7 @@ def build_ways(edges: DataFrame, threshold: float = 60.0, attribute: bool = Fals
     merged geometry.  Length is that of the edges plus the half gaps; degree and
     conn are 0 for a way that meets no other; spacing is length / conn, null then.
     """
+    edges = materialise(edges, "way-edges")
     parts = partition(edges, pair_by_name(edges) if attribute else pair_by_angle(edges, threshold))
     e = materialise(edges.drop("way", "dist").join(parts, "fid", "left"), "edges-ways")
     wp = way_places(e)
