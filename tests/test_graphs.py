@@ -14,6 +14,9 @@ from waygraph.plans.kernels import search, symmetric
 from waygraph.sources import io
 
 
+# Small graphs and the results that must be met on them.
+
+
 def graph(spark, edges):
     return structure.path_graph(spark, edges)
 

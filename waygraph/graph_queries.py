@@ -69,18 +69,18 @@ simple("common_neighbours", seg("SELECT e.src AS u, e.dst AS v, a.dst AS w FROM
 simple("non_edges_of_rows", seg("SELECT a.id AS src, b.id AS dst FROM dg a JOIN dg b ON a.id // 30 = b.id // 30 AND a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM st WHERE src = a.id AND dst = b.id)", ST), lambda s, d: V.non_edges(street(s, d), (lambda r: r.select(F.col("id").alias("src"), "block").join(r.select(F.col("id").alias("dst"), "block"), "block").filter("src < dst").select("src", "dst"))(rows_of(s, d))))
 simple("integer_labels", seg("SELECT id AS old, row_number() OVER (ORDER BY k DESC, id) - 1 AS new FROM dg", ST), lambda s, d: V.integer_labels(street(s, d), ordering="decreasing"))
 simple("relabelled", seg("SELECT src + 1000 AS src, dst + 1000 AS dst FROM st", ST), lambda s, d: V.relabel(street(s, d), V.nodes(street(s, d)).select(F.col("id").alias("old"), (F.col("id") + 1000).alias("new"))))
-STATE = ST + ", ga AS (SELECT src, dst FROM st WHERE (src*31 + dst) % 17 <> 0), gb AS (SELECT src, dst FROM st WHERE (src*31 + dst) % 19 <> 0)"
+STATE = ST + "," + X.STATES_SQL + ", ga AS (SELECT v AS src, w AS dst FROM sa), gb AS (SELECT v AS src, w AS dst FROM sb)"
 
 
 def two(s, d):
     """Two states of the street graph."""
-    return tuple(street(s, d).filter((F.col("src") * 31 + F.col("dst")) % m != 0) for m in (17, 19))
+    return tuple(g.select(F.col("v").alias("src"), F.col("w").alias("dst")) for g in X.state_pairs(s, d))
 
 
 simple("graph_intersection", seg("SELECT * FROM ga INTERSECT SELECT * FROM gb", STATE), lambda s, d: V.intersection(*two(s, d)))
 simple("graph_difference", seg("SELECT * FROM ga EXCEPT SELECT * FROM gb", STATE), lambda s, d: V.difference(*two(s, d)))
 simple("graph_symmetric_difference", seg("(SELECT * FROM ga EXCEPT SELECT * FROM gb) UNION ALL (SELECT * FROM gb EXCEPT SELECT * FROM ga)", STATE), lambda s, d: V.symmetric_difference(*two(s, d)))
-simple("graph_composition", seg("SELECT src, dst, CASE WHEN (src*31 + dst) % 19 <> 0 THEN 2 ELSE 1 END AS state FROM st WHERE (src*31 + dst) % 17 <> 0 OR (src*31 + dst) % 19 <> 0", ST), lambda s, d: V.compose(*[g.withColumn("state", F.lit(i + 1)) for i, g in enumerate(two(s, d))]))
+simple("graph_composition", seg("SELECT src, dst, max(state) AS state FROM (SELECT src, dst, 1 AS state FROM ga UNION ALL SELECT src, dst, 2 FROM gb) GROUP BY ALL", STATE), lambda s, d: V.compose(*[g.withColumn("state", F.lit(i + 1)) for i, g in enumerate(two(s, d))]))
 EP = EV + ", e2 AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM ev WHERE src <> dst), es AS (SELECT src, dst FROM e2 UNION ALL SELECT dst, src FROM e2), n AS (SELECT DISTINCT src AS id FROM es)"
 
 

@@ -295,17 +295,15 @@ def way_horizon(spark, sf_dir):
     return select.horizon(materialise(ways.line_graph(ways.way_places(e)), "lg"), top, 3)
 
 
-STATES = "sa AS (SELECT * FROM seg WHERE (v*31 + w) % 17 <> 0), sb AS (SELECT * FROM seg WHERE (v*31 + w) % 19 <> 0)"
+STATES = X.STATES_SQL
 
 
 def states(spark, sf_dir):
     """Two states of the network, each with ways."""
-    s = X.segments(spark, sf_dir)
-    v, w = X.lattice_key(G.start_point("geom")), X.lattice_key(G.end_point("geom"))
+    s = X.segments(spark, sf_dir).withColumns({"v": X.lattice_key(G.start_point("geom")), "w": X.lattice_key(G.end_point("geom"))})
     out = []
-    for m in (17, 19):
-        own = s.filter((v * 31 + w) % m != 0)
-        _, e = topology.build_graph(own, snap=0, key=X.lattice_key)
+    for pairs in X.state_pairs(spark, sf_dir):
+        _, e = topology.build_graph(s.join(pairs, ["v", "w"], "left_semi").drop("v", "w"), snap=0, key=X.lattice_key)
         out.append(ways.build_ways(places.one_place_per_vertex(e), attribute=True, geometry=False))
     return out
 

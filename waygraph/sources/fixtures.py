@@ -19,9 +19,12 @@ def _xy(v):
     return 100 * (v % 30) + (v * 37) % 11, 100 * F.floor(v / 30) + (v * 53) % 13
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``v, w``: lattice vertices that a street joins."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("v"), (F.col("o_orderkey") % 8).alias("dir")).distinct()
+def _pairs(spark: SparkSession, sf_dir: str, without: str | None = None) -> DataFrame:
+    """``v, w``: lattice vertices that a street joins; a state of the network leaves out the orders of a status."""
+    orders = table(spark, sf_dir, "orders")
+    if without is not None:
+        orders = orders.filter(F.col("o_orderstatus") != without)
+    orders = orders.select(F.col("o_custkey").alias("v"), (F.col("o_orderkey") % 8).alias("dir")).distinct()
     d = F.col("dir")
     w = F.col("v") + F.when(d < 3, 1).when(d < 6, 30).when(d == 6, 31).otherwise(29)
     e = orders.filter((d < 6) | (F.col("v") % 4 == 0)).select("v", w.alias("w"))
@@ -30,6 +33,15 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e
 
 
+#: Statuses whose orders are missing in the first and in the second state of the network.
+MISSING = ("F", "O")
+
+
+def state_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The streets ``v, w`` of two states of the network."""
+    return tuple(_pairs(spark, sf_dir, x) for x in MISSING)
+
+
 def _line() -> F.Column:
     """The street between two lattice vertices, with a bend."""
     (x1, y1), (x2, y2) = _xy(F.col("v")), _xy(F.col("w"))
@@ -60,6 +72,14 @@ seg AS (SELECT *, (x1+x2)/2 + (v*7 + w*3) % 5 AS mx, (y1+y2)/2 AS my,
 """
 
 
+def _state_sql(name: str, without: str) -> str:
+    return f"""{name} AS (SELECT DISTINCT v, CASE WHEN dir < 3 THEN v+1 WHEN dir < 6 THEN v+30 WHEN dir = 6 THEN v+31 ELSE v+29 END AS w FROM (SELECT DISTINCT o_custkey AS v, o_orderkey % 8 AS dir FROM orders WHERE o_orderstatus <> '{without}') WHERE dir < 6 OR v % 4 = 0)"""
+
+
+#: The two states for DuckDB: sa and sb, rows of seg.
+STATES_SQL = _state_sql("oa", MISSING[0]) + ", " + _state_sql("ob", MISSING[1]) + ", sa AS (SELECT seg.* FROM seg JOIN oa USING (v, w)), sb AS (SELECT seg.* FROM seg JOIN ob USING (v, w))"
+
+
 def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bipartite ``src`` (supplier), ``dst`` (part)."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
