@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
@@ -14,7 +16,7 @@ from waygraph.operators.graph import matrix as L
 from waygraph.operators.graph import structure as V
 from waygraph.operators.graph import traverse as T
 from waygraph.plans.stages import materialise, shared_dir, table
-from waygraph.queries import ANGLES, LINES, WAYS, _recursive, gathered, named_ways, network, searched, seg
+from waygraph.queries import ANGLES, LINES, Q, WAYS, _recursive, gathered, named_ways, network, searched, seg
 from waygraph.sources import fixtures as X
 from waygraph.sources import io
 
@@ -289,7 +291,7 @@ simple("average_path_length", _recursive(seg("SELECT round(sum(dist) / ((SELECT
 simple("descendants", _recursive(seg("SELECT node AS id FROM bf WHERE node <> 0", ONE + ", z AS (SELECT 0::BIGINT AS id)," + searched("ow", "z"))), lambda s, d: T.descendants(one_way(s, d), 0))
 simple("ancestors", _recursive(seg("SELECT node AS id FROM bf WHERE node <> 0", ONE + ", z AS (SELECT 0::BIGINT AS id), wo AS (SELECT dst AS src, src AS dst FROM ow)," + searched("wo", "z"))), lambda s, d: T.ancestors(one_way(s, d), 0))
 simple("dag_longest_path_length", f"WITH {SUPPLY} SELECT max(a.w + coalesce(b.w, 0))::DOUBLE AS value FROM cs a LEFT JOIN sp b ON b.src = a.dst", lambda s, d: T.dag_longest_path_length(supply(s, d), "w"))
-simple("transitive_closure", f"WITH {SUPPLY} SELECT src, dst FROM cs UNION SELECT src, dst FROM sp UNION SELECT a.src, b.dst FROM cs a JOIN sp b ON b.src = a.dst", lambda s, d: T.transitive_closure(supply(s, d)))
+simple("transitive_closure", f"WITH {SUPPLY}, sn AS (SELECT s_suppkey + 10000000 AS src, s_nationkey + 30000000 AS dst FROM supplier) SELECT src, dst FROM cs UNION SELECT src, dst FROM sn UNION SELECT a.src, b.dst FROM cs a JOIN sn b ON b.src = a.dst", lambda s, d: T.transitive_closure(supply(s, d).filter("src < 10000000").select("src", "dst").unionByName(table(s, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("src"), (F.col("s_nationkey") + 30_000_000).alias("dst")))))
 simple("transitive_reduction", _recursive(seg("SELECT e.src, e.dst FROM st e WHERE NOT EXISTS (SELECT 1 FROM st m JOIN bf b ON b.root = m.dst AND b.node = e.dst WHERE m.src = e.src AND m.dst <> e.dst)", ST + "," + searched("st", "dg"))), lambda s, d: T.transitive_reduction(street(s, d)))
 simple("spanning_forest", _recursive(seg("SELECT e.src, e.dst, e.w::DOUBLE AS w FROM kr JOIN es e USING (i) WHERE took", ST + """, es AS (SELECT row_number() OVER (ORDER BY w, src, dst) AS i, src, dst, w FROM st), nr AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM dg), ex AS (SELECT i, a.r AS a, b.r AS b FROM es JOIN nr a ON a.id = src JOIN nr b ON b.id = dst),
 kr(i, comp, took) AS (SELECT 0::BIGINT, (SELECT list(r::INT ORDER BY r) FROM nr), false UNION ALL SELECT e.i, CASE WHEN k.comp[e.a] <> k.comp[e.b] THEN list_transform(k.comp, lambda c: CASE WHEN c = k.comp[e.b] THEN k.comp[e.a] ELSE c END) ELSE k.comp END, k.comp[e.a] <> k.comp[e.b] FROM kr k JOIN ex e ON e.i = k.i + 1)""")), lambda s, d: T.spanning_forest(X.street_graph(s, d)))
@@ -298,3 +300,28 @@ simple("is_eulerian", _recursive(seg("SELECT (SELECT bool_and(k % 2 = 0) FROM dg
 simple("beam_search", _recursive(seg("SELECT min(e.src) AS src, b.node AS dst FROM bf b JOIN be e ON e.dst = b.node JOIN bf a ON a.node = e.src AND a.dist = b.dist - 1 GROUP BY b.node", ST + ", be AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY k DESC, dst) AS r FROM sy JOIN dg ON id = dst) WHERE r <= 2), z AS (SELECT 0::BIGINT AS id)," + searched("be", "z"))), lambda s, d: T.beam_search(street(s, d), 0, V.degrees(street(s, d)).select("id", F.col("degree").alias("value")), 2))
 simple("bridge_spans", _recursive(seg("SELECT src, dst, min(n)::INT AS span FROM (SELECT l.src, l.dst, f.n FROM lb l LEFT JOIN sn f ON f.s = l.src AND f.t = l.dst AND f.node = l.dst) GROUP BY src, dst", ST + """, lb AS (SELECT src, dst FROM st e WHERE NOT EXISTS (SELECT 1 FROM sy a JOIN sy b ON a.dst = b.dst WHERE a.src = e.src AND b.src = e.dst)),
 sn0(s, t, node, n) USING KEY (s, t, node) AS (SELECT src, dst, src, 0 FROM lb UNION SELECT p.s, p.t, e.dst, any_value(p.n) + 1 FROM sn0 p JOIN sy e ON e.src = p.node LEFT JOIN recurring.sn0 AS r ON r.s = p.s AND r.t = p.t AND r.node = e.dst LEFT JOIN recurring.sn0 AS q ON q.s = p.s AND q.t = p.t AND q.node = p.t WHERE r.n IS NULL AND q.n IS NULL AND NOT (e.src = p.s AND e.dst = p.t) GROUP BY p.s, p.t, e.dst), sn AS MATERIALIZED (SELECT * FROM sn0)""")), lambda s, d: T.bridge_spans(street(s, d)))
+
+
+def _ways_of(table: str, tag: str) -> str:
+    """The SQL of ways, their line graph and searches on it, over another table of segments, names ending in ``tag``."""
+    sql = LINES + f", adj AS (SELECT src, dst FROM lg UNION ALL SELECT dst, src FROM lg), wi AS (SELECT DISTINCT src AS id FROM adj)," + searched() + ", ac AS (SELECT root AS way, sum(dist * length) AS acces FROM bf JOIN wlen ON wlen.way = node GROUP BY root)"
+    for name in ("ends", "deg", "isl", "wy", "wp", "wends", "wdeg", "wconn", "wlen", "lg", "adj", "wi", "bf0", "bf", "ac"):
+        sql = re.sub(rf"(?<![.\w]){name}\b", name + tag, sql)
+    return re.sub(r"\bFROM seg\b", f"FROM {table}", sql).replace("recurring.bf0", f"recurring.bf0{tag}")
+
+
+def _lost_sql(name: str, of: str, tag: str) -> str:
+    """Hops times length over the edges ``of`` from every way of a state."""
+    return f"""{name}w AS (SELECT way AS node, sum(length) AS len FROM {of} GROUP BY way),
+{name} AS (SELECT root AS way, sum(dist * len) AS v FROM bf{tag} JOIN {name}w USING (node) GROUP BY root UNION ALL SELECT node, 0.0::DOUBLE FROM {name}w WHERE node NOT IN (SELECT id FROM wi{tag}))"""
+
+
+simple("diff_accessibility", _recursive(seg("""SELECT a.fid AS fid1, b.fid AS fid2, round(b.acces - a.acces, 3) AS diff, round(r.v, 3) AS removed, round(n.v, 3) AS added, round(b.acces - a.acces + coalesce(r.v, 0) - coalesce(n.v, 0), 3) AS delta
+FROM ea a JOIN eb b USING (fid) LEFT JOIN rv r ON r.way = a.way LEFT JOIN nw n ON n.way = b.way""", X.STATES_SQL + "," + _ways_of("sa", "1") + "," + _ways_of("sb", "2") + """,
+ea AS MATERIALIZED (SELECT fid, wy1.way, length, coalesce(acces, 0.0) AS acces FROM wy1 LEFT JOIN ac1 USING (way)), eb AS MATERIALIZED (SELECT fid, wy2.way, length, coalesce(acces, 0.0) AS acces FROM wy2 LEFT JOIN ac2 USING (way)),
+gone AS (SELECT * FROM ea WHERE fid NOT IN (SELECT fid FROM eb)), new AS (SELECT * FROM eb WHERE fid NOT IN (SELECT fid FROM ea)),""" + _lost_sql("rv", "gone", "1") + "," + _lost_sql("nw", "new", "2"))), Q["diff_accessibility"])
+simple("crossing_points", seg("""SELECT x, y FROM (SELECT DISTINCT round(pax + (pbx - pax) * ((qax - pax) * (qby - qay) - (qay - pay) * (qbx - qax)) / det, 6) AS x, round(pay + (pby - pay) * ((qax - pax) * (qby - qay) - (qay - pay) * (qbx - qax)) / det, 6) AS y FROM mt WHERE det <> 0)
+UNION SELECT x1, y1 FROM seg UNION SELECT x2, y2 FROM seg""", PC), Q["crossing_points"])
+simple("bridges", _recursive(seg("SELECT src, dst FROM st LEFT JOIN (SELECT s, t, true AS met FROM sn WHERE node = t) ON s = src AND t = dst WHERE met IS NULL", ST + """,
+sn0(s, t, node) USING KEY (s, t, node) AS (SELECT src, dst, src FROM st UNION SELECT p.s, p.t, e.dst FROM sn0 p JOIN sy e ON e.src = p.node LEFT JOIN recurring.sn0 AS r ON r.s = p.s AND r.t = p.t AND r.node = e.dst LEFT JOIN recurring.sn0 AS q ON q.s = p.s AND q.t = p.t AND q.node = p.t WHERE r.s IS NULL AND q.s IS NULL AND NOT (e.src = p.s AND e.dst = p.t) GROUP BY p.s, p.t, e.dst), sn AS MATERIALIZED (SELECT * FROM sn0)""")), Q["bridges"])
+simple("bridges_of_regions", "SELECT s_suppkey + 10000000 AS src, (s_nationkey + 30000000)::BIGINT AS dst FROM supplier UNION ALL SELECT n_regionkey + 20000000, n_nationkey + 30000000 FROM nation", lambda s, d: T.bridges(table(s, d, "supplier").select((F.col("s_suppkey") + 10_000_000).cast("long").alias("src"), (F.col("s_nationkey") + 30_000_000).cast("long").alias("dst")).unionByName(table(s, d, "nation").select((F.col("n_regionkey") + 20_000_000).cast("long").alias("src"), (F.col("n_nationkey") + 30_000_000).cast("long").alias("dst")))))
