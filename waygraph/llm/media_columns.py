@@ -143,14 +143,13 @@ def ranges(rows: pd.DataFrame, most: int | None = None):
 
 
 def dealt_by_bytes(index: DataFrame) -> DataFrame:
-    """The index dealt over tasks that follow the bytes of the members, not of the index.
+    """The index dealt over as many tasks as the bytes of the members ask for, not those of the index.
 
-    Members that lie in one stretch of a shard stay together, in order.
+    Tasks take ranges of (shard, offset), so members that lie together are read in order.
     """
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(-(-total // READ_BYTES), min(4 * index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_LEAST)), 1)
-    stretch = max(1, total // (4 * tasks))
-    return index.repartition(tasks, "shard", F.floor(F.col("offset") / stretch)).sortWithinPartitions("shard", "offset")
+    return index.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def with_header(index: DataFrame) -> DataFrame:
