@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each on all that the one before kept."""
+"""A training corpus from ``documents``: five stages, each on all that the one before kept.
+
+Every stage takes null text as empty, reads texts whole whatever their length, keeps
+all columns of its input (further ones too, whatever their names) but for the last,
+and gives an empty result for an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,27 @@ from waygraph.plans.stages import materialise, table
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; equal texts stay or go together, ids and other columns do not matter."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id, exactly one row of each text, also when ids repeat; null ids rank lowest."""
     return exact_dedup.drop_exact(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id."""
+    """Of near duplicates the document with the smallest id, exactly one row of each class, also when ids repeat; rows with null ids all stay."""
     return near_dedup.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
+    """Every document as often as the mix of its source takes it; null is a source, rows alike share what is taken of them, texts without words go."""
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 4096 tokens."""
+    """Pieces of the documents and their places in sequences of 4096 tokens; repeated rows are packed as often as they occur, null ids too."""
     return packing.packed_documents(docs)
 
 
