@@ -111,6 +111,7 @@ def test_components_and_cores(spark):
 def test_loops_on_small_graphs(spark):
     g = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3), (6, 7)])
     assert sorted(map(tuple, traverse.bridges(g).collect())) == [(2, 3), (6, 7)]
+    assert sorted(map(tuple, traverse.strong_components(g).collect())) == sorted(map(tuple, traverse.strong_components(g, task_edges=0).collect()))
     scc = {r.id: r.component for r in traverse.strong_components(g).collect()}
     assert scc == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
     color = {r.id: r.color for r in traverse.greedy_color(g).collect()}

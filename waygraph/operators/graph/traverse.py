@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waygraph.operators.components import connected_components
+from waygraph.operators.components import TASK_EDGES, connected_components
 from waygraph.operators.graph.structure import canonical, degrees, nodes
 from waygraph.plans.kernels import relax, search, symmetric
 from waygraph.plans.stages import materialise
@@ -35,14 +37,65 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(own.select(F.col("id").alias("src")), "src", "left_semi").select(*edges.columns)
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def _strong_in_task(edges: DataFrame) -> DataFrame:
+    """``id, component`` of a bounded table of edges, in one task: finishing order forwards, then marking backwards."""
+
+    def settle(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        e = pd.concat(parts, ignore_index=True)
+        codes, names = pd.factorize(pd.concat([e["src"], e["dst"]], ignore_index=True), sort=True)
+        a, b = codes[: len(e)], codes[len(e) :]
+        out, into = ([[] for _ in names] for _ in range(2))
+        for u, v in zip(a.tolist(), b.tolist(), strict=True):
+            out[u].append(v)
+            into[v].append(u)
+        seen, order = [False] * len(names), []
+        for root in range(len(names)):
+            stack = [] if seen[root] else [(root, iter(out[root]))]
+            seen[root] = True
+            while stack:
+                u, rest = stack[-1]
+                v = next((x for x in rest if not seen[x]), None)
+                if v is None:
+                    order.append(u)
+                    stack.pop()
+                else:
+                    seen[v] = True
+                    stack.append((v, iter(out[v])))
+        mark = np.full(len(names), -1)
+        for root in reversed(order):
+            if mark[root] >= 0:
+                continue
+            own, todo = [], [root]
+            mark[root] = root
+            while todo:
+                u = todo.pop()
+                own.append(u)
+                for v in into[u]:
+                    if mark[v] < 0:
+                        mark[v] = root
+                        todo.append(v)
+            mark[own] = min(own)
+        yield pd.DataFrame({"id": names, "component": names[mark]})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").coalesce(1).mapInPandas(settle, f"id {kind}, component {kind}")
+
+
+def strong_components(edges: DataFrame, rounds: int = 1000, task_edges: int = TASK_EDGES) -> DataFrame:
     """``id, component``: strong components named by their least id.
 
     Nodes without in- or out-edges are trimmed; then every node takes the largest
     id that reaches it, and what reaches back to that id with the same mark is its
-    component; the rest goes on.
+    component; the rest goes on.  Up to ``task_edges`` edges, counted first, are
+    settled in one task, with equal rows.
     """
-    e = materialise(edges.select("src", "dst").filter("src <> dst").distinct(), "scc")
+    e = materialise(edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct(), "scc")
+    if e.schema["src"].dataType.typeName() in ("long", "integer", "string") and e.count() <= task_edges:
+        found = _strong_in_task(e)
+        return nodes(edges).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     left = materialise(nodes(edges), "scc-left")
     done = None
     for _ in range(rounds):
@@ -82,9 +135,9 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return done if done is not None else left.select("id", F.col("id").alias("component"))
 
 
-def condensation(edges: DataFrame) -> DataFrame:
-    """Distinct ``src, dst`` between strong components."""
-    c = materialise(strong_components(edges), "scc")
+def condensation(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """Distinct ``src, dst`` between strong components, given ones if they are known."""
+    c = components if components is not None else materialise(strong_components(edges), "scc")
     a = c.select(F.col("id").alias("src"), F.col("component").alias("a"))
     b = c.select(F.col("id").alias("dst"), F.col("component").alias("b"))
     return edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
@@ -93,7 +146,7 @@ def condensation(edges: DataFrame) -> DataFrame:
 def attracting_components(edges: DataFrame) -> DataFrame:
     """``id, component`` of strong components that no edge leaves."""
     c = materialise(strong_components(edges), "scc")
-    return c.join(condensation(edges).select(F.col("src").alias("component")), "component", "left_anti").select("id", "component")
+    return c.join(condensation(edges, c).select(F.col("src").alias("component")), "component", "left_anti").select("id", "component")
 
 
 def flow_hierarchy(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -569,8 +622,9 @@ def greedy_color(edges: DataFrame, strategy: str = "largest_first", seed: int =
 
 def is_semiconnected(edges: DataFrame) -> bool:
     """Whether of every two nodes one reaches the other: successive strong components must be adjacent."""
-    dag = materialise(condensation(edges), "dag")
-    names = strong_components(edges).select(F.col("component").alias("id")).distinct()
+    scc = materialise(strong_components(edges), "scc")
+    dag = materialise(condensation(edges, scc), "dag")
+    names = scc.select(F.col("component").alias("id")).distinct()
     k = names.count()
     if k <= 1:
         return True
