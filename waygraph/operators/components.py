@@ -57,7 +57,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", v
     Edges with a null end are ignored, loops only make their vertex known.
     ``vertices`` adds isolated vertices.  Every round keeps at most one row per
     edge, aggregates before it shuffles and is written to shared storage, so
-    the work is O(edges) per round for O(log vertices) rounds.
+    the work is O(edges) per round for O(log vertices) rounds.  Up to ``task_edges``
+    distinct edges are settled in one task instead, with equal rows.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
     ids = e.select(F.explode(F.array("a", "b")).alias("id"))
