@@ -81,8 +81,8 @@ def maybe_in(df: DataFrame, ids: DataFrame, column: str, flag: str = "_maybe") -
 HEAVY = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row per group, on ``key``, without gathering a large group in one task.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (``how``: inner or left) of ``rows`` with one row per group, on ``key``, without gathering a large group in one task.
 
     ``size`` is a column of ``groups``: rows in the group, of ``total`` in all.
     Groups above total / HEAVY, which are at most HEAVY, are broadcast and their
@@ -93,7 +93,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     more = [c for c in groups.columns if c != key]
     tagged = rows.join(F.broadcast(some.withColumn("_large", F.lit(True))), key, "left")
     heavy = tagged.filter("_large").select(*rows.columns, *more)
-    light = tagged.filter("_large is null").select(*rows.columns).join(groups.filter(~large), key).select(*rows.columns, *more)
+    light = tagged.filter("_large is null").select(*rows.columns).join(groups.filter(~large), key, how).select(*rows.columns, *more)
     return heavy.unionByName(light)
 
 

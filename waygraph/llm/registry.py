@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waygraph.llm import exact_dedup, media_columns, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity, warc_archive
+from waygraph.llm import conversations, exact_dedup, importance, media_columns, mixing, near_dedup, packing, quality, sharding, simhash, token_counts, toxicity, warc_archive
 
 
 def queries():
@@ -21,6 +21,9 @@ def queries():
         "op8_mixing": mixing.query,
         "op9_packing": packing.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_conversation_repair": conversations.query,
+        "op12_simhash": simhash.query,
+        "op13_importance": importance.query,
     }
 
 
