@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 def _cut(bits: list[int], parts: int) -> list[list[int]]:
     """``bits`` in ``parts`` runs of nearly equal length."""
-    return [list(p) for p in np.array_split(bits, parts) if len(p)]
+    at = [len(bits) * k // parts for k in range(parts + 1)]
+    return [bits[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(maxsize=8)
