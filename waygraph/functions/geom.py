@@ -117,6 +117,48 @@ def in_ring(p: Column, ring) -> Column:
     return F.size(F.filter(pieces(ring), flips)) % 2 == 1
 
 
+def in_polygon(p: Column, rings) -> Column:
+    """True if a point lies inside a polygon of several rings (holes, parts): a ray from it crosses them an odd number of times."""
+    return F.size(F.filter(rings, lambda ring: in_ring(p, ring))) % 2 == 1
+
+
+def pieces_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """True if two straight pieces cross in a point inside both."""
+    return (F.signum(_side(a, b, c)) * F.signum(_side(a, b, d)) < 0) & (F.signum(_side(c, d, a)) * F.signum(_side(c, d, b)) < 0)
+
+
+def within_polygon(line, rings) -> Column:
+    """True if a line lies inside a polygon, concave or with holes: its points and the middles of its pieces do, and no piece crosses a ring."""
+    line, rings = (F.col(x) if isinstance(x, str) else x for x in (line, rings))
+    middles = F.transform(pieces(line), lambda s: point((s["a"]["x"] + s["b"]["x"]) / 2, (s["a"]["y"] + s["b"]["y"]) / 2))
+    crossed = F.exists(rings, lambda ring: F.exists(pieces(ring), lambda e: F.exists(pieces(line), lambda s: pieces_cross(s["a"], s["b"], e["a"], e["b"]))))
+    return F.forall(F.concat(line, middles), lambda p: in_polygon(p, rings)) & ~crossed
+
+
+def meets_polygon(line, rings) -> Column:
+    """True if a line shares a point with a polygon: it starts inside, or a piece meets a ring."""
+    line, rings = (F.col(x) if isinstance(x, str) else x for x in (line, rings))
+    touched = F.exists(rings, lambda ring: F.exists(pieces(ring), lambda e: F.exists(pieces(line), lambda s: pieces_meet(s["a"], s["b"], e["a"], e["b"]))))
+    return in_polygon(F.element_at(line, 1), rings) | touched
+
+
+def oriented(rings) -> Column:
+    """The rings of a polygon with outer ones counter-clockwise and holes clockwise, by how many other rings surround each."""
+    rings = F.col(rings) if isinstance(rings, str) else rings
+
+    def turned(ring, i):
+        middle = point((ring[0]["x"] + ring[1]["x"]) / 2, (ring[0]["y"] + ring[1]["y"]) / 2)
+        depth = F.size(F.filter(rings, lambda other, j: (i != j) & in_ring(middle, other)))
+        return F.when((ring_area(ring) > 0) == (depth % 2 == 0), ring).otherwise(F.reverse(ring))
+
+    return F.transform(F.filter(rings, lambda r: F.size(r) > 3), turned)
+
+
+def polygon_area(rings) -> Column:
+    """Area of a polygon whose rings are oriented: holes count negative."""
+    return F.aggregate(rings, F.lit(0.0), lambda acc, r: acc + ring_area(r))
+
+
 def within_ring(line, ring) -> Column:
     """True if all points of a line lie inside a ring (exact for convex rings)."""
     return F.forall(line, lambda p: in_ring(p, ring))
@@ -128,6 +170,63 @@ def buffer_ring(p: Column, radius: float, quad_segs: int = 30) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: point(p["x"] + radius * F.cos(2 * F.pi() * (i % n) / n), p["y"] + radius * F.sin(2 * F.pi() * (i % n) / n)))
 
 
+def capsule_ring(a: Column, b: Column, radius: float, quad_segs: int = 8) -> Column:
+    """The points within ``radius`` of a straight piece as a closed counter-clockwise ring, its ends half circles of 2 * quad_segs sides."""
+    n = 2 * quad_segs
+    along = F.atan2(b["y"] - a["y"], b["x"] - a["x"])
+
+    def half(p, first):
+        return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: point(p["x"] + radius * F.cos(along + first + F.pi() * i / n), p["y"] + radius * F.sin(along + first + F.pi() * i / n)))
+
+    ring = F.concat(half(b, -F.pi() / 2), half(a, F.pi() / 2))
+    return F.concat(ring, F.array(ring[0]))
+
+
+def _near_interval(a: Column, b: Column, c: Column, d: Column, r: float) -> Column:
+    """struct<lo, hi> of the share of piece a-b within ``r`` of piece c-d, null if none: the parts in two discs and a rectangle make one interval."""
+    ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
+    uu, vv = ux * ux + uy * uy, vx * vx + vy * vy
+
+    def disc(p):
+        wx, wy = a["x"] - p["x"], a["y"] - p["y"]
+        half, rest = wx * ux + wy * uy, wx * wx + wy * wy - r * r
+        root = F.sqrt(F.greatest(half * half - uu * rest, F.lit(0.0)))
+        hit = (uu > 0) & (half * half >= uu * rest)
+        return [(F.when(hit, (-half - root) / uu).when((uu == 0) & (rest <= 0), F.lit(0.0)), F.when(hit, (-half + root) / uu).when((uu == 0) & (rest <= 0), F.lit(1.0)))]
+
+    def slab(start, slope, lo, hi):
+        """Where lo <= start + slope t <= hi."""
+        inside = (slope == 0) & (start >= lo) & (start <= hi)
+        x, y = F.when(slope != 0, (lo - start) / slope), F.when(slope != 0, (hi - start) / slope)
+        return F.when(inside, F.lit(float("-inf"))).otherwise(F.least(x, y)), F.when(inside, F.lit(float("inf"))).otherwise(F.greatest(x, y))
+
+    wx, wy = a["x"] - c["x"], a["y"] - c["y"]
+    reach = r * F.sqrt(vv)
+    s = slab(wx * vx + wy * vy, ux * vx + uy * vy, F.lit(0.0), vv)
+    t = slab(wx * vy - wy * vx, ux * vy - uy * vx, -reach, reach)
+    ok = (vv > 0) & s[0].isNotNull() & t[0].isNotNull() & (F.greatest(s[0], t[0]) <= F.least(s[1], t[1]))
+    parts = [*disc(c), *disc(d), (F.when(ok, F.greatest(s[0], t[0])), F.when(ok, F.least(s[1], t[1])))]
+    # the three meet, so together they are one interval: least and greatest leave nulls out
+    lo, hi = F.least(*[p[0] for p in parts]), F.greatest(*[p[1] for p in parts])
+    return F.when((lo <= 1) & (hi >= 0), F.struct(F.greatest(lo, F.lit(0.0)).alias("lo"), F.least(hi, F.lit(1.0)).alias("hi")))
+
+
+def covered(line, by, tolerance: float, slack: float = 1e-9) -> Column:
+    """True if every point of a line is within ``tolerance`` of another line; exact up to rounding.
+
+    The part of a piece near a piece of the other line is an interval in closed form; a
+    piece is covered if its intervals, in order, leave no gap.
+    """
+    line, by = (F.col(x) if isinstance(x, str) else x for x in (line, by))
+
+    def whole(s):
+        near = F.filter(F.transform(pieces(by), lambda t: _near_interval(s["a"], s["b"], t["a"], t["b"], tolerance)), lambda i: i.isNotNull())
+        end = F.aggregate(F.array_sort(near), F.lit(0.0), lambda reach, i: F.when(i["lo"] <= reach + slack, F.greatest(reach, i["hi"])).otherwise(reach))
+        return end >= 1 - slack
+
+    return F.forall(pieces(line), whole)
+
+
 def ring_area(ring) -> Column:
     """Signed area, positive counter-clockwise."""
     return F.aggregate(pieces(ring), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) / 2
@@ -255,6 +354,12 @@ def hull_points(pts: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper)
 
 
+def wrapped(nested) -> Column:
+    """Each inner array in a struct ``r``: Arrow batches of arrays of arrays of unequal lengths have no pandas form."""
+    nested = F.col(nested) if isinstance(nested, str) else nested
+    return F.transform(nested, lambda x: F.struct(x.alias("r")))
+
+
 def convex_hull():
     """A function of an array of points: the RING of their convex hull."""
 
@@ -265,12 +370,14 @@ def convex_hull():
     return hull
 
 
-def clip_outside(line: np.ndarray, ring: np.ndarray) -> list[np.ndarray]:
-    """The parts of a line outside a ring."""
-    a, d = ring[:-1], ring[1:] - ring[:-1]
+def clip_outside(line: np.ndarray, ring: np.ndarray | list[np.ndarray]) -> list[np.ndarray]:
+    """The parts of a line outside a ring, or outside a polygon of several rings."""
+    rings = ring if isinstance(ring, list) else [ring]
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    d = b - a
 
     def inside(p):
-        up = (a[:, 1] > p[1]) != (ring[1:, 1] > p[1])
+        up = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
         with np.errstate(divide="ignore", invalid="ignore"):
             x = a[:, 0] + d[:, 0] * (p[1] - a[:, 1]) / d[:, 1]
         return bool((up & (p[0] < x)).sum() % 2)
@@ -322,12 +429,45 @@ def line_minus_rings():
         for line, own in zip(lines, rings, strict=True):
             parts = [_array(line)]
             for ring in [] if own is None else own:
-                ring = _array(ring)
+                ring = _array(ring["r"])
                 parts = [x for p in parts for x in clip_outside(p, ring)]
             out.append([_points(x) for x in parts])
         return pd.Series(out)
 
-    return minus
+    return lambda line, rings: minus(line, wrapped(rings))
+
+
+def line_minus_polygon():
+    """A function of (LINE, rings of a polygon): array<LINE> outside it; inside its holes counts as outside."""
+
+    @F.pandas_udf(MLINE)
+    def minus(lines: pd.Series, polygons: pd.Series) -> pd.Series:
+        out = []
+        for line, rings in zip(lines, polygons, strict=True):
+            if line is None or rings is None or not len(rings):
+                out.append(None if line is None else [_points(_array(line))])
+            else:
+                out.append([_points(x) for x in clip_outside(_array(line), [_array(r["r"]) for r in rings])])
+        return pd.Series(out)
+
+    return lambda line, rings: minus(line, wrapped(rings))
+
+
+def line_minus_polygons():
+    """A function of (LINE, array of polygons): array<LINE> outside all of them."""
+
+    @F.pandas_udf(MLINE)
+    def minus(lines: pd.Series, polygons: pd.Series) -> pd.Series:
+        out = []
+        for line, own in zip(lines, polygons, strict=True):
+            parts = [_array(line)]
+            for rings in [] if own is None else own:
+                rings = [_array(r["r"]) for r in rings["p"]]
+                parts = [x for p in parts for x in clip_outside(p, rings)]
+            out.append([_points(x) for x in parts])
+        return pd.Series(out)
+
+    return lambda line, polygons: minus(line, F.transform(polygons, lambda p: F.struct(wrapped(p).alias("p"))))
 
 
 def merge_lines(lines: list[np.ndarray]) -> list[np.ndarray]:
@@ -361,9 +501,9 @@ def line_merge():
 
     @F.pandas_udf(MLINE)
     def merge(lines: pd.Series) -> pd.Series:
-        return pd.Series([[_points(y) for y in merge_lines([_array(x) for x in own])] for own in lines])
+        return pd.Series([[_points(y) for y in merge_lines([_array(x["r"]) for x in own])] for own in lines])
 
-    return merge
+    return lambda lines: merge(wrapped(lines))
 
 
 def simplify(tolerance: float):
@@ -448,3 +588,25 @@ def parse_wkt_ring(text) -> Column:
     outer = F.regexp_extract(text, r"(?i)^\s*(?:SRID=\d+;)?\s*POLYGON\s*(?:ZM|Z|M)?\s*\(\s*\(([^)]*)\)", 1)
     pts = F.transform(F.split(outer, ","), lambda t: F.split(F.trim(t), r"\s+"))
     return F.when(outer != "", F.transform(pts, lambda p: point(F.element_at(p, 1), F.element_at(p, 2))))
+
+
+def _wkt_rings(body) -> Column:
+    """array<array<LINE>> of the text of a multi-polygon: ``((ring, ring), (ring))`` without its outer brackets."""
+    def ring(text):
+        return F.transform(F.split(F.regexp_replace(text, r"[()]", ""), ","), lambda p: point(F.element_at(F.split(F.trim(p), r"\s+"), 1), F.element_at(F.split(F.trim(p), r"\s+"), 2)))
+
+    return F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), lambda poly: F.transform(F.split(poly, r"\)\s*,\s*\("), ring))
+
+
+def parse_wkt_polygon(text) -> Column:
+    """The oriented rings of a POLYGON or MULTIPOLYGON text, holes and parts in one list; null for other types."""
+    text = F.col(text) if isinstance(text, str) else text
+    body = F.regexp_extract(text, r"(?is)^\s*(?:SRID=\d+;)?\s*(?:MULTI)?POLYGON\s*(?:ZM|Z|M)?\s*(\(.*\))\s*$", 1)
+    return F.when(body != "", oriented(F.flatten(_wkt_rings(body))))
+
+
+def wkt_polygon(rings) -> Column:
+    """MULTIPOLYGON text of oriented rings whose holes follow their outer ring."""
+    rings = F.col(rings) if isinstance(rings, str) else rings
+    text = F.transform(rings, lambda r: F.concat(F.when(ring_area(r) > 0, F.lit("), (")).otherwise(F.lit(", ")), F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")")))
+    return F.concat(F.lit("MULTIPOLYGON ("), F.substring(F.array_join(text, ""), 4, 1 << 30), F.lit("))"))

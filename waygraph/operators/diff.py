@@ -11,28 +11,27 @@ from waygraph.plans.stages import materialise
 
 
 def split_edges(edges: DataFrame, places: DataFrame, size: float = 200.0) -> DataFrame:
-    """Edges (``fid, geom`` and more) cut by the other state's places: ``part`` numbers the pieces, ``length`` is theirs."""
-    b, r = G.bounds(F.col("geom")), G.bounds(F.col("ring"))
-    meet = (b["x0"] <= r["x1"]) & (b["x1"] >= r["x0"]) & (b["y0"] <= r["y1"]) & (b["y1"] >= r["y0"])
-    hits = cell_join(edges.select("fid", "geom"), places.select("place", "ring"), "geom", "ring", size, 0.0, meet, "fid", "place")
-    rings = hits.groupBy("fid").agg(F.collect_list("ring").alias("rings"))
-    e = edges.join(rings, "fid", "left")
-    parts = F.when(F.col("rings").isNull(), F.array("geom")).otherwise(G.line_minus_rings()("geom", F.coalesce("rings", F.array().cast(G.MLINE))))
-    e = e.select(*[c for c in edges.columns if c not in ("geom", "length")], F.posexplode(parts).alias("part", "geom"))
-    return e.withColumn("length", G.length("geom"))
+    """Edges (``fid, geom`` and more) cut by the other state's places: ``part`` numbers the pieces, ``length`` is theirs.
 
-
-def _covered(line, by, tolerance: float, step: float = 0.25):
-    """All points of a line, with points between, within a distance of another line."""
-    dense = F.flatten(F.transform(G.pieces(line), lambda s: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: G.point(s["a"]["x"] + i * step * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + i * step * (s["b"]["y"] - s["a"]["y"])))))
-    return F.forall(dense, lambda p: G.line_distance(p, by) <= tolerance)
+    Places have a ``ring``, or ``rings`` with holes and parts, inside which an edge goes
+    or in a hole stays.  Edges that meet no place pass through untouched.
+    """
+    polygon = F.col("rings") if "rings" in places.columns else F.array("ring")
+    p = places.select("place", polygon.alias("rings")).withColumn("around", F.flatten("rings"))
+    hits = cell_join(edges.select("fid", "geom"), p, "geom", "around", size, 0.0, G.meets_polygon("geom", "rings"), "fid", "place")
+    own = hits.groupBy("fid").agg(F.sort_array(F.collect_list("rings")).alias("polygons"))
+    e = edges.join(own, "fid", "left")
+    rest = [c for c in edges.columns if c not in ("geom", "length")]
+    cut = e.filter("polygons is not null").select(*rest, F.posexplode(G.line_minus_polygons()(F.col("geom"), F.col("polygons"))).alias("part", "geom"))
+    whole = e.filter("polygons is null").select(*rest, F.lit(0).alias("part"), "geom")
+    return cut.unionByName(whole).withColumn("length", G.length("geom"))
 
 
 def paired(first: DataFrame, second: DataFrame, tolerance: float = 1.0, size: float = 200.0) -> DataFrame:
-    """``fid1, fid2, way1, way2, diff``: edges of both states within tolerance of each other; diff of their ``acces``."""
+    """``fid1, fid2, way1, way2, diff``: edges of both states, each wholly within tolerance of the other; diff of their ``acces``."""
     a = first.filter("way is not null").select(F.col("fid").alias("fid1"), F.col("way").alias("way1"), F.col("acces").alias("acces1"), F.col("geom").alias("g1"))
     b = second.filter("way is not null").select(F.col("fid").alias("fid2"), F.col("way").alias("way2"), F.col("acces").alias("acces2"), F.col("geom").alias("g2"))
-    same = _covered(F.col("g1"), F.col("g2"), tolerance) & _covered(F.col("g2"), F.col("g1"), tolerance)
+    same = G.covered("g1", "g2", tolerance) & G.covered("g2", "g1", tolerance)
     p = cell_join(a, b, "g1", "g2", size, tolerance, same, "fid1", "fid2")
     return p.select("fid1", "fid2", "way1", "way2", (F.col("acces2") - F.col("acces1")).alias("diff"))
 

@@ -305,3 +305,21 @@ def peel(edges: DataFrame, keep: Column) -> DataFrame:
         if m == n:
             return e
         n = m
+
+
+def list_ranks(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``id, last, rank`` of chains ``id, next`` (null at the end): the chain's last id and the steps to it.
+
+    Pointer jumping: each round joins every id with what its pointer points to, so a
+    chain of n takes log2 n rounds, each written to shared storage.  Ids are unique,
+    no two share a next, and there is no cycle (else an error after ``max_rounds``).
+    """
+    done = F.col("next").isNull()
+    state = materialise(links.select("id", F.when(done, F.col("id")).otherwise(F.col("next")).alias("to"), F.when(done, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("rank"), done.alias("ended")), "ranks")
+    for _ in range(max_rounds):
+        if state.filter("not ended").isEmpty():
+            return state.select("id", F.col("to").alias("last"), "rank")
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("more"), F.col("ended").alias("end2"))
+        old, state = state, materialise(state.filter("ended").unionByName(state.filter("not ended").join(ahead, "to").select("id", F.col("to2").alias("to"), (F.col("rank") + F.col("more")).alias("rank"), F.col("end2").alias("ended"))), "ranks")
+        release(old)
+    raise RuntimeError(f"chains of more than 2^{max_rounds} links, or a cycle")
