@@ -23,9 +23,9 @@ def degree_centrality(edges: DataFrame, end: str = "both") -> DataFrame:
     return with_total(nodes(edges).join(d, "id", "left")).select("id", (F.coalesce("degree", F.lit(0)) / (F.col("_n") - 1)).alias("value"))
 
 
-def betweenness_centrality(edges: DataFrame, k: int | None = None, normalized: bool = True, directed: bool = False, endpoints: bool = False) -> DataFrame:
-    """``id, value``; with ``k`` sampled sources the sums are rescaled by n / k."""
-    raw = with_total(materialise(brandes(edges, "betweenness", k, directed, endpoints), "betweenness"))
+def betweenness_centrality(edges: DataFrame, k: int | None = None, normalized: bool = True, directed: bool = False, endpoints: bool = False, weight: str | None = None) -> DataFrame:
+    """``id, value`` over paths shortest by hops or by a positive weight; with ``k`` sampled sources the sums are rescaled by n / k."""
+    raw = with_total(materialise(brandes(edges, "betweenness", k, directed, endpoints, weight=weight), "betweenness"))
     n = F.col("_n")
     if normalized:
         pairs = n * (n - 1) if endpoints else (n - 1) * (n - 2)
@@ -35,25 +35,25 @@ def betweenness_centrality(edges: DataFrame, k: int | None = None, normalized: b
     return raw.select("id", (F.col("value") * (scale * n / k if k else scale)).alias("value"))
 
 
-def edge_betweenness_centrality(edges: DataFrame, k: int | None = None, normalized: bool = True, directed: bool = False) -> DataFrame:
+def edge_betweenness_centrality(edges: DataFrame, k: int | None = None, normalized: bool = True, directed: bool = False, weight: str | None = None) -> DataFrame:
     """``src, dst, value``."""
-    raw = edge_brandes(edges, k, directed)
+    raw = edge_brandes(edges, k, directed, weight=weight)
     n = nodes(edges).agg(F.count(F.lit(1)).alias("n"))
     scale = 1.0 / (F.col("n") * (F.col("n") - 1)) if normalized else F.lit(1.0 if directed else 0.5)
     return raw.crossJoin(n).select("src", "dst", (F.col("value") * (scale * F.col("n") / k if k else scale)).alias("value"))  # n is one row
 
 
-def betweenness_subset(edges: DataFrame, sources: DataFrame, targets: list[int], directed: bool = False, normalized: bool = False) -> DataFrame:
+def betweenness_subset(edges: DataFrame, sources: DataFrame, targets: list[int], directed: bool = False, normalized: bool = False, weight: str | None = None) -> DataFrame:
     """Betweenness over paths from ``sources`` (id) to ``targets`` only; the target list is an argument, hence small."""
-    raw = with_total(materialise(brandes(edges, "betweenness", None, directed, sources=sources, targets=set(targets)), "betweenness"))
+    raw = with_total(materialise(brandes(edges, "betweenness", None, directed, sources=sources, targets=set(targets), weight=weight), "betweenness"))
     n = F.col("_n")
     scale = 1.0 / ((n - 1) * (n - 2)) if normalized else F.lit(1.0 if directed else 0.5)
     return raw.select("id", (F.col("value") * scale).alias("value"))
 
 
-def edge_betweenness_subset(edges: DataFrame, sources: DataFrame, targets: list[int], directed: bool = False) -> DataFrame:
+def edge_betweenness_subset(edges: DataFrame, sources: DataFrame, targets: list[int], directed: bool = False, weight: str | None = None) -> DataFrame:
     """The same per edge."""
-    raw = edge_brandes(edges, None, directed, sources, set(targets))
+    raw = edge_brandes(edges, None, directed, sources, set(targets), weight)
     return raw.select("src", "dst", (F.col("value") * (1.0 if directed else 0.5)).alias("value"))
 
 
@@ -80,10 +80,10 @@ def harmonic_centrality(edges: DataFrame, directed: bool = False, weight: str |
     return d.groupBy(F.col("root").alias("id")).agg(F.coalesce(F.sum(F.when(F.col("dist") > 0, 1.0 / F.col("dist"))), F.lit(0.0)).alias("value"))
 
 
-def load_centrality(edges: DataFrame, normalized: bool = True) -> DataFrame:
+def load_centrality(edges: DataFrame, normalized: bool = True, weight: str | None = None) -> DataFrame:
     """``id, value``: unit loads split evenly among predecessors; normalised by (n-1)(n-2)."""
     n = F.col("_n")
-    return with_total(materialise(brandes(edges, "load"), "load")).select("id", (F.col("value") / ((n - 1) * (n - 2)) if normalized else F.col("value")).alias("value"))
+    return with_total(materialise(brandes(edges, "load", weight=weight), "load")).select("id", (F.col("value") / ((n - 1) * (n - 2)) if normalized else F.col("value")).alias("value"))
 
 
 def _iterate(start: DataFrame, step, tol_scale, tol: float, rounds: int, name: str) -> DataFrame:

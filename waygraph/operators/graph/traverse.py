@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from waygraph.operators.components import TASK_EDGES, connected_components
 from waygraph.operators.graph.structure import canonical, degrees, nodes
-from waygraph.plans.kernels import relax, search, symmetric
+from waygraph.plans.kernels import NegativeCycle, potentials, relax, search, symmetric
 from waygraph.plans.stages import materialise
 
 
@@ -184,10 +184,10 @@ def weighted_distances(edges: DataFrame, sources: DataFrame, cutoff: float | Non
 
 
 def has_negative_cycle(edges: DataFrame) -> bool:
-    """Whether a digraph has a cycle of negative weight: every node is a start at 0 and n rounds still improve."""
+    """Whether a digraph (``src, dst, w``) has a cycle, or a loop, of negative weight."""
     try:
-        _from_hub(edges)
-    except ValueError:
+        potentials(edges)
+    except NegativeCycle:
         return True
     return False
 
@@ -306,20 +306,15 @@ def is_dag(edges: DataFrame) -> bool:
     return True
 
 
-#: A node that no graph has, for searches from many nodes at once.
-HUB = -(1 << 60)
-
-
-def _from_hub(edges: DataFrame) -> DataFrame:
-    """Relax from one extra node that reaches every node at 0, so that rows are one per node."""
-    hub = nodes(edges).select(F.lit(HUB).alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
-    return relax(edges.select("src", "dst", F.col("w").cast("double").alias("w")).unionByName(hub), edges.sparkSession.range(1).select(F.lit(HUB).alias("id")))
-
-
 def _longest(edges: DataFrame, weight: str | None) -> DataFrame:
+    """``node, dist, pred`` of a DAG: the negative of the largest sum to each node, and the least predecessor that gives it."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     topological_levels(edges)  # an error if there is a cycle
-    return materialise(_from_hub(edges.select("src", "dst", (-w).alias("w"))).filter(F.col("node") != HUB), "longest")
+    e = edges.select("src", "dst", (-w).alias("w"))
+    d = materialise(potentials(e).select("node", "dist"), "longest")
+    up = d.select(F.col("node").alias("src"), F.col("dist").alias("ds"))
+    back = e.join(up, "src").join(d.select(F.col("node").alias("dst"), "dist"), "dst").filter("dist < 0 and ds + w = dist")
+    return d.join(back.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("pred")), "node", "left")
 
 
 def dag_longest_path_length(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -329,9 +324,9 @@ def dag_longest_path_length(edges: DataFrame, weight: str | None = None) -> Data
 
 def dag_longest_path(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """``path``: one longest path of a DAG; of several ends the least, of equal predecessors the least."""
-    d = _longest(edges, weight)
+    d = _longest(edges, weight).withColumn("root", F.lit(0).cast("long"))
     end = d.orderBy("dist", "node").limit(1).select("root", "node")
-    return paths(d.withColumn("pred", F.when(F.col("pred") != HUB, F.col("pred"))), end).select("path")
+    return paths(d, end).select("path")
 
 
 def astar_path_length(edges: DataFrame, source: int, target: int, heuristic: DataFrame, directed: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
 from waygraph.operators.ways import departures, lengths_by_class
-from waygraph.plans.kernels import BROADCAST_EDGES, _neighbours, level_sums, levels_from, per_source, search, symmetric
+from waygraph.plans.kernels import BROADCAST_EDGES, _neighbours, level_sums, levels_from, per_source, search, symmetric, weighted_sums
 from waygraph.plans.stages import materialise
 
 
@@ -59,16 +59,19 @@ def _sources(graph: DataFrame, k: int | None) -> tuple[DataFrame, DataFrame]:
     return nodes, nodes if k is None else nodes.orderBy(F.xxhash64("id"), "id").limit(k)
 
 
-def brandes(graph: DataFrame, kind: str = "betweenness", k: int | None = None, directed: bool = False, endpoints: bool = False, sources: DataFrame | None = None, targets: set | None = None) -> DataFrame:
-    """``id, value``: raw sums over sources of dependencies along shortest hop paths.
+def brandes(graph: DataFrame, kind: str = "betweenness", k: int | None = None, directed: bool = False, endpoints: bool = False, sources: DataFrame | None = None, targets: set | None = None, weight: str | None = None) -> DataFrame:
+    """``id, value``: raw sums over sources of dependencies along shortest hop paths, or shortest paths by a positive weight.
 
     ``kind``: ``betweenness`` (delta), ``stress`` (sigma * delta) or ``load`` (unit
     load split evenly over predecessors).  Each task sums over its sources before
     rows leave it.  ``k`` takes the sources with the smallest hashes.
     """
-    e = graph if directed else symmetric(graph)
     nodes, chosen = _sources(graph, k)
     chosen = sources if sources is not None else chosen
+    if weight is not None:
+        sums = weighted_sums(_weighted(graph, weight, directed), chosen, kind, endpoints, targets)
+        return nodes.join(sums, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    e = graph if directed else symmetric(graph)
 
     def run(ids, starts, nbr, at):
         total = np.zeros(len(ids))
@@ -106,10 +109,21 @@ def brandes(graph: DataFrame, kind: str = "betweenness", k: int | None = None, d
     return nodes.join(sums, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def edge_brandes(graph: DataFrame, k: int | None = None, directed: bool = False, sources: DataFrame | None = None, targets: set | None = None) -> DataFrame:
-    """``src, dst, value``: raw betweenness of edges."""
-    e = graph if directed else symmetric(graph)
+def _weighted(graph: DataFrame, weight: str, directed: bool) -> DataFrame:
+    e = graph.select("src", "dst", F.col(weight).alias("w"))
+    return e if directed else symmetric(e, "src", "dst", "w")
+
+
+def edge_brandes(graph: DataFrame, k: int | None = None, directed: bool = False, sources: DataFrame | None = None, targets: set | None = None, weight: str | None = None) -> DataFrame:
+    """``src, dst, value``: raw betweenness of edges, by hops or by a positive weight."""
     chosen = sources if sources is not None else _sources(graph, k)[1]
+    if weight is not None:
+        all_ = graph.select("src", "dst", F.lit(0.0).alias("value"))
+        out = weighted_sums(_weighted(graph, weight, directed), chosen, targets=targets, per_edge=True).unionByName(all_)
+        if not directed:
+            out = out.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "value")
+        return out.groupBy("src", "dst").agg(F.sum("value").alias("value"))
+    e = graph if directed else symmetric(graph)
 
     def run(ids, starts, nbr, at):
         total = np.zeros(len(nbr))
@@ -138,9 +152,9 @@ def betweenness(graph: DataFrame) -> DataFrame:
     return brandes(graph).select("id", (F.col("value") / 2).alias("betwee"))
 
 
-def stress(graph: DataFrame, k: int | None = None, normalized: bool = False, endpoints: bool = False) -> DataFrame:
-    """``id, use``: shortest paths through each node, each pair once; rescaled when ``k`` sources are drawn."""
-    out = _counted(brandes(graph, "stress", k, endpoints=endpoints))
+def stress(graph: DataFrame, k: int | None = None, normalized: bool = False, endpoints: bool = False, weight: str | None = None) -> DataFrame:
+    """``id, use``: shortest paths, by hops or a weight, through each node, each pair once; rescaled when ``k`` sources are drawn."""
+    out = _counted(brandes(graph, "stress", k, endpoints=endpoints, weight=weight))
     n = F.col("_n")
     scale = F.lit(1.0) / ((n - 1) * (n - 2)) if normalized else F.lit(0.5)
     if k is not None:

@@ -10,7 +10,7 @@ from waygraph.functions import geom as G
 from waygraph.operators.components import connected_components
 from waygraph.operators.graph.traverse import paths as follow
 from waygraph.operators.ways import departures
-from waygraph.plans.kernels import relax, search, symmetric
+from waygraph.plans.kernels import numbered, ordered_ids, relax, search, symmetric
 from waygraph.plans.stages import materialise
 
 #: Weight of a free passage inside a mesh component.
@@ -95,15 +95,19 @@ def mesh_path(graph: DataFrame, mesh: DataFrame, requests: DataFrame, weighted:
 
     Fringe places of a part, those with an edge outside it, are linked by shortcuts
     of weight 0.01 through one node per part (half at each end), so no pairs are
-    listed; used shortcuts are expanded inside the part.
+    listed; used shortcuts are expanded inside the part.  Places are numbered first, so
+    whatever their ids are they differ from the nodes of parts.
     """
+    names = ordered_ids(graph.select(F.explode(F.array("src", "dst")).alias("id")).union(requests.select(F.explode(F.array("source", "target")))))
+    graph = materialise(numbered(graph.select("src", "dst", "length", "fid"), names, "src", "dst"), "mesh-graph")
+    requests = materialise(numbered(requests.select("req", "source", "target"), names, "source", "target"), "mesh-requests")
     m = graph.join(mesh.select("fid"), "fid", "left_semi")
     part = materialise(connected_components(m, "src", "dst"), "mesh")
     outside = graph.join(mesh.select("fid"), "fid", "left_anti")
     fringe = part.join(outside.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")
     ends = requests.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     fringe = fringe.union(part.join(ends, "id", "left_semi")).distinct()
-    hub = fringe.select("id", (-F.col("component") - 1).alias("hub"))
+    hub = fringe.select("id", (-F.col("component") - 1).alias("hub"))  # below 0, where no place is
     cost = F.col("length").cast("double") if weighted else F.lit(1.0)
     base = symmetric(outside.select("src", "dst", cost.alias("w")), "src", "dst", "w")
     half = F.lit(SHORTCUT / 2)
@@ -120,30 +124,49 @@ def mesh_path(graph: DataFrame, mesh: DataFrame, requests: DataFrame, weighted:
     return inner.unionByName(plain).select("req", F.row_number().over(w).alias("seq"), "fid", "length")
 
 
+def way_simplest_paths(edges: DataFrame, line_graph: DataFrame, requests: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """``req, seq, fid``: for every request the fewest changes of way, then shortest hop legs inside each way.
+
+    ``requests`` (req, source, target) names the places, ``sources`` and ``targets`` (req, way)
+    the ways to start and end on; of several target ways the nearest, then the least.
+    The legs of all requests are settled together: a node of their graph is a
+    place on a way, a leg is keyed by request and number.  Requests without a path are absent.
+    """
+    ways = ordered_ids(line_graph.select(F.explode(F.array("src", "dst")).alias("id")).union(sources.select("way")).union(targets.select("way")))
+    starts = ordered_ids(sources.select(F.col("req").alias("id")))
+    g = numbered(line_graph.select("src", "dst", "place"), ways, "src", "dst")
+    hub = numbered(numbered(sources.select("req", "way"), ways, "way"), starts, "req").select((-F.col("req") - 1).alias("src"), F.col("way").alias("dst"), F.lit(1.0).alias("w"))
+    hub = materialise(hub, "way-starts")
+    d = materialise(relax(symmetric(g.select("src", "dst", F.lit(1.0).alias("w")), "src", "dst", "w").unionByName(hub), hub.select(F.col("src").alias("id")).distinct()), "way-search")
+    goal = numbered(numbered(targets.select("req", "way"), ways, "way"), starts, "req").select((-F.col("req") - 1).alias("root"), F.col("way").alias("node"))
+    best = d.join(goal.distinct(), ["root", "node"], "left_semi").groupBy("root").agg(F.min(F.struct("dist", "node")).alias("s")).select("root", F.col("s.node").alias("node"))
+    routes = materialise(follow(d, best).select((-F.col("root") - 1).alias("n"), F.slice("path", 2, 1 << 30).alias("path")), "way-routes")
+    routes = routes.join(starts, "n").select(F.col("id").alias("req"), "path").join(requests, "req")
+    on = routes.select("req", F.size("path").alias("n"), "source", "target", F.posexplode("path").alias("leg", "way"), "path")
+    on = on.withColumns({"x": F.when(F.col("leg") + 1 < F.col("n"), F.get("path", F.col("leg") + 1)), "y": F.when(F.col("leg") > 0, F.get("path", F.col("leg") - 1))})
+    change = symmetric(g.select("src", "dst", "place"), "src", "dst", "place")
+    ahead = change.select(F.col("src").alias("way"), F.col("dst").alias("x"), F.col("place").alias("out"))
+    behind = change.select(F.col("src").alias("way"), F.col("dst").alias("y"), F.col("place").alias("in"))
+    legs = on.join(ahead, ["way", "x"], "left").join(behind, ["way", "y"], "left")
+    legs = legs.select("req", "leg", "way", F.coalesce("in", "source").alias("source"), F.coalesce("out", "target").alias("target")).filter("source <> target")
+    legs = materialise(legs.join(ways, F.col("way") == F.col("n")).select("req", "leg", F.struct(F.col("id").alias("way"), F.col("source").alias("place")).alias("source"), F.struct(F.col("id").alias("way"), F.col("target").alias("place")).alias("target")), "way-legs")
+    own = edges.select(F.struct("way", F.col("start_pl").alias("place")).alias("src"), F.struct("way", F.col("end_pl").alias("place")).alias("dst"), "length", "fid").join(legs.select(F.col("source.way").alias("w")).distinct(), F.col("src.way") == F.col("w"), "left_semi")
+    spots = ordered_ids(own.select(F.explode(F.array("src", "dst")).alias("id")))
+    inside = materialise(numbered(own, spots, "src", "dst"), "way-inside")
+    asked = materialise(numbered(legs.select(F.struct("req", "leg").alias("req"), "source", "target"), spots, "source", "target"), "way-asked")
+    found = simplest_path(inside, asked).select(F.col("req.req").alias("req"), F.col("req.leg").alias("leg"), F.col("seq").alias("s"), "fid")
+    return found.select("req", F.row_number().over(Window.partitionBy("req").orderBy("leg", "s")).alias("seq"), "fid")
+
+
 def way_simplest_path(edges: DataFrame, line_graph: DataFrame, sources: DataFrame, targets: DataFrame, start: int, end: int) -> DataFrame:
-    """``seq, fid``: fewest changes of way from any source to any target way (``way``), then shortest hop legs inside each way."""
-    hub = sources.select(F.lit(-1).cast("long").alias("src"), F.col("way").alias("dst"), F.lit(1.0).alias("w"))
-    g = symmetric(line_graph.select("src", "dst", F.lit(1.0).alias("w")), "src", "dst", "w").unionByName(hub)
-    d = materialise(relax(g, edges.sparkSession.range(1).select(F.lit(-1).cast("long").alias("id"))), "ways")
-    best = d.join(targets.select(F.col("way").alias("node")), "node", "left_semi").orderBy("dist", "node").limit(1)
-    route = follow(d, best.select("root", "node")).first()
-    if route is None:
+    """``seq, fid``: one request of ``way_simplest_paths``, from any source to any target way (``way``); an error if there is no path."""
+    spark = edges.sparkSession
+    request = spark.createDataFrame([(0, start, end)], "req long, source long, target long")
+    one = F.lit(0).cast("long").alias("req")
+    out = materialise(way_simplest_paths(edges, line_graph, request, sources.select(one, "way"), targets.select(one, "way")), "way-path")
+    if out.isEmpty() and start != end:
         raise ValueError("no path")
-    seq = [int(x) for x in route["path"][1:]]
-    places = [start]
-    for a, b in zip(seq, seq[1:], strict=False):
-        r = line_graph.filter((F.col("src") == min(a, b)) & (F.col("dst") == max(a, b))).first()
-        places.append(r["place"])
-    places.append(end)
-    out = None
-    for k, way in enumerate(seq):
-        if places[k] == places[k + 1]:
-            continue
-        own = edges.filter(F.col("way") == way).select(F.col("start_pl").alias("src"), F.col("end_pl").alias("dst"), "length", "fid")
-        req = edges.sparkSession.range(1).select(F.lit(k).alias("req"), F.lit(places[k]).cast("long").alias("source"), F.lit(places[k + 1]).cast("long").alias("target"))
-        leg = simplest_path(own, req)
-        out = leg if out is None else out.unionByName(leg)
-    return out.select(F.row_number().over(Window.orderBy("req", "seq")).alias("seq"), "fid")
+    return out.select("seq", "fid")
 
 
 def path_table(steps: DataFrame, edges: DataFrame) -> DataFrame:

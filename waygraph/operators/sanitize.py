@@ -129,6 +129,17 @@ def merge_through(parts: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("component", "k").alias("fid"), "name", "geom")
 
 
+def covering_names(lines: DataFrame, sources: DataFrame, tolerance: float = 0.5, size: float = 200.0) -> DataFrame:
+    """``fid, geom`` of clean lines with the ``name`` of an input line (``fid, name, geom``) that covers them within tolerance.
+
+    Of several the input line of the smallest id; a line that no single named input line covers has no name.
+    """
+    s = sources.filter("name is not null").select(F.col("fid").alias("sid"), F.col("name").alias("sname"), F.col("geom").alias("sgeom"))
+    hits = cell_join(lines.select("fid", "geom"), s, "geom", "sgeom", size, tolerance, G.covered("geom", "sgeom", tolerance), "fid", "sid")
+    best = hits.groupBy("fid").agg(F.min(F.struct("sid", "sname")).alias("s")).select("fid", F.col("s.sname").alias("name"))
+    return lines.drop("name").join(best, "fid", "left").select("fid", "name", "geom")
+
+
 def collapse_short(lines: DataFrame, shortest: float) -> DataFrame:
     """Edges shorter than the minimum go; the vertices they link become one, at the centroid of their midpoints."""
     if shortest <= 0:
@@ -157,19 +168,22 @@ def largest_part(lines: DataFrame) -> DataFrame:
 def sanitize(lines: DataFrame, snap_distance: float = 0.2, min_edge_length: float = 4.0, keep_names: bool = True) -> DataFrame:
     """``fid, name, geom`` of a planar, connected network; an error if snapping is off or nothing is left.
 
-    Names come from the least source line of a merged edge; without names lines
-    are simplified to 0.1 m.
+    A name is that of an input line that covers the clean line, within the snap distance;
+    without names lines are simplified to 0.1 m.
     """
     if snap_distance <= 0:
         raise ValueError("the snap distance must be above 0")
     if "name" not in lines.columns:
         lines = lines.withColumn("name", F.lit(None).cast("string"))
-    d = materialise(drop_unconnected(drop_null(lines.select("fid", "name", "geom"))), "connected")
+    given = drop_null(lines.select("fid", "name", "geom"))
+    d = materialise(drop_unconnected(given), "connected")
     d = materialise(snap(d, snap_distance), "snapped")
     parts = materialise(distinct_parts(cut_at(d, materialise(crossing_points(d), "points"))), "cut")
     merged = materialise(merge_through(parts.filter(G.length("geom") > 1e-6)), "merged")
     out = largest_part(collapse_short(merged, min_edge_length))
-    if not keep_names:
+    if keep_names:
+        out = covering_names(materialise(out, "unnamed"), given, snap_distance + G.ON_LINE)
+    else:
         out = out.withColumn("geom", G.simplify(0.1)("geom"))
     out = materialise(drop_null(out), "sanitized")
     if not out.limit(1).count():

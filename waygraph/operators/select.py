@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
-from waygraph.plans.kernels import search, symmetric, with_cells
+from waygraph.plans.kernels import numbered, ordered_ids, search, symmetric, with_cells
 
 
 def top_features(rows: DataFrame, attribute: str, percent: float, key: str, of_all: bool = False) -> DataFrame:
@@ -51,18 +51,17 @@ def around_point(rows: DataFrame, x: float, y: float, radius: float, key: str, w
     return near.filter(G.line_distance(p, F.col("geom")) <= radius).select(key)
 
 
-def in_polygon(rows: DataFrame, ring: list[tuple[float, float]], key: str, within: bool = False) -> DataFrame:
-    """Ids of lines that meet a closed polygon, or have all their points in it."""
-    r = F.array(*[G.point(a, b) for a, b in ring])
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+def in_polygon(rows: DataFrame, polygon: list, key: str, within: bool = False) -> DataFrame:
+    """Ids of lines that share a point with a polygon, or lie wholly in it.
+
+    ``polygon`` is one closed ring of (x, y), or a list of rings: holes and further parts.
+    """
+    rings = [polygon] if isinstance(polygon[0], tuple) else polygon
+    r = F.array(*[F.array(*[G.point(a, b) for a, b in ring]) for ring in rings])
+    xs, ys = ([p[k] for ring in rings for p in ring] for k in (0, 1))
     b = G.bounds(F.col("geom"))
     near = rows.filter((b["x0"] <= max(xs)) & (b["x1"] >= min(xs)) & (b["y0"] <= max(ys)) & (b["y1"] >= min(ys)))
-    inside = G.within_ring(F.col("geom"), r)
-    if within:
-        return near.filter(inside).select(key)
-    some = F.exists("geom", lambda p: G.in_ring(p, r))
-    cross = F.exists(G.pieces("geom"), lambda s: F.exists(G.pieces(r), lambda t: G.pieces_meet(s["a"], s["b"], t["a"], t["b"])))
-    return near.filter(some | cross).select(key)
+    return near.filter(G.within_polygon("geom", r) if within else G.meets_polygon("geom", r)).select(key)
 
 
 def closest_feature(rows: DataFrame, x: float, y: float, radius: float, key: str) -> DataFrame:
@@ -96,10 +95,13 @@ def horizon(graph: DataFrame, sources: DataFrame, cutoff: int | None = None) ->
     """``id, horizon``: hops from the nearest of ``sources`` (``id``) in an undirected graph; unreachable nodes are absent."""
     if not sources.limit(1).count():
         raise ValueError("no sources")
-    hub = sources.select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
+    names = ordered_ids(graph.select(F.explode(F.array("src", "dst")).alias("id")).union(sources.select("id")))
+    g = numbered(graph.select("src", "dst"), names, "src", "dst")
+    # one node below all numbers reaches every source
+    hub = numbered(sources.select("id"), names, "id").select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
     root = hub.select(F.col("src").alias("id")).distinct()
-    found = search(symmetric(graph).unionByName(hub), root, None if cutoff is None else cutoff + 1)
-    return found.filter("node <> -1").select(F.col("node").alias("id"), (F.col("dist") - 1).alias("horizon"))
+    found = search(symmetric(g).unionByName(hub), root, None if cutoff is None else cutoff + 1).filter("node >= 0")
+    return found.join(names, F.col("node") == F.col("n")).select("id", (F.col("dist") - 1).alias("horizon"))
 
 
 def horizon_features(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
-from waygraph.plans.stages import materialise, release
+from waygraph.plans.stages import materialise, release, shared_dir
 
 #: Edges up to which the adjacency is broadcast: two arrays of 8 bytes each.
 BROADCAST_EDGES = 5_000_000
@@ -259,13 +259,13 @@ def _relax_broadcast(steps: DataFrame, sources: DataFrame, cutoff: float | None)
     return sources.select(F.col("id").cast("long").alias("id")).distinct().repartition(n, "id").mapInPandas(run, "root long, node long, dist double, pred long")
 
 
-def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max_rounds: int = 10_000, broadcast: bool | None = None) -> DataFrame:
+def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max_rounds: int = 1 << 40, broadcast: bool | None = None) -> DataFrame:
     """``root, node, dist, pred``: least sums of ``w`` along directed ``src, dst, w``; of equal sums the smallest predecessor.
 
     Up to BROADCAST_EDGES edges (counted first) without negative weights, the
     adjacency is broadcast and every source is settled in a task.  Otherwise rounds
     join only rows that improved in the round before; negative weights are allowed
-    then, and a negative cycle raises an error after as many rounds as nodes.
+    then, and a negative cycle raises ``NegativeCycle`` once predecessors run in a circle.
     """
     steps = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")), "relax-edges")
     facts = steps.agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("low")).first()
@@ -275,8 +275,8 @@ def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max
     best = materialise(sources.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct(), "relax")
     front = old = best
     for k in range(max_rounds):
-        if k > nodes:
-            raise ValueError("negative cycle")
+        if k > nodes or (k >= 8 and k & (k - 1) == 0 and (facts["low"] or 0.0) < 0 and _circular(best, ["root", "node"], nodes)):
+            raise NegativeCycle("a cycle of negative weight")
         step = front.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
         if cutoff is not None:
             step = step.filter(F.col("dist") <= cutoff)
@@ -322,4 +322,177 @@ def list_ranks(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("more"), F.col("ended").alias("end2"))
         old, state = state, materialise(state.filter("ended").unionByName(state.filter("not ended").join(ahead, "to").select("id", F.col("to2").alias("to"), (F.col("rank") + F.col("more")).alias("rank"), F.col("end2").alias("ended"))), "ranks")
         release(old)
-    raise RuntimeError(f"chains of more than 2^{max_rounds} links, or a cycle")
+    raise EndlessChain(f"chains of more than 2^{max_rounds} links, or a cycle")
+
+
+class EndlessChain(RuntimeError):
+    """A chain of pointers that does not end."""
+
+
+class NegativeCycle(ValueError):
+    """A cycle whose weights sum to less than 0."""
+
+
+def ordered_ids(ids: DataFrame) -> DataFrame:
+    """``id, n``: the distinct values of a column ``id`` with numbers from 0 up in their order, not gapless.
+
+    Numbers leave all negative values free, so that extra nodes never clash with given ones.
+    """
+    sorted_ = ids.select("id").filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    return materialise(sorted_.withColumn("n", F.monotonically_increasing_id()), "ordered-ids")
+
+
+def numbered(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ids in some columns replaced by their numbers (``ordered_ids``)."""
+    for c in columns:
+        rows = rows.join(names.select(F.col("id").alias(c), F.col("n").alias("_n")), c).drop(c).withColumnRenamed("_n", c)
+    return rows
+
+
+def _circular(best: DataFrame, key: list[str], nodes: int) -> bool:
+    """Whether predecessors (``key``, the last of which is the node, and ``pred``) run in a circle: pointer jumping finds no end."""
+    point = lambda last: F.struct(*key[:-1], F.col(last).alias("node"))
+    links = best.select(point(key[-1]).alias("id"), F.when(F.col("pred").isNotNull(), point("pred")).alias("next"))
+    try:
+        list_ranks(links, max(1, nodes).bit_length() + 1)
+    except EndlessChain:
+        return True
+    return False
+
+
+def potentials(edges: DataFrame) -> DataFrame:
+    """``node, dist, pred``: least sums of ``w`` along walks of a digraph that may start anywhere at 0; weights may be negative.
+
+    Only rows that improved are joined again.  A cycle of negative weight raises
+    ``NegativeCycle``: predecessors then run in a circle, which pointer jumping finds after
+    4, 8, 16, .. rounds, and no more rounds than nodes are needed otherwise.
+    """
+    if not edges.filter("src = dst and w < 0").isEmpty():
+        raise NegativeCycle("a loop of negative weight")
+    steps = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")), "relax-edges")
+    best = old = materialise(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit(0.0).alias("dist"), F.col("node").alias("pred")).withColumn("pred", F.when(F.lit(False), F.col("pred"))), "potentials")
+    nodes, front, k = best.count(), best, 0
+    while True:
+        step = front.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
+        step = step.groupBy("node").agg(F.min(F.struct("dist", "pred")).alias("s"))
+        lower = F.col("s").isNotNull() & (F.col("s.dist") < F.col("dist"))
+        nxt = best.join(step, "node", "left").select("node", F.when(lower, F.col("s.dist")).otherwise(F.col("dist")).alias("dist"), F.when(lower, F.col("s.pred")).otherwise(F.col("pred")).alias("pred"), lower.alias("moved"))
+        nxt = materialise(nxt, "potentials")
+        release(old)
+        old, best, front, k = nxt, nxt.drop("moved"), nxt.filter("moved").drop("moved"), k + 1
+        if front.isEmpty():
+            return best
+        if k > nodes or (k >= 4 and k & (k - 1) == 0 and _circular(best, ["node"], nodes)):
+            raise NegativeCycle("a cycle of negative weight")
+
+
+#: Slices of distance in which weighted sums are taken.
+SLICES = 64
+
+
+def weighted_sums(edges: DataFrame, sources: DataFrame, kind: str = "betweenness", endpoints: bool = False, targets: set | None = None, per_edge: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id, value`` (or ``src, dst, value``): the sums of ``level_sums`` along shortest paths by positive weights ``w``.
+
+    The shortest-path edges of every source are kept as rows (root, a, b), dealt over slices
+    of the distance of their ends.  Numbers of paths are summed slice by slice outwards; within
+    a slice rows that changed are joined again until none does.  The way back is a sum
+    over paths too: with y = (1 + delta) / sigma, y(a) is 1 / sigma(a) plus the y of all
+    successors; stress starts from 1, load divides by the number of predecessors.
+    Sources go in blocks, so that at most about ``block_rows`` rows of (source, node) are held.
+    """
+    steps = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")), "weighted-edges")
+    if not steps.filter("w <= 0").isEmpty():
+        raise ValueError("weights must be above 0")
+    n = steps.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count()
+    own = sources.select(F.col("id").cast("long").alias("id")).distinct()
+    blocks = max(1, -(-own.count() * n // block_rows))
+    own = materialise(own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))), "weighted-sources")
+    key, out = (["src", "dst"] if per_edge else ["id"]), None
+    for b in range(blocks):
+        rows = _weighted_block(steps, own.filter(F.col("b") == b).select("id"), kind, endpoints, targets, per_edge)
+        out = rows if out is None else out.unionByName(rows)
+    return materialise(out.groupBy(*key).agg(F.sum("value").alias("value")), "weighted-sums")
+
+
+def _weighted_block(steps: DataFrame, sources: DataFrame, kind: str, endpoints: bool, targets: set | None, per_edge: bool) -> DataFrame:
+    spark = steps.sparkSession
+    d = materialise(relax(steps, sources).select("root", "node", "dist"), "weighted-dist")
+    facts = d.agg(F.max("dist").alias("far")).first()
+    low = steps.agg(F.min("w")).first()[0] or 1.0
+    # slices no thinner than the least weight: then no edge stays in its slice
+    width = max(low * (1 - 1e-9), (facts["far"] or 0.0) / SLICES * (1 + 1e-9))
+    slice_of = lambda c: F.floor(F.col(c) / width).cast("int")
+    a = d.select("root", F.col("node").alias("a"), F.col("dist").alias("da"))
+    c = d.select("root", F.col("node").alias("b"), F.col("dist").alias("db"))
+    on = F.abs(F.col("da") + F.col("w") - F.col("db")) <= F.greatest(F.lit(1.0), F.col("db")) * 1e-12
+    dag = a.join(steps, F.col("a") == F.col("src")).drop("src").withColumnRenamed("dst", "b").join(c, ["root", "b"]).filter(on)
+    dag = dag.select("root", "a", "b", slice_of("da").alias("ka"), slice_of("db").alias("kb"))
+    if kind == "load":
+        dag = materialise(dag, "weighted-preds")
+        dag = dag.join(dag.groupBy("root", "b").agg((1.0 / F.count(F.lit(1))).alias("f")), ["root", "b"])
+    else:
+        dag = dag.withColumn("f", F.lit(1.0))
+    path = shared_dir(spark, "weighted-dag")
+    dag = dag.select("root", "a", "b", "f", "ka", "kb")
+    dag.repartition("ka", "kb", F.pmod(F.xxhash64("root"), F.lit(8))).write.partitionBy("ka", "kb").parquet(path)
+    dag = spark.read.schema(dag.schema).parquet(path)
+    pairs = {(r["ka"], r["kb"]) for r in dag.select("ka", "kb").distinct().collect()}  # at most SLICES squared
+
+    def summed(start: dict, of: str, to: str, slices: list[int], weight: Column, name: str) -> dict:
+        """``root, node, x`` of each slice: start plus the weighted x of the other ends of the edges ``of`` -> ``to``."""
+        done: dict[int, DataFrame] = {}
+        for k in slices:
+            parts = [start[k]] if k in start else []
+            for j in done:
+                if (pair := (j, k) if to == "b" else (k, j)) in pairs:
+                    e = dag.filter((F.col("ka") == pair[0]) & (F.col("kb") == pair[1]))
+                    parts.append(done[j].join(e, (done[j]["root"] == e["root"]) & (done[j]["node"] == e[of])).select(e["root"], F.col(to).alias("node"), (F.col("x") * weight).alias("x")))
+            if not parts:
+                continue
+            x = parts[0]
+            for p in parts[1:]:
+                x = x.unionByName(p)
+            x = front = materialise(x.groupBy("root", "node").agg(F.sum("x").alias("x")), name)
+            if (k, k) in pairs:
+                e = dag.filter((F.col("ka") == k) & (F.col("kb") == k))
+                while True:
+                    step = front.join(e, (front["root"] == e["root"]) & (front["node"] == e[of])).select(e["root"], F.col(to).alias("node"), (F.col("x") * weight).alias("x"))
+                    front = materialise(step.groupBy("root", "node").agg(F.sum("x").alias("x")), name)
+                    if front.isEmpty():
+                        break
+                    x = materialise(x.unionByName(front).groupBy("root", "node").agg(F.sum("x").alias("x")), name)
+            done[k] = x
+        return done
+
+    def joined(by: dict) -> DataFrame:
+        out = None
+        for x in by.values():
+            out = x if out is None else out.unionByName(x)
+        return out
+
+    slices = sorted({k for pair in pairs for k in pair})
+    root = sources.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(1.0).alias("x"))
+    if not slices:
+        empty = steps.select("src", "dst", F.lit(0.0).alias("value")) if per_edge else steps.select(F.col("src").alias("id"), F.lit(0.0).alias("value"))
+        return empty.limit(0)
+    sigma = summed({0: root}, "a", "b", slices, F.lit(1.0), "weighted-sigma")
+    one = F.lit(1.0) if targets is None else F.col("node").isin(sorted(targets)).cast("double")
+    first = one / F.col("x") if kind == "betweenness" else F.lit(1.0)
+    start = {k: x.select("root", "node", first.alias("x")) for k, x in sigma.items()}
+    back = summed(start, "b", "a", slices[::-1], F.col("f"), "weighted-back")
+    s, y = joined(sigma).withColumnRenamed("x", "sigma"), joined(back).withColumnRenamed("x", "y")
+    if per_edge:
+        up, down = s.withColumnRenamed("node", "a"), y.withColumnRenamed("node", "b")
+        rows = dag.join(up, ["root", "a"]).join(down, ["root", "b"])
+        return rows.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum(F.col("sigma") * F.col("y")).alias("value"))
+    own = (F.col("y") - first_of(kind, one)) * (F.lit(1.0) if kind == "load" else F.col("sigma"))
+    inner = s.join(y, ["root", "node"]).filter("root <> node")
+    rows = inner.groupBy(F.col("node").alias("id")).agg(F.sum(own + (1.0 if endpoints else 0.0)).alias("value"))
+    if endpoints:
+        rows = rows.unionByName(inner.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+    return rows
+
+
+def first_of(kind: str, one: Column) -> Column:
+    """What a node's own start adds to its sum, in terms of ``sigma``."""
+    return one / F.col("sigma") if kind == "betweenness" else F.lit(1.0)
