@@ -320,11 +320,14 @@ def plan_gaps(hist: dict[int, int], runs: np.ndarray, capacity: int) -> dict[int
 
 
 def best_plan(hist: dict[int, int], capacity: int, groups: tuple[int, ...]) -> np.ndarray:
-    """The large plan whose sequences, after small pieces have filled its gaps, are fewest."""
+    """The large plan whose sequences, after small pieces have filled its gaps, are fewest.
+
+    Plans with optimised configurations come first; a greedy one is taken only if it is strictly better.
+    """
     limit = capacity // 8
     large, small = ({k: v for k, v in hist.items() if (k > limit) == side} for side in (True, False))
-    plans = [large_plan(large, capacity, n)[0] for n in groups]
-    plans += [large_plan(large, capacity, n, True)[0] for n in groups if n <= OPTIMISED]
+    plans = [large_plan(large, capacity, n, True)[0] for n in groups if n <= OPTIMISED]
+    plans += [large_plan(large, capacity, n)[0] for n in groups]
     return min(plans, key=lambda runs: small_plan(small, plan_gaps(large, runs, capacity), capacity)[1])
 
 
