@@ -6,8 +6,8 @@ blocks of equal words, and blocks are awarded to sources by highest quotients
 target / (2 seats + 1).  The divisor rule is house-monotone: the award after the
 blocks of output shards 0..k minus that after 0..k-1 is the integer quota of each
 source in shard k.  A source's documents are laid end to end in an order drawn by
-a seed; its quota takes whole turns over its blocks and then a run of blocks from
-a seeded start.  All of this is DataFrame expressions: awards are found from a
+a seed, and its blocks are dealt from a seeded start, turn after turn: each output
+shard takes the blocks of its own quota where the shard before it stopped.  All of this is DataFrame expressions: awards are found from a
 divisor that provably gives too few seats and a highest-quotient step over about
 three candidates per source.
 """
@@ -66,7 +66,7 @@ def quotas(targets: DataFrame, most: float = 2.0, block: int = BLOCK, shards: in
     """
     everything = Window.partitionBy()
     t = targets.withColumn("s", F.count(F.lit(1)).over(everything)).withColumn("W", F.sum("target").over(everything))
-    t = t.withColumn("top", F.ceil(F.col("source_size") / block).cast("long") * int(most)).withColumn("total", F.round(F.col("W") / block).cast("long"))
+    t = t.withColumn("top", F.ceil(F.col("source_size") / block) * F.lit(most)).withColumn("top", F.floor("top").cast("long")).withColumn("total", F.round(F.col("W") / block).cast("long"))
     t = t.crossJoin(targets.sparkSession.range(1, shards + 1).select(F.col("id").alias("k")))  # sources times output shards
     t = t.withColumn("house", F.expr(f"total * k div {shards}"))
     divisor = F.greatest(F.lit(0.0), (F.col("house") - F.col("s") / 2) / F.col("W"))
@@ -83,47 +83,52 @@ def quotas(targets: DataFrame, most: float = 2.0, block: int = BLOCK, shards: in
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = 8, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken``, one row per row of ``docs``.
+    """``doc_id, source, size, source_size, target, taken, shard_taken``, one row per row of ``docs``.
 
-    Null text has size 0; null is a source of its own, last in order.  Rows that
+    ``shard_taken`` holds the words that each output shard takes, by the source's quota
+    in it, and ``taken`` is their sum.  Null text has size 0; null is a source of its own, last in order.  Rows that
     repeat are documents of their own, next to each other in the seeded order.
     An empty table gives an empty result; if all sizes are 0 all targets are 0.
     Very long texts are only counted.  Other columns are not read.
     """
-    return _taken(docs, share, most, weights, block, shards, doc_id, source, text).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return _taken(docs, share, most, weights, block, shards, doc_id, source, text).select("doc_id", "source", "size", "source_size", "target", "taken", "shard_taken")
 
 
 def _taken(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shards: int = 8, doc_id: str = "doc_id", source: str = "source", text: str = "text", more: tuple = ()) -> DataFrame:
     """The rows of ``mix`` with further columns of ``docs`` carried along."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), size.alias("size"), _seeded(F.col(doc_id).cast("string")).alias("draw"), *more)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("src"), size.alias("size"), _seeded(F.col(doc_id).cast("string"), F.xxhash64(F.col(text)).cast("string")).alias("draw"), *more)
     d = materialise(d, "mix-sizes")
     d = d.withColumn("part", (F.col("draw") % parts_for(d.count(), SALTS)).cast("int"))
     more = tuple(d.columns[4:-1])
     parts = materialise(d.groupBy("src", "part").agg(F.sum("size").alias("words")), "mix-parts")
     targets = materialise(source_targets(parts.groupBy("src").agg(F.sum("words").alias("source_size")), share, most, weights), "mix-targets")
-    seats = quotas(targets, most, block, shards).groupBy("n").agg(F.sum("seats").alias("seats"))
-    plan = targets.join(seats, "n").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    plan = plan.withColumn("turns", F.when(F.col("blocks") > 0, F.expr("seats div blocks")).otherwise(F.lit(0)))
-    plan = plan.withColumn("extra", F.col("seats") - F.col("turns") * F.col("blocks"))
-    # the run of extra blocks starts at a seeded block and wraps around
+    own = quotas(targets, most, block, shards).groupBy("n").agg(F.sort_array(F.collect_list(F.struct("shard", "seats"))).alias("own"))
+    plan = targets.join(own, "n").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    # the first shard starts at a seeded block, the next where it stops, turn after turn
     plan = plan.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(_seeded(F.lit("start"), F.coalesce(F.concat(F.lit("s"), F.col("src")), F.lit("n"))), F.col("blocks"))).otherwise(F.lit(0)))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda k: F.col("start") + F.aggregate(F.slice("own", F.lit(1), k), F.lit(0).cast("long"), lambda x, y: x + y["seats"]))
+    plan = plan.withColumn("cuts", cuts)
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumnRenamed("src", "s1")
-    base = base.join(plan, base["s1"].eqNullSafe(plan["src"])).select(F.col("s1"), F.col("part").alias("p1"), "base", "source_size", "target", "turns", "extra", "start", "blocks")
+    base = base.join(plan, base["s1"].eqNullSafe(plan["src"])).select(F.col("s1"), F.col("part").alias("p1"), "base", "source_size", "target", "cuts", "blocks")
     run = Window.partitionBy("src", "part").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(run), F.lit(0)))
     d = d.join(base, d["src"].eqNullSafe(base["s1"]) & (d["part"] == base["p1"]))
     lo = F.col("base") + F.col("within")
     hi = lo + F.col("size")
 
-    def inside(first, last):
-        """Words of the document between two blocks of its source's line."""
-        return F.greatest(F.lit(0), F.least(hi, last * block) - F.greatest(lo, first * block))
+    def words(blocks_taken):
+        """Words of the document in so many blocks of its source's line, laid out turn after turn."""
+        turns = F.floor(blocks_taken / F.greatest(F.col("blocks"), F.lit(1)))
+        rest = (blocks_taken - turns * F.col("blocks")) * block
+        return turns * F.col("size") + F.greatest(F.lit(0), F.least(hi, rest) - lo)
 
-    end = F.col("start") + F.col("extra")
-    extra = inside(F.col("start"), F.least(end, F.col("blocks"))) + F.when(end > F.col("blocks"), inside(F.lit(0), end - F.col("blocks"))).otherwise(F.lit(0))
-    return d.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", (F.col("turns") * F.col("size") + extra).cast("long").alias("taken"), *more)
+    upto = F.transform("cuts", words)
+    d = d.withColumn("_upto", upto)
+    by_shard = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: (F.get("_upto", k) - F.get("_upto", k - 1)).cast("long"))
+    taken = (F.element_at("_upto", -1) - F.get("_upto", F.lit(0))).cast("long")
+    return d.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_taken"), *more)
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
@@ -175,4 +180,4 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the mix of all documents."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard_taken")
