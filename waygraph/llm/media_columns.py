@@ -20,10 +20,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waygraph.llm.common import bounded_batches, maybe_in
+from waygraph.llm.common import HEAVY, bounded_batches, join_groups, maybe_in
 from waygraph.plans.stages import materialise, shared_dir, table
 
 WIDTH = 192
@@ -179,30 +179,39 @@ def with_payload_facts(index: DataFrame) -> DataFrame:
     return dealt_by_bytes(index).mapInPandas(read, index._jdf.schema().toDDL() + more)
 
 
-def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+def _described(text: str) -> tuple[Column, Column, Column]:
+    """(text, its bytes, digest of its padded payload)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    n = F.octet_length(body)
+    size = F.greatest(F.lit(1), F.ceil(n / WIDTH)).cast("int") * WIDTH
+    return body, n.cast("long"), F.sha2(F.rpad(F.encode(body, "UTF-8"), size, F.lit(" ").cast("binary")), 256)
+
+
+def _repeated(docs: DataFrame, text: str) -> DataFrame:
+    """``digest, n`` of the payloads of several rows."""
+    return materialise(docs.select(_described(text)[2].alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+
+
+def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), repeated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Store every text; return (rows: ``keep, n_bytes, digest``, index with header columns).
 
     The digest is SHA-256 of the padded payload, so texts that differ only in
     spaces at the end may share a payload; ``n_bytes`` stays with the row.  Null
     is empty.  Rows that repeat keep a row each and share a payload; an empty table
     gives two empty results.  A long text is one member, whatever its length.
-    Other columns are not read.
+    Other columns are not read.  ``repeated`` may give the digests of several rows.
     """
     bounded_batches(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
-    n = F.octet_length(body)
-    size = F.greatest(F.lit(1), F.ceil(n / WIDTH)).cast("int") * WIDTH
-    payload = F.rpad(F.encode(body, "UTF-8"), size, F.lit(" ").cast("binary"))
-    digest = F.sha2(payload, 256)
-    rows = docs.select(*[F.col(c) for c in keep], n.cast("long").alias("n_bytes"), digest.alias("digest"))
+    body, n, digest = _described(text)
+    rows = docs.select(*[F.col(c) for c in keep], n.alias("n_bytes"), digest.alias("digest"))
 
     def images(batches):
         for b in batches:
             yield pd.DataFrame({"digest": b["digest"], "media": [to_png(pad(t.encode())) for t in b["body"]]})
 
-    repeated = materialise(docs.select(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
+    repeated = _repeated(docs, text) if repeated is None else repeated
     source = docs.select(digest.alias("digest"), body.alias("body"))
-    source = maybe_in(source, repeated, "digest", "again")  # false only for digests that are there once
+    source = maybe_in(source, repeated.select("digest"), "digest", "again")  # false only for digests that are there once
     once = source.filter("not again").select("digest", "body").mapInPandas(images, "digest string, media binary")
     copies = source.filter("again").select("digest", "body").mapInPandas(images, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
     index = store(once, folder).unionByName(store(copies, folder))
@@ -211,7 +220,11 @@ def store_texts(docs: DataFrame, folder: str, text: str = "text", keep: tuple[st
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents stored, read back and described."""
-    rows, index = store_texts(table(spark, sf_dir, "documents"), shared_dir(spark, "media"))
-    facts = materialise(with_payload_facts(index), "media-facts")
-    out = rows.join(facts, "digest")
+    docs = table(spark, sf_dir, "documents")
+    repeated, total = _repeated(docs, "text"), docs.count()
+    rows, index = store_texts(docs, shared_dir(spark, "media"), repeated=repeated)
+    # the rows of a payload of many copies stay where they are; such payloads are at most HEAVY
+    many = repeated.filter(F.col("n") * HEAVY > total)
+    facts = materialise(with_payload_facts(index), "media-facts").join(F.broadcast(many), "digest", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    out = join_groups(rows, facts, "digest", "n", total)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "shard", "offset", "width", "height", "bit_depth")
