@@ -84,3 +84,23 @@ def test_targets_may_stop_between_whole_multiples(spark):
     df = spark.createDataFrame([(k, "a" if k < 90 else "b", "w " * 20) for k in range(100)], "doc_id long, source string, text string")
     got = mixing.mix(df, share=2.0, most=1.5, block=10).collect()
     assert sum(r.taken for r in got if r.source == "b") == 300 and max(r.taken for r in got if r.source == "a") <= 40
+
+
+def test_warc_headers_are_checked(spark, tmp_path):
+    """A stored header that disagrees with its payload is refused, also that of a revisit; urls stay as they came."""
+    import pytest
+
+    from waygraph.llm import warc_archive
+
+    pages = spark.createDataFrame([(1, "http://a\nb", "x"), (2, None, "x"), (3, "http://c", "yy")], "page_id long, url string, html string")
+    folder = str(tmp_path / "a")
+    warc_archive.write_archive(pages, folder)
+    assert {(r.page_id, r.url) for r in spark.read.parquet(f"{folder}/records").collect()} == {(1, "http://a\nb"), (2, None), (3, "http://c")}
+    for k, (old, new) in enumerate([("Content-Length: 2", "Content-Length: 1"), ("Payload-Digest: sha1:", "Payload-Digest: sha1:A"), ("WARC-Refers-To: <urn:uuid:", "WARC-Refers-To: <urn:uuid:0")]):
+        bad = str(tmp_path / f"bad{k}")
+        records = spark.read.parquet(f"{folder}/records")
+        changed = records.withColumn("header", warc_archive.F.encode(warc_archive.F.replace(warc_archive.F.decode("header", "UTF-8"), warc_archive.F.lit(old), warc_archive.F.lit(new)), "UTF-8"))
+        changed.write.parquet(f"{bad}/records")
+        spark.read.parquet(f"{folder}/payloads").write.parquet(f"{bad}/payloads")
+        with pytest.raises(Exception, match="disagree|no response"):
+            warc_archive.read_archive(spark, bad).collect()

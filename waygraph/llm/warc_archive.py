@@ -3,9 +3,10 @@
 A payload's bytes are stored once under their SHA-256, and every record's exact
 header bytes are kept apart with that digest.  Joining the two tables gives back
 the original records, byte for byte, as WARC/1.1.  Both tables are Parquet
-folders, so they live on whatever storage the cluster has.  When an archive is
-read, payloads are checked against their strong digest and an error is raised
-for any that fails.
+folders, so they live on whatever storage the cluster has.  An archive is read by
+rebuilding every record and parsing its bytes; payloads are checked against their
+strong digest, and lengths and payload digests against what the headers say.  An
+error is raised for any that fails.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waygraph.llm.common import join_groups
 from waygraph.plans.stages import materialise, shared_dir, table
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -57,9 +59,10 @@ def _header(page: Column, url: Column, size: Column, digest: Column, sha1: Colum
 
 
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write ``folder/payloads`` (digest, payload) and ``folder/records`` (page_id, digest, header).
+    """Write ``folder/payloads`` (digest, payload) and ``folder/records`` (page_id, digest, url, header).
 
-    Null html is an empty payload and null urls get a placeholder.  Of pages with
+    Null html is an empty payload.  The url is kept as it came; in the header a null one
+    has a placeholder, and line breaks in one are escaped.  Of pages with
     equal payloads of at least ``least`` bytes the one with the largest id is the
     response (ids that are null rank lowest) and others revisit it; smaller
     payloads are all responses.  Rows that repeat an id and a payload are archived
@@ -71,11 +74,11 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     base.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{folder}/payloads")
     thin = base.select("page_id", "url", "digest", "size", sha1_base32(F.col("payload")).alias("sha1"))
-    first = thin.groupBy("digest").agg(F.max("page_id").alias("top"))
-    rows = thin.join(first, "digest")
+    first = materialise(thin.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")), "warc-groups")
+    rows = join_groups(thin, first, "digest", "n", first.agg(F.sum("n")).first()[0] or 0)  # a payload of a third of all pages stays dealt
     target = F.when(F.col("size") >= least, F.col("top")).otherwise(F.col("page_id"))
     header = _header(F.col("page_id"), F.col("url"), F.col("size"), F.col("digest"), F.col("sha1"), target, date)
-    rows.select("page_id", "digest", header.alias("header")).write.parquet(f"{folder}/records")
+    rows.select("page_id", "digest", "url", header.alias("header")).write.parquet(f"{folder}/records")
 
 
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,32 +92,52 @@ def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
+_END = b"\r\n\r\n"
+
+
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, record``: the whole bytes of every record."""
-    rows = spark.read.parquet(f"{folder}/records").join(_payloads(spark, folder), "digest")
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    body = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return rows.select("page_id", F.concat("header", body, end).alias("record"))
+    """``page_id, url, record``: the whole bytes of every record.
+
+    Only responses meet the payloads, and of equal payloads of the least size or more there is one.
+    """
+    rows = spark.read.parquet(f"{folder}/records").withColumn("response", _field("WARC-Type") == "response")
+    own = rows.filter("response").join(_payloads(spark, folder), "digest").select("page_id", "url", F.concat("header", "payload", F.lit(_END)).alias("record"))
+    return own.unionByName(rows.filter("not response").select("page_id", "url", F.concat("header", F.lit(_END)).alias("record")))
+
+
+def _parsed(records: DataFrame) -> DataFrame:
+    """Fields, size and digest of the block of each record (``record``), from its bytes; an error where they disagree."""
+    head = F.substring_index(F.decode("record", "UTF-8"), _END.decode(), 1)
+    rows = records.withColumn("header", F.encode(head, "UTF-8"))
+    fields = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "stated": "WARC-Payload-Digest", "length": "Content-Length"}
+    rows = rows.select("page_id", "record", F.octet_length("header").alias("at"), *[_field(v).alias(k) for k, v in fields.items()]).withColumn("length", F.col("length").cast("int"))
+    block = F.substring(F.col("record"), F.col("at") + len(_END) + 1, F.col("length"))
+    whole = F.octet_length("record") == F.col("at") + F.col("length") + 2 * len(_END)
+    rows = rows.select("page_id", *fields, block.alias("block"), whole.alias("whole"))
+    rows = rows.select("page_id", *fields, "whole", F.octet_length("block").cast("long").alias("payload_bytes"), sha1_base32(F.col("block")).alias("payload_digest"))
+    ok = F.col("whole") & (F.col("record_type") == "revisit") | (F.col("whole") & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest"))))
+    bad = F.raise_error(F.concat(F.lit("header and block of a record disagree: "), F.col("record_id"))).cast("string")
+    return rows.withColumn("record_type", F.when(ok, F.col("record_type")).otherwise(bad)).drop("whole", "length")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri`` from the stored bytes.
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri`` from the bytes of the records.
 
-    Sizes and digests are computed again from each stored payload; types and
-    references are parsed from the stored headers, and a reference is resolved
-    to its page through the record ids.
+    Sizes and digests are those of each response's block; a revisit takes them, and the page it refers
+    to, from the response of the record id it names, whose digest must be the one in its own header.
     """
-    facts = _payloads(spark, folder).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
-    fields = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers": "WARC-Refers-To", "target_uri": "WARC-Target-URI"}
-    rows = spark.read.parquet(f"{folder}/records").select("page_id", "digest", *[_field(v).alias(k) for k, v in fields.items()])
-    rows = materialise(rows.join(facts, "digest").drop("digest"), "warc-read")
+    rows = materialise(_parsed(reconstruct(spark, folder)), "warc-read")
     own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     plain = rows.filter("record_type = 'response'")
-    # revisits alone look for their response: a written table, so that many of one response can be split
-    responses = materialise(plain.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to")).distinct(), "warc-responses")
-    revisits = rows.filter("record_type = 'revisit'").join(responses, "refers", "left")
-    plain = plain.withColumn("refers_to", F.lit(None).cast(responses.schema["refers_to"].dataType))
-    return plain.select(*own, "refers_to", "target_uri").unionByName(revisits.select(*own, "refers_to", "target_uri"))
+    revisits = rows.filter("record_type = 'revisit'").select("page_id", "record_type", "refers", "target_uri", "stated")
+    asked = revisits.groupBy("refers").agg(F.count(F.lit(1)).alias("n"))
+    facts = plain.groupBy(F.col("record_id").alias("refers")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"))
+    facts = materialise(asked.join(facts, "refers", "left"), "warc-responses")
+    met = join_groups(revisits, facts, "refers", "n", facts.agg(F.sum("n")).first()[0] or 0)
+    bad = F.raise_error(F.concat(F.lit("no response of this payload: "), F.col("refers"))).cast("string")
+    met = met.withColumn("record_type", F.when(F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("record_type")).otherwise(bad))
+    plain = plain.withColumn("refers_to", F.lit(None).cast(facts.schema["refers_to"].dataType))
+    return plain.select(*own, "refers_to", "target_uri").unionByName(met.select(*own, "refers_to", "target_uri"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
