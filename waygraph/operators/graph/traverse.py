@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from waygraph.operators.components import TASK_EDGES, connected_components
 from waygraph.operators.graph.structure import canonical, degrees, nodes
 from waygraph.plans.kernels import NegativeCycle, potentials, relax, search, symmetric
-from waygraph.plans.stages import materialise
+from waygraph.plans.stages import materialise, release
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -238,14 +238,31 @@ def all_shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:
     return p
 
 
-def eccentricity(edges: DataFrame) -> DataFrame:
-    """``id, value``: largest hop distance; an error if the graph is disconnected."""
-    from waygraph.operators.indicators import distance_sums
+def eccentricity(edges: DataFrame, batch: int = 32) -> DataFrame:
+    """``id, value``: largest hop distance; an error if the graph is disconnected.
 
-    d = materialise(distance_sums(edges).select("id", F.col("far").alias("value"), F.col("reach").alias("r")), "ecc")
-    if d.agg(F.min("r") < F.count(F.lit(1))).first()[0]:
-        raise ValueError("the graph is disconnected")
-    return d.select("id", "value")
+    A search from r bounds every other node v: its value is at least max(d, e(r) - d) and
+    at most e(r) + d, with d the distance of the two.  Rounds of ``batch`` searches, half
+    of them from nodes of the largest upper bounds and half from those of the smallest
+    lower bounds, go on until both bounds of every node meet.
+    """
+    e = materialise(symmetric(edges.select("src", "dst")).filter("src <> dst").distinct(), "ecc-edges")
+    state = old = materialise(nodes(edges).select("id", F.lit(0).alias("low"), F.lit(2147483647).alias("high")), "ecc")
+    n = state.count()
+    while True:
+        left = state.filter("low < high")
+        if left.isEmpty():
+            return state.select("id", F.col("low").alias("value"))
+        chosen = left.orderBy(F.desc("high"), "id").limit(batch // 2).union(left.orderBy("low", F.desc("high"), "id").limit(batch // 2)).select("id").distinct()
+        d = materialise(search(e, chosen), "ecc-search")
+        roots = d.groupBy("root").agg(F.max("dist").alias("e"), F.count(F.lit(1)).alias("reach"))  # at most a batch
+        if roots.agg(F.min("reach")).first()[0] < n:
+            raise ValueError("the graph is disconnected")
+        own = d.join(F.broadcast(roots), "root").groupBy(F.col("node").alias("id")).agg(F.max(F.greatest("dist", F.col("e") - F.col("dist"))).alias("lo"), F.min(F.col("e") + F.col("dist")).alias("hi"))
+        own = own.join(roots.select(F.col("root").alias("id"), F.col("e").alias("own")), "id", "left")
+        state = materialise(state.join(own, "id").select("id", F.coalesce("own", F.greatest("low", "lo")).alias("low"), F.coalesce("own", F.least("high", "hi")).alias("high")), "ecc")
+        release(old, d)
+        old = state
 
 
 def distance_extremes(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
-from waygraph.operators.ways import departures, lengths_by_class
+from waygraph.operators.ways import departures, lengths_by_class, line_graph, way_places
 from waygraph.plans.kernels import BROADCAST_EDGES, _neighbours, level_sums, levels_from, per_source, search, symmetric, weighted_sums
 from waygraph.plans.stages import materialise
 
@@ -241,3 +241,36 @@ def computed_properties(ways: DataFrame, names: list[str]) -> DataFrame:
     """``name, computed``: whether a column has a value in any row."""
     counts = ways.agg(*[F.count(c).alias(c) for c in names])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), (F.col(c) > 0).alias("computed")) for c in names])).alias("s")).select("s.*")
+
+
+#: Attributes of ways that ``way_attributes`` computes, beside those that ways have.
+ATTRIBUTES = ("orthog", "rtopo", "acces", "closen", "betwee", "use")
+
+
+def way_attributes(ways: DataFrame, edges: DataFrame, names: list[str], classes: list[str] = (), n: int = 10) -> DataFrame:
+    """``ways`` (``way_id, length, conn, ..``) with the asked attributes and, for those in ``classes``, a column ``<name>_cl``.
+
+    Shared parts are made once: angles for orthogonality, the line graph for all that follow
+    it, one search from every way for topological radius, accessibility and closeness.
+    Classes have equal total length, nulls first.  ``edges`` are place edges with their ``way``.
+    """
+    wrong = [x for x in [*names, *classes] if x not in ATTRIBUTES and x not in ways.columns]
+    if wrong:
+        raise ValueError(f"no such attributes: {wrong}")
+    own = materialise(ways, "attribute-ways")
+    values = []
+    if "orthog" in names:
+        values.append(way_orthogonality(way_angles(edges), own.select(F.col("way_id").alias("way"), "conn")).withColumnRenamed("way", "id"))
+    if set(names) & set(ATTRIBUTES[1:]):
+        graph = materialise(line_graph(way_places(edges)), "attribute-graph")
+    if set(names) & {"rtopo", "acces", "closen"}:
+        sums = distance_sums(graph, own.select(F.col("way_id").alias("id"), "length") if "acces" in names else None)
+        total = F.col("_n")
+        closen = F.when(F.col("total") > 0, (F.col("reach") - 1) / F.col("total") * (F.col("reach") - 1) / (total - 1)).otherwise(F.lit(0.0))
+        kinds = {"rtopo": F.col("total"), "closen": closen, "acces": F.col("weighted") if "acces" in names else None}
+        values.append(_counted(sums).select("id", *[kinds[x].alias(x) for x in ("rtopo", "acces", "closen") if x in names]))
+    if "betwee" in names:
+        values.append(betweenness(graph))
+    if "use" in names:
+        values.append(stress(graph))
+    return with_indicators(own, values, "way_id", list(classes), n)

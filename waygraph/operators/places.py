@@ -117,6 +117,16 @@ def build_places(vertices: DataFrame, edges: DataFrame, buffer: float = 4.0, pol
     return places, of.select(F.col("vid").alias("vertex"), "place")
 
 
+def attached(edges: DataFrame, places: DataFrame, place_vtx: DataFrame) -> DataFrame:
+    """Edges with ``start_pl, end_pl`` and the polygons ``rs, re`` of both, without those that lie inside a place."""
+    s = place_vtx.select(F.col("vertex").alias("start_vtx"), F.col("place").alias("start_pl"))
+    t = place_vtx.select(F.col("vertex").alias("end_vtx"), F.col("place").alias("end_pl"))
+    rings = places.select("place", F.col("rings") if "rings" in places.columns else F.array("ring").alias("rings"))
+    e = edges.join(s, "start_vtx").join(t, "end_vtx")
+    e = e.join(rings.withColumnsRenamed({"place": "start_pl", "rings": "rs"}), "start_pl").join(rings.withColumnsRenamed({"place": "end_pl", "rings": "re"}), "end_pl")
+    return e.filter(~((F.col("start_pl") == F.col("end_pl")) & G.within_polygon("geom", "rs")))
+
+
 def place_edges(edges: DataFrame, places: DataFrame, place_vtx: DataFrame, strict: bool = False) -> DataFrame:
     """Edges attached to places, cut by them: adds ``start_pl, end_pl, status`` and new ``length, degree, geom``.
 
@@ -126,13 +136,7 @@ def place_edges(edges: DataFrame, places: DataFrame, place_vtx: DataFrame, stric
     places; the loop rule compares places, or vertices if ``strict`` (then a loop
     between different vertices has a null degree).
     """
-    s = place_vtx.select(F.col("vertex").alias("start_vtx"), F.col("place").alias("start_pl"))
-    t = place_vtx.select(F.col("vertex").alias("end_vtx"), F.col("place").alias("end_pl"))
-    e = edges.drop("degree").join(s, "start_vtx").join(t, "end_vtx")
-    rings = places.select("place", F.col("rings") if "rings" in places.columns else F.array("ring").alias("rings"))
-    e = e.join(rings.withColumnsRenamed({"place": "start_pl", "rings": "rs"}), "start_pl").join(rings.withColumnsRenamed({"place": "end_pl", "rings": "re"}), "end_pl")
-    inside = (F.col("start_pl") == F.col("end_pl")) & G.within_polygon("geom", "rs")
-    e = materialise(e.filter(~inside), "place-edges")
+    e = materialise(attached(edges.drop("degree"), places, place_vtx), "place-edges")
     degree = e.select(F.explode(F.array("start_pl", "end_pl")).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("d"))
     e = e.join(degree.select(F.col("place").alias("start_pl"), F.col("d").alias("ds")), "start_pl").join(degree.select(F.col("place").alias("end_pl"), F.col("d").alias("de")), "end_pl")
     minus = G.line_minus_polygon()

@@ -62,10 +62,20 @@ def check_layer(lines: DataFrame) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str, key: str = "pid", geometry: str = "ring", srid: int = 0) -> DataFrame:
-    """``pid, ring, srid`` of a Parquet file of rings, closed if they are not."""
+    """``pid, ring, rings, srid`` of a Parquet file of polygons: single rings, lists of rings, or POLYGON and MULTIPOLYGON text.
+
+    ``rings`` holds outer rings, holes and further parts, turned so that the inside is on
+    the left; ``ring`` is the first.  Rings are closed if they are not.
+    """
     d = spark.read.parquet(path)
-    ring = F.when(F.element_at(geometry, 1) == F.element_at(geometry, -1), F.col(geometry)).otherwise(F.concat(F.col(geometry), F.array(F.element_at(geometry, 1))))
-    return d.select(F.col(key).cast("long").alias("pid"), ring.alias("ring"), F.lit(srid).alias("srid"))
+
+    def closed(r):
+        return F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.array(F.element_at(r, 1))))
+
+    kind = d.schema[geometry].dataType.simpleString()
+    given = G.parse_wkt_polygon(geometry) if kind == "string" else F.array(F.col(geometry)) if not kind.startswith("array<array") else F.col(geometry)
+    rings = G.oriented(F.transform(given, closed))
+    return d.select(F.col(key).cast("long").alias("pid"), rings.alias("rings"), F.lit(srid).alias("srid")).select("pid", F.element_at("rings", 1).alias("ring"), "rings", "srid")
 
 
 #: Tables of a project folder.
