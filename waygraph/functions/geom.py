@@ -182,33 +182,52 @@ def capsule_ring(a: Column, b: Column, radius: float, quad_segs: int = 8) -> Col
     return F.concat(ring, F.array(ring[0]))
 
 
+def bound_to(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _near_interval(a: Column, b: Column, c: Column, d: Column, r: float) -> Column:
     """struct<lo, hi> of the share of piece a-b within ``r`` of piece c-d, null if none: the parts in two discs and a rectangle make one interval."""
     ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
-    uu, vv = ux * ux + uy * uy, vx * vx + vy * vy
-
-    def disc(p):
-        wx, wy = a["x"] - p["x"], a["y"] - p["y"]
-        half, rest = wx * ux + wy * uy, wx * wx + wy * wy - r * r
-        root = F.sqrt(F.greatest(half * half - uu * rest, F.lit(0.0)))
-        hit = (uu > 0) & (half * half >= uu * rest)
-        return [(F.when(hit, (-half - root) / uu).when((uu == 0) & (rest <= 0), F.lit(0.0)), F.when(hit, (-half + root) / uu).when((uu == 0) & (rest <= 0), F.lit(1.0)))]
-
-    def slab(start, slope, lo, hi):
-        """Where lo <= start + slope t <= hi."""
-        inside = (slope == 0) & (start >= lo) & (start <= hi)
-        x, y = F.when(slope != 0, (lo - start) / slope), F.when(slope != 0, (hi - start) / slope)
-        return F.when(inside, F.lit(float("-inf"))).otherwise(F.least(x, y)), F.when(inside, F.lit(float("inf"))).otherwise(F.greatest(x, y))
-
-    wx, wy = a["x"] - c["x"], a["y"] - c["y"]
-    reach = r * F.sqrt(vv)
-    s = slab(wx * vx + wy * vy, ux * vx + uy * vy, F.lit(0.0), vv)
-    t = slab(wx * vy - wy * vx, ux * vy - uy * vx, -reach, reach)
-    ok = (vv > 0) & s[0].isNotNull() & t[0].isNotNull() & (F.greatest(s[0], t[0]) <= F.least(s[1], t[1]))
-    parts = [*disc(c), *disc(d), (F.when(ok, F.greatest(s[0], t[0])), F.when(ok, F.least(s[1], t[1])))]
+    wx, wy, zx, zy = a["x"] - c["x"], a["y"] - c["y"], a["x"] - d["x"], a["y"] - d["y"]
+    # all that follows is in terms of these products
+    base = F.struct(*[x.alias(n) for n, x in (("uu", ux * ux + uy * uy), ("vv", vx * vx + vy * vy), ("uv", ux * vx + uy * vy), ("ux", ux * vy - uy * vx), ("wu", wx * ux + wy * uy), ("ww", wx * wx + wy * wy - r * r), ("zu", zx * ux + zy * uy), ("zz", zx * zx + zy * zy - r * r), ("wv", wx * vx + wy * vy), ("wx", wx * vy - wy * vx))])
+
+    def parts(p):
+        def disc(half, rest):
+            root = F.sqrt(F.greatest(half * half - p["uu"] * rest, F.lit(0.0)))
+            hit = half * half >= p["uu"] * rest
+            dot = (p["uu"] == 0) & (rest <= 0)
+            return F.when((p["uu"] > 0) & hit, (-half - root) / p["uu"]).when(dot, F.lit(0.0)), F.when((p["uu"] > 0) & hit, (-half + root) / p["uu"]).when(dot, F.lit(1.0))
+
+        def slab(start, slope, low, high):
+            """Where low <= start + slope t <= high."""
+            always = (slope == 0) & (start >= low) & (start <= high)
+            x, y = F.when(slope != 0, (low - start) / slope), F.when(slope != 0, (high - start) / slope)
+            return F.when(always, F.lit(float("-inf"))).otherwise(F.least(x, y)), F.when(always, F.lit(float("inf"))).otherwise(F.greatest(x, y))
+
+        reach = r * F.sqrt(p["vv"])
+        along, across = slab(p["wv"], p["uv"], F.lit(0.0), p["vv"]), slab(p["wx"], p["ux"], -reach, reach)
+        first, second = disc(p["wu"], p["ww"]), disc(p["zu"], p["zz"])
+        named = {"c0": first[0], "c1": first[1], "d0": second[0], "d1": second[1], "s0": along[0], "s1": along[1], "t0": across[0], "t1": across[1]}
+        return F.struct(*[x.alias(n) for n, x in named.items()], (p["vv"] > 0).alias("wide"))
+
+    def joined(q):
+        low, high = F.greatest(q["s0"], q["t0"]), F.least(q["s1"], q["t1"])
+        ok = q["wide"] & q["s0"].isNotNull() & q["t0"].isNotNull() & (low <= high)
+        return F.struct(F.least(q["c0"], q["d0"], F.when(ok, low)).alias("lo"), F.greatest(q["c1"], q["d1"], F.when(ok, high)).alias("hi"))
+
+    def cut(i):
+        return F.when((i["lo"] <= 1) & (i["hi"] >= 0), F.struct(F.greatest(i["lo"], F.lit(0.0)).alias("lo"), F.least(i["hi"], F.lit(1.0)).alias("hi")))
+
     # the three meet, so together they are one interval: least and greatest leave nulls out
-    lo, hi = F.least(*[p[0] for p in parts]), F.greatest(*[p[1] for p in parts])
-    return F.when((lo <= 1) & (hi >= 0), F.struct(F.greatest(lo, F.lit(0.0)).alias("lo"), F.least(hi, F.lit(1.0)).alias("hi")))
+    return bound_to(bound_to(bound_to(base, parts), joined), cut)
+
+
+def box_within(inner: Column, outer: Column, margin: float) -> Column:
+    """True if a box (``bounds``) lies in another one grown by a margin."""
+    return (inner["x0"] >= outer["x0"] - margin) & (inner["x1"] <= outer["x1"] + margin) & (inner["y0"] >= outer["y0"] - margin) & (inner["y1"] <= outer["y1"] + margin)
 
 
 def covered(line, by, tolerance: float, slack: float = 1e-9) -> Column:

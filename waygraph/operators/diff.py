@@ -31,7 +31,9 @@ def paired(first: DataFrame, second: DataFrame, tolerance: float = 1.0, size: fl
     """``fid1, fid2, way1, way2, diff``: edges of both states, each wholly within tolerance of the other; diff of their ``acces``."""
     a = first.filter("way is not null").select(F.col("fid").alias("fid1"), F.col("way").alias("way1"), F.col("acces").alias("acces1"), F.col("geom").alias("g1"))
     b = second.filter("way is not null").select(F.col("fid").alias("fid2"), F.col("way").alias("way2"), F.col("acces").alias("acces2"), F.col("geom").alias("g2"))
-    same = G.covered("g1", "g2", tolerance) & G.covered("g2", "g1", tolerance)
+    a, b = a.withColumn("b1", G.bounds(F.col("g1"))), b.withColumn("b2", G.bounds(F.col("g2")))
+    # boxes rule out most pairs before lines are compared
+    same = G.box_within(F.col("b1"), F.col("b2"), tolerance) & G.box_within(F.col("b2"), F.col("b1"), tolerance) & G.covered("g1", "g2", tolerance) & G.covered("g2", "g1", tolerance)
     p = cell_join(a, b, "g1", "g2", size, tolerance, same, "fid1", "fid2")
     return p.select("fid1", "fid2", "way1", "way2", (F.col("acces2") - F.col("acces1")).alias("diff"))
 

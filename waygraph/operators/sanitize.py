@@ -135,7 +135,9 @@ def covering_names(lines: DataFrame, sources: DataFrame, tolerance: float = 0.5,
     Of several the input line of the smallest id; a line that no single named input line covers has no name.
     """
     s = sources.filter("name is not null").select(F.col("fid").alias("sid"), F.col("name").alias("sname"), F.col("geom").alias("sgeom"))
-    hits = cell_join(lines.select("fid", "geom"), s, "geom", "sgeom", size, tolerance, G.covered("geom", "sgeom", tolerance), "fid", "sid")
+    own = lines.select("fid", "geom").withColumn("box", G.bounds(F.col("geom")))
+    near = G.box_within(F.col("box"), F.col("sbox"), tolerance) & G.covered("geom", "sgeom", tolerance)
+    hits = cell_join(own, s.withColumn("sbox", G.bounds(F.col("sgeom"))), "geom", "sgeom", size, tolerance, near, "fid", "sid")
     best = hits.groupBy("fid").agg(F.min(F.struct("sid", "sname")).alias("s")).select("fid", F.col("s.sname").alias("name"))
     return lines.drop("name").join(best, "fid", "left").select("fid", "name", "geom")
 
