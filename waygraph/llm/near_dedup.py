@@ -184,14 +184,22 @@ def _blocks(bodies: list[str], most: int = 1 << 20):
 
 
 def frequent_shingles(texts: DataFrame, total: int, rare: float = RARE, words: int = WORDS) -> Idf:
-    """Exact document frequencies of the shingles in at least ``rare`` of the texts (column ``body``)."""
+    """Exact document frequencies of the shingles in at least ``rare`` of the texts (column ``body``).
+
+    A batch of many texts proposes what is that frequent in it.  A task with so few texts that
+    this would be every shingle hands on its counts instead, and those are judged together: what is
+    frequent overall is frequent in a batch that proposes, or in all the small ones taken as one.
+    """
 
     def propose(batches):
         held: list[np.ndarray] = []
 
         def emit(parts):
             u, c = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"h": u[c >= max(1, int(np.ceil(rare * len(parts))))].view(np.int64)})
+            least = max(1, int(np.ceil(rare * len(parts))))
+            few = least < 2
+            out = pd.DataFrame({"h": u[c >= least].view(np.int64), "n": c[c >= least], "few": few}).astype({"h": "Int64"})
+            return pd.concat([out, pd.DataFrame({"h": pd.array([None], "Int64"), "n": [len(parts)], "few": [True]})]) if few else out
 
         for b in batches:
             for block in _blocks(b["body"].tolist()):
@@ -203,7 +211,9 @@ def frequent_shingles(texts: DataFrame, total: int, rare: float = RARE, words: i
         if held:
             yield emit(held)
 
-    proposed = materialise(texts.select("body").mapInPandas(propose, "h long").distinct(), "proposed")
+    counts = materialise(texts.select("body").mapInPandas(propose, "h long, n long, few boolean").groupBy("h", "few").agg(F.sum("n").alias("n")), "proposed")
+    texts_of_few = counts.filter("h is null").agg(F.sum("n")).first()[0] or 0
+    proposed = counts.filter("h is not null").filter(~F.col("few") | (F.col("n") >= rare * texts_of_few)).select("h").distinct()
     slices = max(1, -(-proposed.count() // PROPOSED))
     spark, found = texts.sparkSession, []
     for k in range(slices):
