@@ -185,3 +185,26 @@ def test_list_ranks(spark):
     place = {(k * 7919) % n: n - 1 - k for k in range(n)}
     got = {r.id: r["rank"] for r in own.select("id", "rank").collect()}
     assert got == place
+
+
+def test_places_united_with_polygons(spark):
+    """Overlapping input polygons are one place; a cluster joins it if it overlaps it and an edge leads into it, and then the polygon is the union."""
+    from waygraph.operators import places
+
+    at = {1: (0, 0), 2: (3, 0), 3: (10, 0), 4: (20, 0), 5: (10, 12), 6: (13, 12), 7: (28, 0), 8: (31, 0), 9: (60, 60)}
+    v = spark.createDataFrame([(k, 1 if k == 9 else 2, {"x": float(x), "y": float(y)}) for k, (x, y) in at.items()], f"vid long, degree int, pt {G.PT}")
+    e = spark.createDataFrame([(2, 3), (3, 5), (1, 2), (7, 8), (6, 9)], "start_vtx long, end_vtx long")
+    given = spark.createDataFrame([(1, [box(5, -5, 15, 5)]), (2, [box(14, -5, 25, 5)]), (3, [box(100, 100, 101, 101)])], POLY)
+    p, of = places.build_places(v, e, 4.0, given)
+    assert {(r.vertex, r.place) for r in of.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 7), (9, 9)}
+    rows = {r.place: r for r in p.collect()}
+    assert {(k, r.nb_vtx, r.user_pl, r.end_vtx) for k, r in rows.items()} == {(1, 4, True, None), (5, 2, False, None), (7, 2, False, None), (9, 1, False, 9)}
+    g = random.Random(6)
+    for _ in range(2000):
+        x, y = g.uniform(-6, 27), g.uniform(-7, 7)
+        away = (max(0 - x, x - 3, 0) ** 2 + y * y) ** 0.5
+        if not 3.95 < away < 4.01:
+            assert contains(rows[1].rings, (x, y)) == (away < 4 or (5 < x < 25 and -5 < y < 5))
+    # from the file alone nothing is united
+    _, of = places.build_places(v, e, 4.0, given, file_only=True)
+    assert {(r.vertex, r.place) for r in of.collect()} == {(k, k) for k in at}
