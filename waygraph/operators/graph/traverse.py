@@ -10,13 +10,13 @@ from pyspark.sql.window import Window
 
 from waygraph.operators.components import TASK_EDGES, connected_components
 from waygraph.operators.graph.structure import canonical, degrees, nodes
-from waygraph.plans.kernels import NegativeCycle, potentials, relax, search, symmetric
+from waygraph.plans.kernels import HOPS, NegativeCycle, counted, in_few_parts, potentials, relax, search, search_on, symmetric, with_loops
 from waygraph.plans.stages import materialise, release
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``id, component``: (weakly) connected components, named by their least id."""
-    return connected_components(edges, "src", "dst", vertices)
+    return connected_components(edges, "src", "dst", vertices, task_edges=0)
 
 
 def component_sizes(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -84,55 +84,69 @@ def _strong_in_task(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").coalesce(1).mapInPandas(settle, f"id {kind}, component {kind}")
 
 
+def _cyclic_part(e: DataFrame) -> DataFrame:
+    """Edges between nodes that lie on a cycle or between two: those at the end, and at the start, of walks of any length."""
+    n, still = e.count(), 0
+    while n and still < 2:
+        for a, b in (("src", "dst"), ("dst", "src")):
+            live = in_few_parts(e.select(F.col(a).alias("id")), n).distinct()
+            for _ in range(HOPS):
+                live = live.join(e, F.col("id") == F.col(a)).select(F.col(b).alias("id")).distinct()
+            live = materialise(live, "scc-live")
+            old, (e, m) = e, counted(e.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), F.lit(True), "scc")
+            release(old, live)
+            still, n = (still + 1 if m == n else 0), m
+            if still == 2 or not n:
+                break
+    return e
+
+
+def _largest_reaching(e: DataFrame) -> DataFrame:
+    """``id, m``: the largest id with a walk along ``e`` to a node, or its own; several steps go into one job."""
+    steps = materialise(with_loops(e, F.lit(None)), "scc-steps")
+    mark = materialise(steps.select(F.col("src").alias("id"), F.col("src").alias("m")).distinct(), "scc-mark")
+    n = mark.count()
+    while True:
+        nxt = in_few_parts(mark, n)
+        for _ in range(HOPS):
+            nxt = nxt.join(steps, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.max("m").alias("m"))
+        nxt = materialise(nxt, "scc-mark")
+        settled = nxt.join(mark.withColumnRenamed("m", "before"), "id").filter("m <> before").isEmpty()
+        release(mark)
+        mark = nxt
+        if settled:
+            release(steps)
+            return mark
+
+
 def strong_components(edges: DataFrame, rounds: int = 1000, task_edges: int = TASK_EDGES) -> DataFrame:
     """``id, component``: strong components named by their least id.
 
-    Nodes without in- or out-edges are trimmed; then every node takes the largest
-    id that reaches it, and what reaches back to that id with the same mark is its
-    component; the rest goes on.  Up to ``task_edges`` edges, counted first, are
-    settled in one task, with equal rows.
+    Nodes off every cycle are trimmed; then every node takes the largest id that
+    reaches it, and what reaches back to that id with the same mark is its component;
+    the rest goes on.  All steps are joins, several in one job.  Up to ``task_edges``
+    edges, counted first, are settled in one task, with equal rows.
     """
     e = materialise(edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct(), "scc")
     if e.schema["src"].dataType.typeName() in ("long", "integer", "string") and e.count() <= task_edges:
         found = _strong_in_task(e)
         return nodes(edges).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    left = materialise(nodes(edges), "scc-left")
     done = None
     for _ in range(rounds):
-        while True:
-            live = e.select(F.col("src").alias("id")).distinct().intersect(e.select(F.col("dst").alias("id")).distinct())
-            gone = materialise(left.join(live, "id", "left_anti"), "scc-trim")
-            if not gone.limit(1).count():
-                break
-            part = gone.select("id", F.col("id").alias("component"))
-            done = part if done is None else done.unionByName(part)
-            left = materialise(left.join(gone, "id", "left_anti"), "scc-left")
-            e = materialise(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
-        if not left.limit(1).count():
+        e = _cyclic_part(e)
+        if e.isEmpty():
             break
-        mark = materialise(left.withColumn("m", F.col("id")), "scc-mark")
-        while True:
-            into = e.join(mark.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("m").alias("x"))
-            nxt = materialise(mark.join(into, "id", "left").select("id", F.greatest("m", "x").alias("m"), F.coalesce(F.col("x") > F.col("m"), F.lit(False)).alias("up")), "scc-mark")
-            moved = nxt.filter("up").limit(1).count()
-            mark = nxt.select("id", "m")
-            if not moved:
-                break
-        own = e.join(mark.select(F.col("id").alias("src"), F.col("m").alias("a")), "src").join(mark.select(F.col("id").alias("dst"), F.col("m").alias("b")), "dst").filter("a = b").select("src", "dst")
-        own = materialise(own, "scc-own")
-        hit = front = materialise(mark.filter("id = m"), "scc-hit")
-        while True:
-            front = front.join(own.withColumnRenamed("dst", "id"), "id").select(F.col("src").alias("id"), "m").distinct().join(hit, "id", "left_anti")
-            front = materialise(front, "scc-front")
-            if not front.limit(1).count():
-                break
-            hit = materialise(hit.unionByName(front), "scc-hit")
-        name = hit.groupBy("m").agg(F.min("id").alias("component"))
-        part = hit.join(name, "m").select("id", "component")
+        mark = _largest_reaching(e)
+        own = e.join(mark.select(F.col("id").alias("src"), F.col("m").alias("a")), "src").join(mark.select(F.col("id").alias("dst"), F.col("m").alias("b")), "dst").filter("a = b")
+        first = materialise(mark.filter("id = m").select(F.col("m").alias("root"), F.col("id").alias("node"), F.lit(0).alias("dist")), "scc-first")
+        hit = search_on(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), first)
+        name = hit.groupBy("root").agg(F.min("node").alias("component"))
+        part = materialise(hit.join(name, "root").select(F.col("node").alias("id"), "component"), "scc-part")
         done = part if done is None else done.unionByName(part)
-        left = materialise(left.join(hit, "id", "left_anti"), "scc-left")
-        e = materialise(e.join(hit.select(F.col("id").alias("src")), "src", "left_anti").join(hit.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
-    return done if done is not None else left.select("id", F.col("id").alias("component"))
+        old, e = e, materialise(e.join(hit.select(F.col("node").alias("src")), "src", "left_anti").join(hit.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
+        release(old, mark, hit)
+    alone = nodes(edges)
+    return alone.select("id", F.col("id").alias("component")) if done is None else alone.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def condensation(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:

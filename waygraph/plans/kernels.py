@@ -1,10 +1,11 @@
 """Kernels of the graph operators: cell joins, searches, relaxation, power iteration.
 
-Searches from many sources have two strategies with equal rows.  While the edges
-are at most ``BROADCAST_EDGES`` (counted first) the adjacency goes to every task as
-arrays and sources are dealt over tasks; beyond it a frontier of (root, node) rows
-is joined with the edges, level by level, each level written to shared storage.
-Sums along shortest paths go back over the same levels, for blocks of sources.
+A search joins a frontier of (root, node) rows with the edges and writes what it
+reached to shared storage; while the frontier is small, several levels go into one job.
+From ``MANY_SOURCES`` sources on, and while the edges are at most ``BROADCAST_EDGES``
+(counted first), the adjacency goes to every task as arrays instead and the sources are
+dealt over tasks; rows are equal.  Sums along shortest paths go back over the same
+levels, for blocks of sources.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
@@ -23,6 +24,16 @@ from waygraph.plans.stages import materialise, release, shared_dir
 #: Edges up to which the adjacency is broadcast: two arrays of 8 bytes each.
 BROADCAST_EDGES = 5_000_000
 
+#: Sources from which whole searches are dealt over tasks; fewer would leave executors idle.
+MANY_SOURCES = 16
+
+#: Frontier rows up to which HOPS levels go into one job: beyond it a level is work enough for a job of its own.
+SMALL_FRONT = 200_000
+HOPS = 8
+
+#: Rows of a frontier for each of its partitions, so that steps of a few rows spread no empty tasks.
+PART_ROWS = 20_000
+
 
 def with_cells(df: DataFrame, line: str, size: float, margin: float = 0.0) -> DataFrame:
     """One row per grid cell (cx, cy) that the bounding box of ``line``, grown by ``margin``, covers."""
@@ -53,9 +64,12 @@ def symmetric(edges: DataFrame, src: str = "src", dst: str = "dst", *more: str)
 def adjacency(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(ids, row starts, neighbour positions) of directed ``src, dst``, or None above BROADCAST_EDGES."""
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    if edges.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
+    edges = materialise(edges, "adjacency")
+    if edges.count() > BROADCAST_EDGES:
+        release(edges)
         return None
     e = edges.toPandas()
+    release(edges)
     ids = np.unique(np.concatenate([e["src"].to_numpy(), e["dst"].to_numpy()])) if len(e) else np.empty(0, np.int64)
     s, d = np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy())
     order = np.argsort(s, kind="stable")
@@ -89,8 +103,9 @@ def search(edges: DataFrame, sources: DataFrame | None = None, cutoff: int | Non
     spark = edges.sparkSession
     edges = edges.select("src", "dst").filter("src is not null and dst is not null")
     if sources is None:
-        sources = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    adj = adjacency(edges) if broadcast is not False else None
+        sources = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    first = materialise(sources.select(F.col("id").cast("long").alias("root"), F.col("id").cast("long").alias("node"), F.lit(0).alias("dist")).distinct(), "search")
+    adj = adjacency(edges) if _dealt(first, broadcast) else None
     if adj is not None:
         shared = spark.sparkContext.broadcast(adj)
 
@@ -107,25 +122,67 @@ def search(edges: DataFrame, sources: DataFrame | None = None, cutoff: int | Non
                     yield pd.DataFrame({"root": r, "node": ids[own], "dist": dist[own]})
 
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return sources.select(F.col("id").cast("long").alias("id")).repartition(n, "id").mapInPandas(run, "root long, node long, dist int")
-    steps = materialise(edges.filter("src <> dst").distinct(), "search-edges")
-    first = materialise(sources.select(F.col("id").cast("long").alias("root"), F.col("id").cast("long").alias("node"), F.lit(0).alias("dist")).distinct(), "search")
-    return _search_on(steps, first, first, cutoff)
-
-
-def _search_on(steps: DataFrame, visited: DataFrame, level: DataFrame, cutoff: int | None) -> DataFrame:
-    """Continue a frontier search from a visited set and its last level."""
-    n = 0
-    while cutoff is None or n < cutoff:
-        reach = level.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        reach = reach.join(visited.select("root", "node"), ["root", "node"], "left_anti")
-        n += 1
-        level = materialise(reach.withColumn("dist", F.lit(n)), "search")
-        if not level.limit(1).count():
-            break
-        old, visited = visited, materialise(visited.unionByName(level), "search")
-        release(old)
-    return visited
+        return first.select(F.col("root").alias("id")).repartition(n, "id").mapInPandas(run, "root long, node long, dist int")
+    return search_on(edges, first, cutoff)
+
+
+def _dealt(first: DataFrame, broadcast: bool | None) -> bool:
+    """Whether whole searches from the rows of ``first`` are dealt over tasks."""
+    return broadcast if broadcast is not None else first.count() >= MANY_SOURCES
+
+
+def with_loops(edges: DataFrame, loop: Column, *more: str) -> DataFrame:
+    """Edges ``src, dst`` (no loops among them) and a loop of weight ``loop`` at every node, for steps that may stay where they are."""
+    stay = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+    return edges.select("src", "dst", *more).union(stay.select("src", F.col("src").alias("dst"), *[loop.alias(c) for c in more]))
+
+
+def search_on(edges: DataFrame, first: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """``root, node, dist`` from the written rows ``first`` (dist 0): joins of the frontier with ``edges``.
+
+    A job goes HOPS levels on while the frontier has at most SMALL_FRONT rows, else one.
+    A level is a join and an aggregate with a partial one before its shuffle; within a job
+    rows may also stay, so that the plan is a chain and not a tree.
+    """
+    plain = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("w", F.lit(1))
+    steps = materialise(with_loops(plain, F.lit(0), "w"), "search-edges")
+    level, parts, n, size = first, [first], 0, first.count()
+    while size and (cutoff is None or n < cutoff):
+        k = HOPS if size <= SMALL_FRONT else 1
+        k = k if cutoff is None else min(k, cutoff - n)
+        reach = in_few_parts(level, size)
+        for _ in range(k):
+            reach = reach.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+            reach = reach.groupBy("root", "node").agg(F.min("dist").alias("dist"))
+        n += k
+        new, size = counted(reach.join(_union(parts).select("root", "node"), ["root", "node"], "left_anti"), F.col("dist") == n, "search")
+        level = new.filter(F.col("dist") == n)
+        parts.append(new)
+        if len(parts) > 8:
+            old, parts = parts, [materialise(_union(parts), "search")]
+            level = parts[0].filter(F.col("dist") == n)
+            release(*old)
+    release(steps)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def in_few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of ``rows`` rows in at most one partition for every PART_ROWS of them."""
+    return df.coalesce(1 + rows // PART_ROWS)
+
+
+def counted(df: DataFrame, condition: Column, name: str) -> tuple[DataFrame, int]:
+    """Write ``df``; the number of rows that satisfy ``condition`` is observed on the way."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.when(condition, 1)).alias("n")), name)
+    return out, seen.get["n"]
 
 
 def per_source(edges: DataFrame, sources: DataFrame, schema: str, function: Callable, beyond: Callable | None = None) -> DataFrame:
@@ -262,32 +319,40 @@ def _relax_broadcast(steps: DataFrame, sources: DataFrame, cutoff: float | None)
 def relax(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, max_rounds: int = 1 << 40, broadcast: bool | None = None) -> DataFrame:
     """``root, node, dist, pred``: least sums of ``w`` along directed ``src, dst, w``; of equal sums the smallest predecessor.
 
-    Up to BROADCAST_EDGES edges (counted first) without negative weights, the
-    adjacency is broadcast and every source is settled in a task.  Otherwise rounds
-    join only rows that improved in the round before; negative weights are allowed
-    then, and a negative cycle raises ``NegativeCycle`` once predecessors run in a circle.
+    Rounds join the rows that improved in the round before with the edges; while those are
+    at most SMALL_FRONT, a round goes HOPS edges on.  Negative weights are allowed (rounds
+    then go one edge on), and a negative cycle raises ``NegativeCycle`` once predecessors
+    run in a circle.  From MANY_SOURCES sources on, and with at most BROADCAST_EDGES edges
+    (counted first) and no negative weights, whole searches are dealt over tasks instead.
     """
-    steps = materialise(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")), "relax-edges")
-    facts = steps.agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("low")).first()
-    if broadcast is not False and facts["n"] <= BROADCAST_EDGES and (facts["low"] or 0.0) >= 0:
-        return _relax_broadcast(steps, sources, cutoff)
-    nodes = steps.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
-    best = materialise(sources.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct(), "relax")
+    plain = materialise(edges.filter("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")), "relax-edges")
+    facts = plain.agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("low")).first()
+    negative = (facts["low"] or 0.0) < 0
+    best = materialise(sources.select(F.col("id").cast("long").alias("root"), F.col("id").cast("long").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")).distinct(), "relax")
+    if _dealt(best, broadcast) and facts["n"] <= BROADCAST_EDGES and not negative:
+        return _relax_broadcast(plain, sources, cutoff)
+    nodes = plain.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
+    steps = materialise(with_loops(plain, F.lit(0.0), "w"), "relax-steps")
     front = old = best
+    size = best.count()
     for k in range(max_rounds):
-        if k > nodes or (k >= 8 and k & (k - 1) == 0 and (facts["low"] or 0.0) < 0 and _circular(best, ["root", "node"], nodes)):
+        if negative and (k > nodes or (k >= 8 and k & (k - 1) == 0 and _circular(best, ["root", "node"], nodes))):
             raise NegativeCycle("a cycle of negative weight")
-        step = front.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))
-        if cutoff is not None:
-            step = step.filter(F.col("dist") <= cutoff)
-        step = step.groupBy("root", "node").agg(F.min(F.struct("dist", "pred")).alias("s")).select("root", "node", F.col("s.dist").alias("nd"), F.col("s.pred").alias("np"))
-        joined = best.join(step, ["root", "node"], "full")
+        step = in_few_parts(front, size)
+        for _ in range(1 if negative or size > SMALL_FRONT else HOPS):
+            stays = F.col("src") == F.col("dst")
+            step = step.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.when(stays, F.col("pred")).otherwise(F.col("src")).alias("pred"))
+            if cutoff is not None:
+                step = step.filter(F.col("dist") <= cutoff)
+            step = step.groupBy("root", "node").agg(F.min(F.struct("dist", "pred")).alias("s")).select("root", "node", "s.dist", "s.pred")
+        joined = best.join(step.select("root", "node", F.col("dist").alias("nd"), F.col("pred").alias("np")), ["root", "node"], "full")
         better = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")) | ((F.col("nd") == F.col("dist")) & (F.col("np") < F.col("pred"))))
         nxt = joined.select("root", "node", F.when(better, F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("np")).otherwise(F.col("pred")).alias("pred"), F.coalesce(F.col("nd") < F.col("dist"), F.col("nd").isNotNull() & F.col("dist").isNull(), F.lit(False)).alias("moved"))
-        nxt = materialise(nxt, "relax")
+        nxt, size = counted(nxt, F.col("moved"), "relax")
         release(old)
         old, best, front = nxt, nxt.drop("moved"), nxt.filter("moved").drop("moved")
-        if not front.limit(1).count():
+        if not size:
+            release(plain, steps)
             return best
     raise RuntimeError("relaxation did not settle")
 
