@@ -75,6 +75,22 @@ def test_search_strategies_agree(spark, seed):
         assert sorted(map(tuple, search(g, broadcast=True).collect())) == sorted(map(tuple, search(g, broadcast=False).collect()))
 
 
+def test_frontiers_of_many_short_jobs(spark, monkeypatch):
+    """Long paths through jobs of two levels, so that written levels are merged on the way, and through jobs of one."""
+    from waygraph.plans import kernels
+
+    monkeypatch.setattr(kernels, "HOPS", 2)
+    g = graph(spark, [(k, k + 1) for k in range(21)] + [(0, 3)])
+    want = {(0, 0, 0), (0, 1, 1), (0, 2, 2)} | {(0, k, k - 2) for k in range(3, 22)}
+    assert set(map(tuple, kernels.search(g, spark.range(1)).collect())) == want
+    assert set(map(tuple, kernels.search(g, spark.range(1), 5).collect())) == {r for r in want if r[2] <= 5}
+    assert set(map(tuple, kernels.search(g, spark.range(50, 51)).collect())) == {(50, 50, 0)}
+    monkeypatch.setattr(kernels, "SMALL_FRONT", 0)
+    w = g.filter("src < 6").selectExpr("src", "dst", "cast(if(dst = src + 1, 1, 4) as double) w")
+    got = {r.node: (r.dist, r.pred) for r in kernels.relax(w, spark.range(1)).collect()}
+    assert got == {0: (0.0, None), **{k: (float(k), k - 1) for k in range(1, 7)}}
+
+
 def test_relaxations_agree(spark):
     from waygraph.plans.kernels import relax
 

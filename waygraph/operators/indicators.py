@@ -188,7 +188,7 @@ def distance_sums(graph: DataFrame, lengths: DataFrame | None = None, directed:
     own = None
     if lengths is not None:
         few = lengths.select("id", "length").dropDuplicates(["id"])
-        if few.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
+        if few.count() > BROADCAST_EDGES:
             return listed()
         table = few.toPandas().sort_values("id")  # at most BROADCAST_EDGES rows
         own = graph.sparkSession.sparkContext.broadcast((table["id"].to_numpy(np.int64), table["length"].to_numpy(np.float64)))
