@@ -56,3 +56,55 @@ def test_nearest_source_by_one_label(spark, small_blocks):
     for r in d:
         want[r.node] = min(want.get(r.node, (1e9, 0)), (r.dist, r.root))
     assert {r.id: (r.dist, r.source) for r in traverse.nearest_source(e, ids).collect()} == want
+
+
+def test_routes_end_at_their_targets(spark, monkeypatch):
+    """Paths to given targets equal those of whole searches; no whole search is made."""
+    e = spark.createDataFrame(lattice(20, 8), "src long, dst long, w double")
+    w = symmetric(e, "src", "dst", "w")
+    want = spark.createDataFrame([(i, (i + 37) % 160) for i in range(0, 160, 5)] + [(999, 999), (0, 998)], "root long, node long")
+    d = relax(w, want.select(F.col("root").alias("id")).distinct(), broadcast=True)
+    whole = {tuple(r)[:2] + (tuple(r.path),) for r in traverse.paths(d, want).select("root", "node", "path").collect()}
+    got = {tuple(r)[:2] + (tuple(r.path),) for r in kernels.routes(w, want).collect()}
+    assert got == whole
+    assert kernels.routes(w, want.filter("root < 20")) is None
+
+
+def test_all_paths_by_doubling(spark):
+    """Paths of 700 nodes in few rounds."""
+    d = spark.range(700).select(F.lit(0).cast("long").alias("root"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("pred"))
+    assert all(r.path == list(range(r.node + 1)) for r in traverse.paths(d).collect())
+
+
+def test_strong_components_in_blocks(spark, small_blocks):
+    """Components drawn together in blocks first, then over all: equal to one task's."""
+    rng = random.Random(5)
+    rows = [(a, b) if rng.random() < 0.5 else (b, a) for a, b, _ in lattice(60, 8, 9)] + [(i, i + 1) for i in range(1000, 1040)]
+    rows += [(b, a) for a, b in rows[:300]]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    want = {r.id: r.component for r in traverse.strong_components(e).collect()}
+    assert {r.id: r.component for r in traverse.strong_components(e, task_edges=len(set(rows)) - 1).collect()} == want
+
+
+def test_many_roots_at_a_time():
+    """Waves and bit rows against one search at a time; numbers of paths beyond doubles keep their ratios."""
+    rows = lattice(30, 6, 2)
+    s = np.array([a for a, b, _ in rows] + [b for a, b, _ in rows])
+    d = np.array([b for a, b, _ in rows] + [a for a, b, _ in rows])
+    ids = np.unique(s)
+    s, d = np.searchsorted(ids, s), np.searchsorted(ids, d)
+    order = np.argsort(s, kind="stable")
+    starts, nbr = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(ids)))]), d[order]
+    roots = np.arange(len(ids))
+    reach, total, far, inverse, _ = kernels.reach_sums(starts, nbr, roots)
+    for r in roots:
+        dist, _ = kernels.levels_from(starts, nbr, r)
+        own = dist[dist > 0]
+        assert (reach[r], total[r], far[r]) == (len(own) + 1, own.sum(), own.max(initial=0)) and abs(inverse[r] - (1 / own).sum()) < 1e-9
+    # 1,200 diamonds in a row: 2^1200 paths
+    a = [(3 * k + i, 3 * k + j) for k in range(1200) for i, j in ((0, 1), (0, 2), (1, 3), (2, 3))]
+    s, d = np.array([x for x, _ in a]), np.array([y for _, y in a])
+    order = np.argsort(s, kind="stable")
+    starts, nbr = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=3601))]), d[order]
+    levels = kernels.waves(starts, nbr, np.array([0]))
+    assert len(levels) == 2401 and all(set(x[5]) <= {0.5, 1.0} for x in levels[1:])
