@@ -208,3 +208,20 @@ def test_places_united_with_polygons(spark):
     # from the file alone nothing is united
     _, of = places.build_places(v, e, 4.0, given, file_only=True)
     assert {(r.vertex, r.place) for r in of.collect()} == {(k, k) for k in at}
+
+
+def test_points_in_a_long_polygon(spark, monkeypatch):
+    """A polygon over many cells is never copied to them, and its points are those of the plain test."""
+    from waygraph.plans import kernels
+
+    made = []
+    plain = kernels.with_cells
+    monkeypatch.setattr(kernels, "with_cells", lambda df, *a: made.append(plain(df, *a)) or made[-1])
+    comb = [(0.0, 0.0), (400.0, 0.0)] + [p for k in range(20, 0, -1) for p in ((20.0 * k, 300.0), (20.0 * k - 10, 5.0))] + [(0.0, 300.0), (0.0, 0.0)]
+    hole = [(100.0, 1.0), (100.0, 3.0), (200.0, 3.0), (200.0, 1.0), (100.0, 1.0)]
+    poly = spark.createDataFrame([(1, 0, [[{"x": x, "y": y} for x, y in r] for r in (comb, hole)])], "pid long, grp int, rings array<array<struct<x:double,y:double>>>")
+    pts = spark.createDataFrame([(i, 0, {"x": (i * 37) % 401 + 0.25, "y": (i * 53) % 301 + 0.25}) for i in range(300)] + [(900, 0, {"x": 150.0, "y": 2.0})], "id long, grp int, pt struct<x:double,y:double>")
+    got = {r.id for r in kernels.points_in(pts, poly, 10.0).collect()}
+    want = {r.id for r in pts.crossJoin(poly.select("rings")).filter(G.in_polygon(F.col("pt"), F.col("rings"))).collect()}
+    assert got == want and 900 not in got and 50 < len(got) < 300
+    assert made[1].count() == 0  # rows of a polygon by cell: 1,200 before
