@@ -104,3 +104,19 @@ def test_warc_headers_are_checked(spark, tmp_path):
         spark.read.parquet(f"{folder}/payloads").write.parquet(f"{bad}/payloads")
         with pytest.raises(Exception, match="disagree|no response"):
             warc_archive.read_archive(spark, bad).collect()
+
+
+def test_base32_digests(spark):
+    """Digests equal hashlib's, leading zeros included, and are made without a function of each character."""
+    import base64
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from waygraph.llm.warc_archive import sha1_base32
+
+    df = spark.range(3000).select(F.encode(F.col("id").cast("string"), "UTF-8").alias("data")).withColumn("b", sha1_base32(F.col("data")))
+    rows = df.collect()
+    assert all(r.b == base64.b32encode(hashlib.sha1(bytes(r.data)).digest()).decode() for r in rows)
+    assert any(r.b.startswith("A") for r in rows)
+    assert "transform" not in df._jdf.queryExecution().optimizedPlan().toString()

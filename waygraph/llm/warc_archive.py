@@ -21,16 +21,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def sha1_base32(data: Column) -> Column:
-    """SHA-1 as 32 bare upper-case base32 characters: each 5 hex digits are 4 of them."""
+    """SHA-1 as 32 bare upper-case base32 characters: 15, 15 and 10 hex digits are 12, 12 and 8 of them."""
     hexed = F.sha1(data)
-
-    def char(i):
-        n = F.conv(F.substring(hexed, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        # 2^(15 - 5 (i mod 4)) by table, since shifts take literals only
-        unit = F.element_at(F.array(*[F.lit(1 << s) for s in (15, 10, 5, 0)]), (i % 4 + 1).cast("int"))
-        return F.substring(F.lit(BASE32), F.floor(n / unit).cast("int") % 32 + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), char), "")
+    parts = [F.lpad(F.conv(F.substring(hexed, at, n), 16, 32), n * 4 // 5, "0") for at, n in ((1, 15), (16, 15), (31, 10))]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _record_id(page: Column, digest: Column) -> Column:
