@@ -108,3 +108,39 @@ def test_many_roots_at_a_time():
     starts, nbr = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=3601))]), d[order]
     levels = kernels.waves(starts, nbr, np.array([0]))
     assert len(levels) == 2401 and all(set(x[5]) <= {0.5, 1.0} for x in levels[1:])
+
+
+def greedy(edges):
+    """The matching of edges in order of (priority, src, dst), null first."""
+    used, out = set(), set()
+    for p, a, b in sorted({(p, min(a, b), max(a, b)) for a, b, p in edges if a != b}, key=lambda x: (x[0] is not None, x)):
+        if not used & {a, b}:
+            used |= {a, b}
+            out.add((a, b))
+    return out
+
+
+def test_matching_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A path of 400 nodes in blocks of 60 edges: rounds are those of the blocks, not a round for each link of the chain of ranks."""
+    monkeypatch.setattr(kernels, "BLOCK_EDGES", 60)
+    seen = []
+    monkeypatch.setattr(traverse, "materialise", lambda df, name, *a, write=traverse.materialise: seen.append(name) or write(df, name, *a))
+    e = spark.range(399).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {tuple(r) for r in traverse.maximal_matching(e).collect()} == {(k, k + 1) for k in range(0, 400, 2)}
+    assert seen.count("taken") < 20  # a round for each link would be 200
+
+
+@pytest.mark.parametrize("block", [20, 50])
+def test_matching_in_blocks_equals_the_greedy_one(spark, monkeypatch, block):
+    """With priorities, nulls among them, both directions, loops and repeated edges, in blocks and from hubs of more edges than a block."""
+    monkeypatch.setattr(kernels, "BLOCK_EDGES", block)
+    rng = random.Random(block)
+    rows = [(rng.randrange(40), rng.randrange(40), rng.choice([None, 1, 2, 3, 4])) for _ in range(60)] + [(0, k, 5) for k in range(1, 30)]
+    df = spark.createDataFrame(rows, "src long, dst long, p int")
+    got = [tuple(r) for r in traverse.maximal_matching(df, "p").collect()]
+    assert set(got) == greedy(rows) and len(got) == len(set(got))
+    plain = [tuple(r) for r in traverse.maximal_matching(df).collect()]
+    assert set(plain) == greedy([(a, b, 0) for a, b, _ in rows]) and len(plain) == len(set(plain))
+    names = df.selectExpr("cast(src as string) src", "cast(dst as string) dst")
+    assert {tuple(r) for r in traverse.maximal_matching(names).collect()} == greedy([(str(a), str(b), 0) for a, b, _ in rows])
+    assert traverse.maximal_matching(df.limit(0)).count() == 0
