@@ -144,3 +144,33 @@ def test_matching_in_blocks_equals_the_greedy_one(spark, monkeypatch, block):
     names = df.selectExpr("cast(src as string) src", "cast(dst as string) dst")
     assert {tuple(r) for r in traverse.maximal_matching(names).collect()} == greedy([(str(a), str(b), 0) for a, b, _ in rows])
     assert traverse.maximal_matching(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scattered", [False, True])
+def test_eccentricity_in_blocks(spark, monkeypatch, scattered):
+    """Blocks of some 40 nodes, of a long lattice or of ids dealt at random, equal plain searches; no search over the whole graph is made."""
+    rng = random.Random(7)
+    ids = list(range(180))
+    if scattered:
+        rng.shuffle(ids)
+    edges = [(ids[a], ids[b]) for a, b, _ in lattice(30, 6)] + [(ids[v], ids[v + 6]) for v in range(0, 174, 6)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def reach(root):
+        dist, front = {root: 0}, [root]
+        while front:
+            front = [v for v in {y for x in front for y in near[x]} if v not in dist and not dist.update({v: dist[root] + 1 + max(dist.values())})]
+        return dist
+
+    whole = reach(ids[0])
+    monkeypatch.setattr(kernels, "BLOCK_EDGES", 120)
+    monkeypatch.setattr(traverse, "FAR_ROOTS", 25)
+    monkeypatch.setattr(traverse, "search", None)
+    df = spark.createDataFrame([(a, b) for a, b in edges if a in whole], "src long, dst long")
+    assert {r.id: r.value for r in traverse.eccentricity(df).collect()} == {v: max(reach(v).values()) for v in whole}
+    if not scattered:
+        with pytest.raises(ValueError, match="disconnected"):
+            traverse.eccentricity(df.union(spark.createDataFrame([(500, 501)], df.schema)))
