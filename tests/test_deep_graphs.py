@@ -162,7 +162,9 @@ def test_eccentricity_in_blocks(spark, monkeypatch, scattered):
     def reach(root):
         dist, front = {root: 0}, [root]
         while front:
-            front = [v for v in {y for x in front for y in near[x]} if v not in dist and not dist.update({v: dist[root] + 1 + max(dist.values())})]
+            far = {y for x in front for y in near[x]} - dist.keys()
+            dist |= dict.fromkeys(far, dist[front[0]] + 1)
+            front = list(far)
         return dist
 
     whole = reach(ids[0])
