@@ -19,3 +19,17 @@ def test_lines_do_not_carry_their_row(spark):
     assert out.count() == 39 and {r.fid for r in out.collect()} == {*range(20 - 1)} | {1000 + k for k in range(20)}
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
     assert "size(parts" not in above and "size(lines" not in above
+
+
+def test_shallow_closure_is_joined(spark, monkeypatch):
+    """A graph of few levels is not searched node by node; a deep one, and cycles, give the same rows."""
+    rng = random.Random(5)
+    rows = {(rng.randint(0, 40), rng.randint(41, 60)) for _ in range(150)} | {(rng.randint(41, 60), rng.randint(61, 64)) for _ in range(40)}
+    far = {(a, d) for a, b in rows for c, d in rows if b == c}
+    monkeypatch.setattr(traverse, "search", lambda *a: pytest.fail("searched"))
+    assert {tuple(r) for r in traverse.transitive_closure(spark.createDataFrame(list(rows), "src long, dst long")).collect()} == rows | far
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (4, 4)], "src long, dst long")
+    assert {tuple(r) for r in traverse.transitive_closure(ring).collect()} == {(a, b) for a in (0, 1, 2) for b in (0, 1, 2, 3)} | {(4, 4)}
+    monkeypatch.undo()
+    path = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {tuple(r) for r in traverse.transitive_closure(path).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 31)}
