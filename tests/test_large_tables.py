@@ -2,12 +2,16 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waygraph.functions import geom as G
-from waygraph.operators.graph import traverse
+from waygraph.operators import diff, paths
+from waygraph.operators.graph import bipartite, traverse
+from waygraph import overlay_queries  # noqa: F401  registers its queries
 from waygraph.plans import kernels
+from waygraph.queries import Q
 from waygraph.sources import io
 
 
@@ -67,3 +71,24 @@ def test_reduction_lists_no_closure(spark, monkeypatch, sign):
     wide = [*rows, (0, 310), (0, 299), (290, 310)]
     e = spark.createDataFrame([(sign * a, sign * b) for a, b in wide], "src long, dst long")
     assert {tuple(r) for r in traverse.transitive_reduction(e).collect()} == {(sign * a, sign * b) for a, b in reduced(wide)}
+
+
+def test_redundancy_counts_pairs_in_bits(spark, monkeypatch):
+    """Top nodes of up to 150 neighbours: no list of pairs is written, and shares equal those of all pairs."""
+    rng = random.Random(11)
+    rows = {(u, 1000 + rng.randrange(200)) for u in range(12) for _ in range(rng.choice((2, 5, 40, 300)))} | {(50, 5000), (51, 5001), (51, 5002)}
+    near = {}
+    for u, p in rows:
+        near.setdefault(u, set()).add(p)
+    want = {}
+    for u, ps in near.items():
+        pairs = [(p, q) for p in ps for q in ps if p < q]
+        if pairs:
+            want[u] = sum(any({p, q} <= near[w] for w in near if w != u) for p, q in pairs) / len(pairs)
+    write = bipartite.materialise
+    monkeypatch.setattr(bipartite, "materialise", lambda df, name: pytest.fail("pairs are listed") if name == "pairs" else write(df, name))
+    e = spark.createDataFrame(list(rows), "src long, dst long")
+    assert {r.id: r.value for r in bipartite.node_redundancy(e).collect()} == want
+    monkeypatch.undo()
+    monkeypatch.setattr(bipartite, "TWO_STEPS", 0)
+    assert {r.id: r.value for r in bipartite.node_redundancy(e).collect()} == want
