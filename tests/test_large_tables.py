@@ -92,3 +92,11 @@ def test_redundancy_counts_pairs_in_bits(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(bipartite, "TWO_STEPS", 0)
     assert {r.id: r.value for r in bipartite.node_redundancy(e).collect()} == want
+
+
+def test_way_searches_end_at_the_nearest_target(spark, sf, monkeypatch):
+    """No search goes over all ways, and the paths are those of whole searches."""
+    whole = {tuple(r) for r in Q["way_simplest_paths"](spark, sf).collect()}  # fewer than MANY_SOURCES requests
+    monkeypatch.setattr(kernels, "MANY_SOURCES", 1)
+    monkeypatch.setattr(paths, "relax", lambda *a: pytest.fail("all ways are searched"))
+    assert whole and {tuple(r) for r in Q["way_simplest_paths"](spark, sf).collect()} == whole
