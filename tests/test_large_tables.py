@@ -100,3 +100,12 @@ def test_way_searches_end_at_the_nearest_target(spark, sf, monkeypatch):
     monkeypatch.setattr(kernels, "MANY_SOURCES", 1)
     monkeypatch.setattr(paths, "relax", lambda *a: pytest.fail("all ways are searched"))
     assert whole and {tuple(r) for r in Q["way_simplest_paths"](spark, sf).collect()} == whole
+
+
+def test_lost_access_lists_no_pairs(spark, monkeypatch):
+    """Sums of hops times length to some ways; null if none is reached, 0 for a way that only reaches itself."""
+    monkeypatch.setattr(diff, "search", lambda *a: pytest.fail("pairs are listed"), raising=False)
+    g = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8)], "src long, dst long")
+    roots = spark.createDataFrame([(1,), (3,), (7,), (9,), (10,)], "way long")
+    gone = spark.createDataFrame([(2, 2.0), (2, 3.0), (4, 1.5), (9, 7.0)], "way long, length double")
+    assert {tuple(r) for r in diff._lost(g, roots, gone, "removed").collect()} == {(1, 5.0 + 4.5), (3, 5.0 + 1.5), (9, 0.0)}
