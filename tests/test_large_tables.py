@@ -109,3 +109,33 @@ def test_lost_access_lists_no_pairs(spark, monkeypatch):
     roots = spark.createDataFrame([(1,), (3,), (7,), (9,), (10,)], "way long")
     gone = spark.createDataFrame([(2, 2.0), (2, 3.0), (4, 1.5), (9, 7.0)], "way long, length double")
     assert {tuple(r) for r in diff._lost(g, roots, gone, "removed").collect()} == {(1, 5.0 + 4.5), (3, 5.0 + 1.5), (9, 0.0)}
+
+
+def test_bridges_are_found_in_blocks(spark, monkeypatch):
+    """Lattices with gaps, chains, twigs and twins over several blocks: no round for each level, and rows of plain search."""
+    monkeypatch.setattr(traverse, "_bridges_by_levels", lambda *a: pytest.fail("level by level"))
+    monkeypatch.setattr(kernels, "BLOCK_EDGES", 60)
+    rng = random.Random(2)
+    rows = [(v, v + s) for v in range(400) for s in (1, 8) if rng.random() < 0.8]
+    rows += [(700 + k, 701 + k) for k in range(150)] + [(700, 0), (790, 950), (950, 951), (800, 801)] + [(1000 + k, 1001 + k) for k in range(90)] + [(1090, 1000)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    cut, _ = traverse._two_connected(np.array([a for a, _ in rows]), np.array([b for _, b in rows]), 1100)
+    want = {tuple(sorted(r)) for r, c in zip(rows, cut, strict=True) if c}
+    for a, b in rng.sample(sorted(want), 5) + rng.sample(sorted({tuple(sorted(r)) for r in rows} - want), 5):  # the plain search itself
+        near, seen, todo = {}, {a}, [a]
+        skip = (a, b) in want or sum(tuple(sorted(r)) == (a, b) for r in rows) == 1
+        for x, y in rows:
+            if not (skip and {x, y} == {a, b}):
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert (b not in seen) == ((a, b) in want)
+    assert {tuple(r) for r in traverse.bridges(e).collect()} == want and len(want) > 100
+    monkeypatch.undo()
+    rows_ = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (F.least("src", "dst") * 10000 + F.greatest("src", "dst")).alias("key"))
+    few = rows_.filter("src < 40 or src > 1080")
+    level = {r.key for r in traverse._bridges_by_levels(few, 0).collect()}
+    assert level == {a * 10000 + b for a, b in ((r.src, r.dst) for r in traverse.bridges(few).collect())}
