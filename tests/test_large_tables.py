@@ -139,3 +139,14 @@ def test_bridges_are_found_in_blocks(spark, monkeypatch):
     few = rows_.filter("src < 40 or src > 1080")
     level = {r.key for r in traverse._bridges_by_levels(few, 0).collect()}
     assert level == {a * 10000 + b for a, b in ((r.src, r.dst) for r in traverse.bridges(few).collect())}
+
+
+def test_spans_of_bridges_are_not_searched(spark, monkeypatch):
+    """A twig on a ring: its search would pass all nodes, the others end within the ring."""
+    seen = []
+    write = traverse.materialise
+    monkeypatch.setattr(traverse, "materialise", lambda df, name: seen.append(name) or write(df, name))
+    g = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), *[(k, k + 1) for k in range(4, 40)]], "src long, dst long")
+    spans = {(r.src, r.dst): r.span for r in traverse.bridge_spans(g).collect()}
+    assert spans == {(0, 1): 3, (1, 2): 3, (2, 3): 3, (0, 3): 3, **{(k, k + 1): None for k in range(3, 40)}}
+    assert seen.count("span") <= 10
