@@ -150,3 +150,18 @@ def test_spans_of_bridges_are_not_searched(spark, monkeypatch):
     spans = {(r.src, r.dst): r.span for r in traverse.bridge_spans(g).collect()}
     assert spans == {(0, 1): 3, (1, 2): 3, (2, 3): 3, (0, 3): 3, **{(k, k + 1): None for k in range(3, 40)}}
     assert seen.count("span") <= 10
+
+
+def test_terminals_are_searched_together(spark, monkeypatch):
+    """Distances between terminals without rows of all other nodes, by sweeps or one by one; parts that do not meet stay apart."""
+    rng = random.Random(4)
+    rows = [(v, v + s, float(rng.randint(1, 9))) for v in range(200) for s in (1, 9) if rng.random() < 0.8] + [(500, 501, 2.0)]
+    e = spark.createDataFrame(rows, "src long, dst long, w double")
+    ids = spark.createDataFrame([(k,) for k in [*range(0, 200, 9), 500, 501, 900]], "id long")
+    whole = {tuple(r) for r in traverse.weighted_distances(e, ids).join(ids.withColumnRenamed("id", "node"), "node", "left_semi").filter("root < node").select("root", "node", "dist").collect()}
+    monkeypatch.setattr(traverse, "weighted_distances", lambda *a: pytest.fail("all nodes are listed"))
+    assert {tuple(r) for r in traverse.metric_closure(e, ids).collect()} == whole and (500, 501, 2.0) in whole
+    starts, nbr, w = np.array([0, 0, 1, 2]), np.array([0, 1]), np.array([1.0, 2.0])
+    assert kernels._swept(starts, nbr, w, np.array([0, 2])).T.tolist() == [[0, 1, 3], [np.inf, np.inf, 0]]
+    monkeypatch.setattr(kernels, "VISITS", 0)
+    assert kernels._swept(starts, nbr, w, np.array([0])) is None
